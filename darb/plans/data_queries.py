@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from darb.operators import intervals, spatial
+from darb.operators import intervals, schema_drift, shred, spatial
 from darb.session import table
 
-CHANGES, RINGS = "change_location_input", "cairo_boundary_points"
+CHANGES, RINGS, FILES, RUNS = "change_location_input", "cairo_boundary_points", "run_files", "run_output"
+
+
+def p1_found(spark, sf_dir):
+    return schema_drift.changes(table(spark, sf_dir, FILES))
+
+
+def p1_consistent_table(spark, sf_dir):
+    return schema_drift.consistent_table(table(spark, sf_dir, FILES))
+
+
+def p1_alternatives(spark, sf_dir):
+    return schema_drift.alternatives(table(spark, sf_dir, FILES))
 
 
 def p3_found(spark, sf_dir):
@@ -16,7 +28,15 @@ def p4_found(spark, sf_dir):
     return spatial.near_and_inside(table(spark, sf_dir, CHANGES), table(spark, sf_dir, RINGS))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
+def p5_found(spark, sf_dir):
+    return shred.nested_items(table(spark, sf_dir, CHANGES), table(spark, sf_dir, RUNS))
+
+
+def p5_request_nodes(spark, sf_dir):
+    return shred.shred(table(spark, sf_dir, CHANGES), "request_id", "data")
+
+
+QUERIES = {"p1_found": p1_found, "p1_consistent_table": p1_consistent_table, "p1_alternatives": p1_alternatives, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_request_nodes": p5_request_nodes}
 
 SQL = {
     "p3_found": """
