@@ -9,7 +9,8 @@ itself an element is a node of kind 'array'; an empty array is a row of kind 'em
 
 Entity tables come from it by joins: object nodes are joined with their scalar children, which are pivoted
 into columns, and children are joined with parents on (record_id, node). The adjacency table is spread by
-record, and parsing is the only work in Python (Arrow batches, one pass).
+record, and parsing is the only work in Python (Arrow batches). The pivoted objects, a small part of the nodes,
+are checkpointed, so a record is not parsed again for each entity table.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darb.functions.jsonio import Number, parse, unwrap, utf8
+from darb.session import durable
 
 _SCHEMA = "record_id bigint, node int, parent int, label string, ordinal int, kind string, scalar string"
 _ARROW = pa.schema([("record_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
@@ -139,7 +141,7 @@ def _case(df: DataFrame, kind: str, parent_pos: Column, pos: Column, key: Column
 def request_tables(requests: DataFrame) -> dict[str, DataFrame]:
     """Related tables of the request blocks: buses, routes, stops (with route) and students (with stop and route)."""
     nodes = shred(requests, "request_id", "data").repartition("record_id")
-    found = entities(nodes, ["buses", "routes", "path", "students"], ["id", "capacity", "node_id"])
+    found = durable(entities(nodes, ["buses", "routes", "path", "students"], ["id", "capacity", "node_id"]))
     of = lambda label: found.where(F.col("label") == label)
     buses, routes = of("buses").where("parent = 0"), of("routes").where("parent = 0")
     stops = _on(of("path"), routes, {"pos": "route_pos", "id": "route_id"})
@@ -150,7 +152,7 @@ def request_tables(requests: DataFrame) -> dict[str, DataFrame]:
 def run_tables(runs: DataFrame) -> dict[str, DataFrame]:
     """Related tables of the run outputs: routes (with their mode) and synthetic crossings."""
     nodes = shred(runs, "output_id", "payload").repartition("record_id")
-    found = entities(nodes, None, ["route_id", "strategy"])
+    found = durable(entities(nodes, None, ["route_id", "strategy"]))
     modes = _on(found, found.where("label = 'modes' AND parent = 0"), {"label": "holder"}).select("record_id", "node", F.col("label").alias("mode"))
     routes = _on(found.where("label = 'routes'"), modes, {"mode": "mode"})
     crossings = _on(found.where("label = 'synthetic_crossings'"), found.where("label = 'debug_stats' AND parent = 0"), {"label": "holder"})

@@ -24,19 +24,12 @@ from pyspark.sql import functions as F
 from darb.functions.geo import EARTH_M, haversine_m
 from darb.operators.intervals import student_key
 from darb.operators.ordered import with_neighbour
-from darb.session import durable
+from darb.session import durable, small_side
 
-#: A side of a join is broadcast only if it has at most so many rows (of a few numbers each: under 10 MB).
-BROADCAST_ROWS = 100_000
 #: Members of one location are handled in blocks of this size where pairs are expanded.
 BLOCK = 256
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _cells(lat: Column, lon: Column, metres: float, cell_m: float, probe: bool) -> Column:
     """Array of cell ids: the home cell, or every cell that the box of `metres` around the point overlaps."""
     step = math.degrees(cell_m / EARTH_M)
