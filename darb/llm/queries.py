@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from darb.llm import percentiles
+from darb.llm import leakage, percentiles, tokens
 from darb.session import table
 
 
@@ -26,7 +26,20 @@ def p2_merged_days(spark, sf_dir):
     return percentiles.sketch_percentiles(percentiles.merge_sketches(days, groups), groups, [0.5, 0.95])
 
 
-QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_merged_days": p2_merged_days}
+def p6_ids(spark, sf_dir):
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark, sf_dir):
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_near(spark, sf_dir):
+    """Documents with a passage of an item, an edit allowed, with what was found of the item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_merged_days": p2_merged_days, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near}
 
 _P2_VALUES = """
 WITH once AS (
