@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from darb.llm import leakage, percentiles, tokens
+from darb.llm import languages, leakage, percentiles, tokens
 from darb.session import table
 
 
@@ -39,7 +39,25 @@ def p7_near(spark, sf_dir):
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_percentiles": p2_percentiles, "p2_merged_days": p2_merged_days, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near}
+def p8_found(spark, sf_dir):
+    return languages.wrong_labels(table(spark, sf_dir, "documents"))
+
+
+def p8_segments(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return languages.document_segments(documents, languages.fit(documents))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_percentiles": p2_percentiles,
+    "p2_merged_days": p2_merged_days,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_near": p7_near,
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
+}
 
 _P2_VALUES = """
 WITH once AS (
