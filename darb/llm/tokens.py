@@ -53,6 +53,7 @@ class Tokenizer:
         self._encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._split = regex.compile(PATTERN).findall
         self._known: dict[str, list[int]] = {}
+        self.width = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32  # of an id in store
 
     def pieces(self, text: str) -> list[str]:
         return self._split(text)
@@ -161,6 +162,16 @@ def join_chunks(t: Tokenizer, parts: Iterator[tuple[list[int], list[int]]]) -> l
     return out
 
 
+def pack(numbers: list[int]) -> bytes:
+    """Small numbers in one byte each, or all in two if one needs it; the first byte says which."""
+    small = max(numbers, default=0) < 256
+    return (b"\1" if small else b"\2") + np.array(numbers, np.uint8 if small else np.uint16).tobytes()
+
+
+def unpack(data: bytes) -> list[int]:
+    return np.frombuffer(data, np.uint8 if data[:1] == b"\1" else np.uint16, offset=1).tolist()
+
+
 def _digest(text: str) -> bytes:
     return blake2b(text.encode(), digest_size=16).digest()
 
@@ -205,8 +216,8 @@ def _encode(path: str):
                 ids, sizes = [], []
                 for text in part.column(1).to_pylist():
                     a, b = encode_chunk(t, text)
-                    ids.append(np.array(a, np.int32).tobytes())
-                    sizes.append(np.array(b, np.uint16).tobytes())
+                    ids.append(np.array(a, t.width).tobytes())
+                    sizes.append(pack(b))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary()), part.column(2)], names=["digest", "ids", "sizes", "n"])
 
     return run
@@ -240,7 +251,7 @@ def _assemble(path: str):
                         close()
                     current, parts = (doc_id, key), []
                 if ids is not None:
-                    parts.append((np.frombuffer(ids, np.int32).tolist(), np.frombuffer(sizes, np.uint16).tolist()))
+                    parts.append((np.frombuffer(ids, t.width).tolist(), unpack(sizes)))
                 if offsets[-1] > 1_000_000:
                     yield flush()
                     docs, offsets, values = [], [0], []
