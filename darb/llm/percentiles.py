@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darb.session import durable
+from darb.session import durable, small_side
 
 DIGIT_BITS = 16
 
@@ -68,7 +68,7 @@ def _pick(histogram: DataFrame, targets: DataFrame, groups: list[str]) -> DataFr
     window = Window.partitionBy(*groups, "prefix").orderBy("digit")
     below = F.sum("n").over(window) - F.col("n")
     spans = histogram.select(*(F.col(c).alias(f"h_{c}") for c in [*groups, "prefix"]), F.col("digit").alias("h_digit"), below.alias("h_below"), F.col("n").alias("h_n"))
-    joined = targets.join(spans, _same([*groups, "prefix"]) & F.expr("rank >= h_below AND rank < h_below + h_n"))
+    joined = spans.join(small_side(targets), _same([*groups, "prefix"]) & F.expr("rank >= h_below AND rank < h_below + h_n"))
     kept = [c for c in targets.columns if c not in ("prefix", "rank")]
     return joined.select(*kept, F.col("h_digit").alias("prefix"), F.expr("rank - h_below").alias("rank"))
 
@@ -92,8 +92,8 @@ def percentiles(df: DataFrame, groups: list[str], value: str, wanted: list[float
             histogram = durable(rows.select(*names, F.lit(0).cast("bigint").alias("prefix"), digit.alias("digit")).groupBy(*names, "prefix", "digit").agg(F.count("*").alias("n")))
             targets = _ranks(histogram.groupBy(*names).agg(F.sum("n").alias("n")), names, wanted).withColumn("prefix", F.lit(0).cast("bigint"))
         else:
-            # few rows: groups x ranks; Spark broadcasts them if they are small and shuffles otherwise
-            active = targets.select(*(F.col(c).alias(f"h_{c}") for c in [*names, "prefix"])).distinct()
+            # groups x ranks: broadcast if that is few, so that the rows needn't move; shuffled otherwise
+            active = small_side(targets.select(*(F.col(c).alias(f"h_{c}") for c in [*names, "prefix"])).distinct())
             above = rows.withColumn("prefix", F.shiftright(F.col("key"), shift + DIGIT_BITS))
             left = above.join(active, _same([*names, "prefix"]), "left_semi")
             histogram = left.select(*names, "prefix", digit.alias("digit")).groupBy(*names, "prefix", "digit").agg(F.count("*").alias("n"))
