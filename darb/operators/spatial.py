@@ -98,6 +98,47 @@ def near_pairs(points: DataFrame, metres: float) -> DataFrame:
     return rows.select(F.least("x.key", "y.key").alias("key_a"), F.greatest("x.key", "y.key").alias("key_b"))
 
 
+def nearest(points: DataFrame, targets: DataFrame, start_m: float = 250.0) -> DataFrame:
+    """(key, target, metres): the nearest target (target, lat, lon) of each point (key, lat, lon) with usable coordinates.
+
+    Rounds of growing distance: a point that finds targets within the round's distance has its true nearest among
+    them and drops out; the rest go on with four times the distance, up to half the globe. Ties go to the least
+    target. Without targets the result is empty; keys should be distinct.
+    """
+    usable = lambda d, k: d.where(F.col(k).isNotNull() & F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0))
+    rest = durable(usable(points, "key").select("key", "lat", "lon"))
+    goal = usable(targets, "target").select("target", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    out, metres = None, start_m
+    while True:
+        home = goal.withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), metres, 2 * metres, False)))
+        probe = rest.withColumn("cell", F.explode(_cells(F.col("lat"), F.col("lon"), metres, 2 * metres, True)))
+        distance = haversine_m("lat", "lon", "t_lat", "t_lon")
+        found = probe.join(home, "cell").withColumn("metres", distance).where(F.col("metres") <= metres)
+        best = durable(found.groupBy("key").agg(F.min(F.struct("metres", "target")).alias("b")).select("key", "b.target", "b.metres"))
+        out = best if out is None else out.unionByName(best)
+        rest = durable(rest.join(best, "key", "left_anti"))
+        if metres > math.pi * EARTH_M or rest.isEmpty():
+            return out
+        metres *= 4
+
+
+def nearest_edges(points: DataFrame, edges: DataFrame, reach_deg: float = 0.005) -> DataFrame:
+    """(key, edge, ratio, degrees): the nearest edge of each point and where on it, within `reach_deg` (planar).
+
+    `edges`: (edge, x1, y1, x2, y2). An edge is put into every grid cell that its box, grown by the reach,
+    overlaps; a point has one cell, so a match comes out once. Points with nothing in reach give no row.
+    """
+    from darb.functions.geo import segment_distance, segment_ratio
+
+    cell = lambda v: F.floor(v / (2 * reach_deg)).cast("bigint")
+    span = lambda a, b: F.sequence(cell(F.least(a, b) - reach_deg), cell(F.greatest(a, b) + reach_deg))
+    placed = edges.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
+    at = points.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
+    near = at.join(placed, ["cx", "cy"]).withColumn("degrees", segment_distance("x", "y", "x1", "y1", "x2", "y2")).where(F.col("degrees") <= reach_deg)
+    best = near.groupBy("key").agg(F.min(F.struct("degrees", "edge", segment_ratio("x", "y", "x1", "y1", "x2", "y2").alias("ratio"))).alias("b"))
+    return best.select("key", "b.edge", "b.ratio", "b.degrees")
+
+
 def polygon_edges(vertices: DataFrame) -> DataFrame:
     """Edges (region, x1, y1, x2, y2) of rings given as (region, seq, x, y).
 
