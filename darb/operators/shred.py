@@ -128,7 +128,7 @@ def whole_number(text: Column) -> Column:
     return F.coalesce(plain, F.when(wide == F.floor(wide), F.floor(wide).cast("string")), t)
 
 
-def _on(child: DataFrame, parent: DataFrame, names: dict[str, str]) -> DataFrame:
+def on_parent(child: DataFrame, parent: DataFrame, names: dict[str, str]) -> DataFrame:
     """Children with columns of their parents, matched on (record_id, node)."""
     above = parent.select("record_id", F.col("node").alias("parent"), *(F.col(a).alias(b) for a, b in names.items()))
     return child.join(above, ["record_id", "parent"])
@@ -144,8 +144,8 @@ def request_tables(requests: DataFrame) -> dict[str, DataFrame]:
     found = durable(entities(nodes, ["buses", "routes", "path", "students"], ["id", "capacity", "node_id"]))
     of = lambda label: found.where(F.col("label") == label)
     buses, routes = of("buses").where("parent = 0"), of("routes").where("parent = 0")
-    stops = _on(of("path"), routes, {"pos": "route_pos", "id": "route_id"})
-    students = _on(of("students"), stops, {"pos": "stop_pos", "route_pos": "route_pos", "node_id": "stop_node_id"})
+    stops = on_parent(of("path"), routes, {"pos": "route_pos", "id": "route_id"})
+    students = on_parent(of("students"), stops, {"pos": "stop_pos", "route_pos": "route_pos", "node_id": "stop_node_id"})
     return {"buses": buses, "routes": routes, "stops": stops, "students": students}
 
 
@@ -153,9 +153,9 @@ def run_tables(runs: DataFrame) -> dict[str, DataFrame]:
     """Related tables of the run outputs: routes (with their mode) and synthetic crossings."""
     nodes = shred(runs, "output_id", "payload").repartition("record_id")
     found = durable(entities(nodes, None, ["route_id", "strategy"]))
-    modes = _on(found, found.where("label = 'modes' AND parent = 0"), {"label": "holder"}).select("record_id", "node", F.col("label").alias("mode"))
-    routes = _on(found.where("label = 'routes'"), modes, {"mode": "mode"})
-    crossings = _on(found.where("label = 'synthetic_crossings'"), found.where("label = 'debug_stats' AND parent = 0"), {"label": "holder"})
+    modes = on_parent(found, found.where("label = 'modes' AND parent = 0"), {"label": "holder"}).select("record_id", "node", F.col("label").alias("mode"))
+    routes = on_parent(found.where("label = 'routes'"), modes, {"mode": "mode"})
+    crossings = on_parent(found.where("label = 'synthetic_crossings'"), found.where("label = 'debug_stats' AND parent = 0"), {"label": "holder"})
     return {"routes": routes, "crossings": crossings}
 
 
