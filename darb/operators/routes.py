@@ -7,6 +7,9 @@ all of them share one shuffle on route_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,42 +142,56 @@ def best_so_far(log: DataFrame, group: str, order: str, value: str) -> DataFrame
     return out.withColumn("stalled", F.row_number().over(Window.partitionBy(group, "__era").orderBy(order)) - 1).drop("__up", "__era")
 
 
+def _improved(order: list, cost: dict, epsilon: float) -> tuple[list, float, float]:
+    """First-improvement 2-opt of the interior: (order, minutes, saved)."""
+    far = 1e9
+
+    def total(seq: list) -> float:
+        return sum(cost.get(p, 0.0 if p[0] == p[1] else far) for p in zip(seq, seq[1:]))
+
+    start = best = total(order)
+    moved = True
+    while moved:
+        moved = False
+        for i in range(1, len(order) - 2):
+            for j in range(i + 1, len(order) - 1):
+                trial = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+                value = total(trial)
+                if value < best - epsilon:
+                    order, best, moved = trial, value, True
+                    break
+            if moved:
+                break
+    return order, best, start - best
+
+
+def _two_opt_rows(epsilon: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders, totals, saved = [], [], []
+            for nodes, src, dst, minutes in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                order, best, gain = _improved(nodes, dict(zip(zip(src or (), dst or ()), minutes or ())), epsilon)
+                orders.append(order)
+                totals.append(best)
+                saved.append(gain)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(orders, batch.column(1).type), pa.array(totals, pa.float64()), pa.array(saved, pa.float64())], names=["route_id", "nodes", "total_min", "saved_min"])
+
+    return run
+
+
 def two_opt(stops: DataFrame, od: DataFrame, epsilon: float = 0.01) -> DataFrame:
     """(route_id, seq, node_id, total_min, saved_min): interior segments reversed while that saves over `epsilon` minutes.
 
-    The moves depend on each other, so a route is one group of a grouped-map Arrow function; it gets the pairs of
-    its own stops only. Pairs that the matrix lacks are unreachable.
+    The moves depend on each other, so a route is worked on as a whole: one row holds its stops and the pairs of
+    its own stops (a route's length bounds both), and rows go through Python in Arrow batches. Pairs that the
+    matrix lacks are unreachable.
     """
     sources = stops.select(F.col("route_id").alias("pair_route"), F.col("node_id").alias("src")).distinct()
     targets = stops.select(F.col("route_id").alias("pair_route"), F.col("node_id").alias("dst")).distinct()
-    pairs = sources.join(targets, "pair_route").join(od.select("src", "dst", "minutes"), ["src", "dst"]).select("pair_route", "src", "dst", "minutes")
-
-    def improve(key, left, right):
-        import pandas as pd
-
-        left = left.sort_values("seq")
-        order = left["node_id"].tolist()
-        cost = {(a, b): m for a, b, m in zip(right["src"], right["dst"], right["minutes"])}
-        far = 1e9
-
-        def total(seq):
-            return sum(cost.get(p, 0.0 if p[0] == p[1] else far) for p in zip(seq, seq[1:]))
-
-        start = best = total(order)
-        moved = True
-        while moved:
-            moved = False
-            for i in range(1, len(order) - 2):
-                for j in range(i + 1, len(order) - 1):
-                    trial = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
-                    value = total(trial)
-                    if value < best - epsilon:
-                        order, best, moved = trial, value, True
-                        break
-                if moved:
-                    break
-        return pd.DataFrame({"route_id": key[0], "seq": range(len(order)), "node_id": order, "total_min": best, "saved_min": start - best})
-
+    pairs = sources.join(targets, "pair_route").join(od.select("src", "dst", "minutes"), ["src", "dst"])
+    costs = pairs.groupBy("pair_route").agg(F.collect_list(F.struct("src", "dst", "minutes")).alias("c"))
+    ordered = stops.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", "node_id"))).alias("s"))
+    rows = ordered.join(costs, F.col("route_id") == F.col("pair_route"), "left").select("route_id", F.col("s.node_id").alias("nodes"), F.col("c.src").alias("src"), F.col("c.dst").alias("dst"), F.col("c.minutes").alias("minutes"))
     kind = dict(stops.dtypes)
-    schema = f"route_id {kind['route_id']}, seq int, node_id {kind['node_id']}, total_min double, saved_min double"
-    return stops.select("route_id", "seq", "node_id").groupBy("route_id").cogroup(pairs.groupBy("pair_route")).applyInPandas(improve, schema)
+    done = rows.mapInArrow(_two_opt_rows(epsilon), f"route_id {kind['route_id']}, nodes array<{kind['node_id']}>, total_min double, saved_min double")
+    return done.select("route_id", F.posexplode("nodes").alias("seq", "node_id"), "total_min", "saved_min")

@@ -189,15 +189,15 @@ def q_used_crossing_pct(spark, sf):
 
 def _insertions(spark, sf):
     """Students look at the nodes of the routes of their zone (a key join, as a grid would give)."""
-    v = views.visits(spark, sf).select("route_id", "node_id").distinct().withColumn("zone", F.col("route_id") % 997)
-    s = views.students(spark, sf).select("student_id", (F.col("student_id") % 997).alias("zone"))
+    v = views.visits(spark, sf).select("route_id", "node_id").distinct().withColumn("zone", F.col("route_id") % 4999)
+    s = views.students(spark, sf).select("student_id", (F.col("student_id") % 4999).alias("zone"))
     candidates = s.join(v, "zone").select("student_id", "route_id", F.col("node_id").cast("bigint").alias("node_id"))
     od = views.od_matrix(spark, sf)
     return routes.insertion_costs(routes.legs(views.route_stops(spark, sf), od), candidates, od)
 
 
 _INSERTIONS = with_views("students", "legs") + """, cand AS (
-  SELECT s.student_id, v.route_id, v.node_id FROM students s JOIN (SELECT DISTINCT route_id, node_id FROM visits) v ON v.route_id % 997 = s.student_id % 997),
+  SELECT s.student_id, v.route_id, v.node_id FROM students s JOIN (SELECT DISTINCT route_id, node_id FROM visits) v ON v.route_id % 4999 = s.student_id % 4999),
 ins AS (
   SELECT c.student_id, c.route_id, l.seq, c.node_id, a.minutes + b.minutes - l.minutes AS delta FROM cand c JOIN legs l ON l.route_id = c.route_id
   JOIN od a ON a.src = l.src AND a.dst = c.node_id JOIN od b ON b.src = c.node_id AND b.dst = l.dst
