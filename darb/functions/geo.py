@@ -63,7 +63,7 @@ def segment_ratio(px, py, ax, ay, bx, by) -> Column:
     px, py, ax, ay, bx, by = map(_c, (px, py, ax, ay, bx, by))
     dx, dy = bx - ax, by - ay
     t = F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.0))
+    return F.when(t.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
 
 
 def segment_distance(px, py, ax, ay, bx, by) -> Column:

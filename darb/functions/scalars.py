@@ -67,7 +67,7 @@ def turn_penalty(bearing_in, bearing_out, sharp: float = 45.0, u_turn: float = 1
 
 
 def ride_cap(direct, base, offset) -> Column:
-    """max(base, direct + offset); a direct time of 0 or less counts as base, an infinite one lifts the cap."""
+    """max(base, direct + offset); a direct time of 0 or less, or none, counts as base, an infinite one lifts the cap."""
     d = _c(direct)
     return F.when(d <= 0, _c(base)).otherwise(F.greatest(_c(base), d + _c(offset)))
 
@@ -113,9 +113,9 @@ def relative_change(old, new, least: float = 1e-12) -> Column:
 
 
 def clamped_percent(part, whole) -> Column:
-    """100 * part / whole with part held between 0 and whole; null where whole isn't positive."""
+    """100 * part / whole with part held between 0 and whole; null where whole isn't positive or part is missing."""
     w = _c(whole)
-    return F.when(w > 0, F.greatest(F.lit(0), F.least(_c(part), w)) * 100.0 / w)
+    return F.when((w > 0) & _c(part).isNotNull(), F.greatest(F.lit(0), F.least(_c(part), w)) * 100.0 / w)
 
 
 def run_timestamp(text) -> Column:
