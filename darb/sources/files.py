@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Orders the lines of a file, also when it is read in several splits.
-_LINE = F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b"))
+def _line() -> Column:
+    """Orders the lines of a file, also when it is read in several splits."""
+    return F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b")).alias("line")
 
 
 def _numbered(df: DataFrame, file: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ def bus_instance(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     Stops and addresses are numbered from 0 in the order of the file, within each instance; a name may hold
     commas. Lines are told by their tag, not by the header's counts, so the files split.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("instance"), _LINE.alias("line"), F.trim("value").alias("value"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("instance"), _line(), F.trim("value").alias("value"))
     tagged = lambda tag, n: lines.where(F.col("value").startswith(f"{tag},")).select("instance", "line", F.split("value", ",", n).alias("f"))
     d = lambda i: F.trim(F.col("f")[i]).try_cast("double")
     n = lambda i: F.trim(F.col("f")[i]).try_cast("int")
@@ -36,7 +37,7 @@ def bus_instance(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def boundary_ring(spark: SparkSession, path: str) -> DataFrame:
     """(ring, seq, lon, lat) of a boundary CSV: named columns in any order, or lon,lat without a header; rows that aren't numbers don't count."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("ring"), _LINE.alias("line"), F.lower(F.trim("value")).alias("v"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("ring"), _line(), F.lower(F.trim("value")).alias("v"))
     head = lines.where(F.col("v").contains("lat")).groupBy("ring").agg(F.min_by("v", "line").alias("head"))
     names = F.transform(F.split("head", ","), F.trim)
     parts = F.split("v", ",")
