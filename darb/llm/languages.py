@@ -1,8 +1,8 @@
 """Languages of documents and of their segments, with a confidence, by hyperdimensional profiles.
 
 Method: every letter has a fixed random vector of +1 and -1. The vector of an n-gram binds (multiplies) the
-letters' vectors, each permuted (rotated) by its place; n-grams of a language's text are bundled (added) into
-the language's prototype. A segment is bundled likewise and compared with the prototypes by cosine; as bundles
+letters' vectors, each permuted (rotated) by its place; the n-grams of a language's words are bundled (added)
+into the language's prototype, a word weighing the logarithm of its count, so that stock phrases don't rule it. A segment is bundled likewise and compared with the prototypes by cosine; as bundles
 add up, its dot product with a prototype is the sum of those of its n-grams, which are computed once per word
 and remembered. Prototypes are centred on their mean, so what all languages share doesn't count.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from darb.session import durable
 
 DIMENSIONS, GRAM, WINDOW, SWITCH, SHARE = 4096, 3, 12, 3.0, 0.15
-SAMPLE_PER_LANGUAGE, ROUNDS = 2000, 3
+SAMPLE_PER_LANGUAGE, ROUNDS, TASKS, POWER = 2000, 3, 16, 0.8
 
 #: Codes (ISO 639-1, 639-2/T, 639-2/B) and English names of the languages.
 LANGUAGES = {
@@ -169,41 +169,55 @@ class Prototypes:
         return 1.0 / (1.0 + np.exp(-np.clip((scores[rows, chosen] - rest.max(1)) / self.scale, -30, 30)))
 
 
-def _bundle(prototypes: Prototypes | None, dimensions: int):
-    """Partial bundles of a task: per language the sum of its n-grams' vectors, the segments' margins and words."""
+def _word_counts(prototypes: Prototypes | None):
+    """Counts of the words of a task's segments that agree with their label, with the segments' margins and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {c: Counter() for c in CODES}
+        counts: Counter = Counter()
         margin, seen = 0.0, 0
         for batch in batches:
             for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                segments = segments_of(text)
-                if not segments:
-                    continue
-                kept = segments
-                if prototypes is not None:
+                segments = kept = segments_of(text)
+                if prototypes is not None and segments:
                     scores = prototypes.segment_scores(segments)
-                    chosen = prototypes.path(scores)
                     own = CODES.index(code)
-                    kept = [s for s, c in zip(segments, chosen) if c == own]
+                    kept = [s for s, c in zip(segments, prototypes.path(scores)) if c == own]
                     ordered = np.sort(scores, axis=1)
                     margin += float((ordered[:, -1] - ordered[:, -2]).sum())
                     seen += sum(len(s[2]) for s in segments)
-                counts[code].update(g for _, _, words in kept for w in words for g in grams_of(w))
+                counts.update((code, w) for _, _, words in kept for w in words)
+        rows = [(code, w, n, 0.0, 0) for (code, w), n in counts.items()] + [(None, None, 0, margin, seen)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64()))], names=["code", "word", "n", "margin", "words"])
+
+    return run
+
+
+def _bundle(dimensions: int):
+    """Partial bundles of a task: per language the sum of the vectors of its words' n-grams, a word weighing the logarithm of its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = {c: Counter() for c in CODES}
+        for batch in batches:
+            for code, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for g in grams_of(word):
+                    weights[code][g] += float(n) ** POWER
         grams = Grams(dimensions)
         bundles = []
         for code in CODES:
             total = np.zeros(dimensions, np.float64)
-            names = list(counts[code])
+            names = list(weights[code])
             for k in range(0, len(names), 1024):
                 part = names[k : k + 1024]
-                total += np.array([counts[code][g] for g in part], np.float32) @ grams.vectors(part).astype(np.float32)
+                total += np.array([weights[code][g] for g in part], np.float32) @ grams.vectors(part).astype(np.float32)
             bundles.append(total.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(CODES), pa.array(bundles, pa.binary()), pa.array([margin] * len(CODES)), pa.array([seen] * len(CODES), pa.int64())], names=["code", "bundle", "margin", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(CODES), pa.array(bundles, pa.binary())], names=["code", "bundle"])
 
     return run
 
 
+_COUNTS = "code string, word string, n bigint, margin double, words bigint"
+
+
 def fit(documents: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS, dimensions: int = DIMENSIONS) -> Prototypes:
     """Prototypes of the languages, from documents (doc_id, text, lang) whose label names one.
 
@@ -215,10 +229,11 @@ def fit(documents: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, ro
     for code, n in found.items():
         rate = F.when(F.col("code") == code, F.lit(min(1.0, sample_per_language / n))).otherwise(rate)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = durable(labelled.where(draw < rate).select("code", "text").repartition(16))
+    sample = durable(labelled.where(draw < rate).select("code", "text").repartition(TASKS))
     prototypes = None
     for _ in range(rounds):
-        rows = sample.mapInArrow(_bundle(prototypes, dimensions), "code string, bundle binary, margin double, words bigint").collect()  # 16 tasks x 6 languages
+        counts = sample.mapInArrow(_word_counts(prototypes), _COUNTS).where("code IS NOT NULL").groupBy("code", "word").agg(F.sum("n").alias("n"))
+        rows = counts.repartition(TASKS).mapInArrow(_bundle(dimensions), "code string, bundle binary").collect()  # tasks x languages
         total = np.zeros((len(CODES), dimensions))
         for r in rows:
             total[CODES.index(r["code"])] += np.frombuffer(r["bundle"])
@@ -228,10 +243,9 @@ def fit(documents: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, ro
         centred = unit - unit[present].mean(0) if present.any() else unit
         centred[~present] = 0
         size = np.linalg.norm(centred, axis=1, keepdims=True)
-        matrix = np.divide(centred, size, out=np.zeros_like(centred), where=size > 0).astype(np.float32)
-        prototypes = Prototypes(matrix)
-    rows = sample.mapInArrow(_bundle(prototypes, dimensions), "code string, bundle binary, margin double, words bigint").where(F.col("code") == CODES[0]).agg(F.sum("margin").alias("m"), F.sum("words").alias("w")).first()
-    return Prototypes(prototypes.matrix, scale=(rows["m"] / rows["w"]) if rows["w"] and rows["m"] else 1.0)
+        prototypes = Prototypes(np.divide(centred, size, out=np.zeros_like(centred), where=size > 0).astype(np.float32))
+    seen = sample.mapInArrow(_word_counts(prototypes), _COUNTS).where("code IS NULL").agg(F.sum("margin").alias("m"), F.sum("words").alias("w")).first()
+    return Prototypes(prototypes.matrix, scale=(seen["m"] / seen["w"]) if seen["w"] and seen["m"] else 1.0)
 
 
 def _classified(prototypes: Prototypes, share: float, segments_out: bool):
