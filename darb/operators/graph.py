@@ -23,10 +23,10 @@ def enrich_edges(edges: DataFrame, road_types: DataFrame, default_kph: float = 3
     safe. Speeds in miles are converted.
     """
     types = road_types.select(F.col("highway").alias("__h"), "multiplier", "safe")
-    fallback = F.broadcast(road_types.where("highway = 'default'").agg(F.max("multiplier").alias("__m"), F.bool_or("safe").alias("__s")))
-    out = edges.withColumn("road_class", road_class("highway")).join(small_side(types), F.col("road_class") == F.col("__h"), "left").crossJoin(fallback)  # one row
-    kph = speed_kph("maxspeed", default_kph) * F.coalesce("multiplier", "__m", F.lit(1.0))
-    return out.select(*edges.columns, "road_class", kph.alias("kph"), travel_minutes("metres", kph).alias("minutes"), F.coalesce("safe", "__s", F.lit(True)).alias("safe"))
+    fallback = road_types.where("highway = 'default'").agg(F.max("multiplier").alias("m"), F.bool_or("safe").alias("s")).first()  # one row
+    out = edges.withColumn("road_class", road_class("highway")).join(small_side(types), F.col("road_class") == F.col("__h"), "left")
+    kph = speed_kph("maxspeed", default_kph) * F.coalesce("multiplier", F.lit(fallback["m"]), F.lit(1.0))
+    return out.select(*edges.columns, "road_class", kph.alias("kph"), travel_minutes("metres", kph).alias("minutes"), F.coalesce("safe", F.lit(fallback["s"]), F.lit(True)).alias("safe"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -78,15 +78,18 @@ def reachable_with_flag(seeds: DataFrame, edges: DataFrame, limit: float) -> Dat
 
 
 def travel_matrix(sources: DataFrame, targets: DataFrame, edges: DataFrame, cutoff: float = 60.0) -> DataFrame:
-    """(src, dst, minutes): least minutes between sources and targets (node); +Infinity beyond the cutoff.
+    """(src, dst, minutes): least minutes from sources to the targets (node) that they reach by the cutoff.
 
-    The diagonal is always there. The pairs asked for are the result, so their number is the caller's.
+    A source that is a target reaches itself in 0 minutes. A pair that isn't there is unreachable; see pair_times.
     """
     seeds = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")).distinct()
     found = shortest_within(seeds, edges.select("u", "v", F.col("minutes").alias("cost")), cutoff)
-    wanted = seeds.select(F.col("source").alias("src")).crossJoin(small_side(targets.select(F.col("node").alias("dst")).distinct()))  # the matrix itself
-    known = found.select(F.col("source").alias("src"), F.col("node").alias("dst"), F.col("cost").alias("minutes"))
-    return wanted.join(known, ["src", "dst"], "left").select("src", "dst", F.coalesce("minutes", F.lit(float("inf"))).alias("minutes"))
+    return found.join(targets.select("node"), "node", "left_semi").select(F.col("source").alias("src"), F.col("node").alias("dst"), F.col("cost").alias("minutes"))
+
+
+def pair_times(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
+    """The pairs (src, dst, ...) asked for with their minutes, +Infinity where the matrix has none."""
+    return pairs.join(matrix.select("src", "dst", "minutes"), ["src", "dst"], "left").withColumn("minutes", F.coalesce("minutes", F.lit(float("inf"))))
 
 
 def extend_matrix(matrix: DataFrame, sources: DataFrame, targets: DataFrame, edges: DataFrame, cutoff: float = 60.0) -> DataFrame:

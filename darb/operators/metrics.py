@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darb.functions.scalars import TIERS, bin_start, clamped_percent, finite, tier_rank
+from darb.operators.ordered import medians
 
 
 def _share(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
 
 
+def _beside(base: DataFrame, more: DataFrame, groups: list[str]) -> DataFrame:
+    """`base` with the other columns of `more`, one row per group in both; null group values match."""
+    renamed = more.select(*(F.col(c).alias(f"__r_{c}") for c in groups), *[c for c in more.columns if c not in groups])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in groups])
+    return base.join(renamed, same, "left").drop(*(f"__r_{c}" for c in groups))
+
+
 def service_rate(riders: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, served, total, rate): rate is 0.0 for a group without riders that count; a null flag is not served."""
     served = F.sum(F.coalesce(F.col("served"), F.lit(False)).cast("bigint"))
@@ -42,8 +52,10 @@ def cap_violations(riders: DataFrame, groups: list[str], ride: str = "ride_min",
 
 def walk_statistics(riders: DataFrame, groups: list[str], speed: float = 80.0) -> DataFrame:
     """Mean, exact median, maximum and minimum walk, mean minutes, and mean use of the walk limit in percent."""
-    used = F.when(F.col("walk_limit_m") > 0, F.least(F.col("walk_m") / F.col("walk_limit_m"), F.lit(1.0)) * 100.0)
-    return riders.groupBy(*groups).agg(F.avg("walk_m").alias("avg_m"), F.median("walk_m").alias("median_m"), F.max("walk_m").alias("max_m"), F.min("walk_m").alias("min_m"), (F.avg("walk_m") / speed).alias("avg_min"), F.avg(used).alias("used_pct"))
+    used = F.when((F.col("walk_limit_m") > 0) & F.col("walk_m").isNotNull(), F.least(F.col("walk_m") / F.col("walk_limit_m"), F.lit(1.0)) * 100.0)
+    base = riders.groupBy(*groups).agg(F.avg("walk_m").alias("avg_m"), F.max("walk_m").alias("max_m"), F.min("walk_m").alias("min_m"), (F.avg("walk_m") / speed).alias("avg_min"), F.avg(used).alias("used_pct"))
+    middle = medians(riders.select(*groups, "walk_m"), groups, "walk_m").withColumn("median_m", (F.col("lower") + F.col("upper")) / 2)
+    return _beside(base, middle.select(*groups, "median_m"), groups)
 
 
 def mean_with_stale_zeros(riders: DataFrame, groups: list[str], stored: str, fallback: str) -> DataFrame:
@@ -81,9 +93,10 @@ def used_and_considered(df: DataFrame, groups: list[str]) -> DataFrame:
 def value_shares(df: DataFrame, group: list[str], value: str, digits: int = 6) -> DataFrame:
     """(group, value, n, share): counts of each value and their share in the group; null is 'unknown'."""
     counts = df.groupBy(*group, F.coalesce(F.col(value).cast("string"), F.lit("unknown")).alias(value)).agg(F.count("*").alias("n"))
-    whole = counts.groupBy(*group).agg(F.sum("n").alias("__n")) if group else counts.agg(F.sum("n").alias("__n"))
-    joined = counts.join(whole, group) if group else counts.crossJoin(F.broadcast(whole))  # one row
-    return joined.select(*group, value, "n", F.round(F.col("n") / F.col("__n"), digits).alias("share"))
+    key = [*group, "__one"]
+    keyed = counts.withColumn("__one", F.lit(1))
+    whole = keyed.groupBy(*key).agg(F.sum("n").alias("__n"))
+    return _beside(keyed, whole, key).select(*group, value, "n", F.round(F.col("n") / F.col("__n"), digits).alias("share"))
 
 
 def size_summary(runs: DataFrame) -> DataFrame:
@@ -125,17 +138,11 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list, measure: st
 
 
 def distribution(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Minimum, maximum, mean, the upper of the two middle values, and how many values are missing.
-
-    The upper median is the exact percentile at rank floor(n / 2), found by the JVM's counted percentile.
-    """
+    """Minimum, maximum, mean, the upper of the two middle values, and how many values are missing."""
     v = finite(value)
     base = df.groupBy(*groups).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"))
-    ranked = df.select(*groups, v.alias("__v")).where("__v IS NOT NULL").groupBy(*groups, "__v").agg(F.count("*").alias("__c"))
-    upto = ranked.withColumn("__to", F.sum("__c").over(Window.partitionBy(*groups).orderBy("__v")))
-    total = ranked.groupBy(*groups).agg(F.sum("__c").alias("__n"))
-    middle = upto.join(total, groups).where(F.col("__to") > F.floor(F.col("__n") / 2)).groupBy(*groups).agg(F.min("__v").alias("upper_median"))
-    return base.join(middle, groups, "left")
+    middle = medians(df.select(*groups, v.alias("__v")), groups, "__v").select(*groups, F.col("upper").alias("upper_median"))
+    return _beside(base, middle, groups)
 
 
 def operator_statistics(calls: DataFrame, iterations: int) -> DataFrame:

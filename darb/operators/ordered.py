@@ -1,4 +1,4 @@
-"""Previous and next rows within a group, without a task per group.
+"""Neighbours, running sums and order statistics within a group, without a task per group.
 
 A window function sorts a whole group in one task. Here the rows are range-partitioned by (group, order), so a
 group with a third of all rows is shared by many tasks; inside a partition a window per (partition, group)
@@ -8,7 +8,9 @@ named columns supplies them; of a group it has as many rows as partitions hold t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darb.session import durable, shuffle_partitions
@@ -35,3 +37,39 @@ def with_neighbour(df: DataFrame, group: list[str], order: list[str], columns: d
     on = [shifted[c].eqNullSafe(offer[c]) for c in [*key, "__n"]]
     joined = shifted.join(offer.select(*key, "__n", "__edge"), on, "left")
     return joined.select(*[shifted[c] for c in df.columns], *[F.coalesce(shifted[f"__in_{c}"], F.struct(offer["__edge"][c].alias(c)))[c].alias(new) for c, new in columns.items()])
+
+
+def with_running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """`df` plus, as `name`, the sum of `value` over the group's rows up to and with this one.
+
+    (group, order) should identify a row. Sums within a range partition come from a window per (partition,
+    group), what lies before from a table with one row per (partition, group).
+    """
+    n = shuffle_partitions(df.sparkSession)
+    parts = durable(df.repartitionByRange(n, *group, *order).withColumn("__pid", F.spark_partition_id()))
+    local = F.sum(value).over(Window.partitionBy("__pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("__pid", *group).agg(F.sum(value).alias("__sum"))
+    offsets = sums.select(*(F.col(c).alias(f"__o_{c}") for c in ["__pid", *group]), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__off"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in ["__pid", *group]])
+    return parts.withColumn("__local", local).join(offsets, same, "left").select(*df.columns, (F.col("__local") + F.col("__off")).alias(name))
+
+
+def at_ranks(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(groups, n, *ranks): the group's values at the given 0-based ranks, each an expression of the group's size `n`.
+
+    Equal values are counted before anything is ordered. Null values don't count; groups without values give no
+    row; null group values are a group of their own.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__c"))
+    upto = with_running_total(counts, groups, [value], "__c", "__to")
+    sizes = counts.groupBy(*groups).agg(F.sum("__c").alias("n")).select(*(F.col(c).alias(f"__s_{c}") for c in groups), "n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in groups])
+    placed = upto.join(sizes, same)
+    picked = [F.min(F.when(F.col("__to") > r, F.col(value))).alias(name) for name, r in ranks.items()]
+    return placed.groupBy(*groups, "n").agg(*picked)
+
+
+def medians(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, n, lower, upper): the two middle values of each group, equal where its size is odd."""
+    return at_ranks(df, groups, value, {"lower": F.floor((F.col("n") - 1) / 2), "upper": F.floor(F.col("n") / 2)})

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from darb.functions.geo import EARTH_M, haversine_m
 from darb.operators.intervals import student_key
 from darb.operators.ordered import with_neighbour
-from darb.session import durable, small_side
+from darb.session import BROADCAST_ROWS, durable
 
 #: Members of one location are handled in blocks of this size where pairs are expanded.
 BLOCK = 256
+#: Over how many tasks the points of a strip are spread where the edges are too many to broadcast.
+STRIP_SALTS = 16
 
 
 def _cells(lat: Column, lon: Column, metres: float, cell_m: float, probe: bool) -> Column:
@@ -172,7 +174,11 @@ def points_in_regions(points: DataFrame, vertices: DataFrame, strips: int = 4096
     inside_box = F.col("y").between(low, high) & F.col("x").between(box["x_low"] or 0.0, box["x_high"] or 0.0)
     usable = points.where(F.col("key").isNotNull() & inside_box).select("key", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).distinct()
     places = usable.select("x", "y").distinct().withColumn("strip", strip(F.col("y")))
-    met = places.join(small_side(binned), "strip")
+    if binned.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = places.join(F.broadcast(binned), "strip")
+    else:  # a strip of a city may hold a third of all points: its points are spread, its edges copied
+        salt = F.pmod(F.xxhash64("x", "y"), F.lit(STRIP_SALTS)).cast("int")
+        met = places.withColumn("salt", salt).join(binned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STRIP_SALTS - 1)))), ["strip", "salt"])
     # the edge's x on the ray, and the explicit boundary test
     cross = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("x") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     touches = (cross == 0) & F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))

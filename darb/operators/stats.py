@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from darb.operators.ordered import medians, with_running_total
+
 
 def paired_deltas(df: DataFrame, groups: list[str], seed: str, mode: str, first: str, second: str, measure: str) -> DataFrame:
     """(groups, seed, delta): first mode less second, for seeds that have both, each with a non-null value.
@@ -23,13 +25,13 @@ def paired_deltas(df: DataFrame, groups: list[str], seed: str, mode: str, first:
 def average_ranks(df: DataFrame, groups: list[str], by: Column, name: str = "rank") -> DataFrame:
     """Ranks from 1 per group with ties at their mean rank.
 
-    Ties are counted before ranks are summed over distinct values, so a hot value is one row of the window.
+    Ties are counted before counts are summed up over the distinct values, in range partitions: neither a hot
+    value nor a hot group is one task's.
     """
     keyed = df.withColumn("__v", by)
     counts = keyed.groupBy(*groups, "__v").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*groups).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn(name, F.sum("__c").over(w) - (F.col("__c") - 1) / 2.0).drop("__c")
-    return keyed.join(ranked, [*groups, "__v"]).drop("__v")
+    ranked = with_running_total(counts, groups, ["__v"], "__c", "__to")
+    return keyed.join(ranked.select(*groups, "__v", (F.col("__to") - (F.col("__c") - 1) / 2.0).alias(name)), [*groups, "__v"]).drop("__v")
 
 
 def signed_rank(deltas: DataFrame, groups: list[str], digits: int = 9) -> DataFrame:
@@ -40,8 +42,9 @@ def signed_rank(deltas: DataFrame, groups: list[str], digits: int = 9) -> DataFr
     rounded = deltas.withColumn("__d", F.round("delta", digits))
     ranked = average_ranks(rounded.where("__d <> 0"), groups, F.abs(F.col("__d")))
     sums = ranked.groupBy(*groups).agg(F.count("*").alias("n_used"), F.sum(F.when(F.col("__d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("__d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
-    base = deltas.groupBy(*groups).agg(F.count("*").alias("n_pairs"), F.median("delta").alias("median_delta"), F.avg("delta").alias("mean_delta"))
-    joined = base.join(sums, groups, "left")
+    base = deltas.groupBy(*groups).agg(F.count("*").alias("n_pairs"), F.avg("delta").alias("mean_delta"))
+    middle = medians(deltas.select(*groups, "delta"), groups, "delta").select(*groups, ((F.col("lower") + F.col("upper")) / 2).alias("median_delta"))
+    joined = base.join(middle, groups, "left").join(sums, groups, "left")
     total = F.col("w_plus") + F.col("w_minus")
     return joined.select(*groups, "n_pairs", F.coalesce("n_used", F.lit(0)).alias("n_used"), "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("w"), F.try_divide(F.col("w_plus") - F.col("w_minus"), total).alias("rank_biserial"), "median_delta", "mean_delta")
 

@@ -128,11 +128,13 @@ def test_shortest_within_equals_brute_force(spark):
     assert graph.shortest_within(seeds.limit(0), df, 30.0).count() == 0
 
 
-def test_travel_matrix_has_its_diagonal_and_infinities(spark):
+def test_travel_matrix_has_its_diagonal_and_pairs_their_infinities(spark):
     e = spark.createDataFrame([("a", "b", 5.0), ("b", "c", 100.0)], "u string, v string, minutes double")
     n = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
     got = {(r.src, r.dst): r.minutes for r in graph.travel_matrix(n, n, e, 60.0).collect()}
-    assert got == {(x, y): 0.0 if x == y else 5.0 if (x, y) == ("a", "b") else math.inf for x in "abc" for y in "abc"}
+    assert got == {("a", "a"): 0.0, ("b", "b"): 0.0, ("c", "c"): 0.0, ("a", "b"): 5.0}
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
+    assert {(r.src, r.dst): r.minutes for r in graph.pair_times(pairs, graph.travel_matrix(n, n, e)).collect()} == {("a", "b"): 5.0, ("a", "c"): math.inf}
     more = graph.extend_matrix(graph.travel_matrix(n.where("node = 'a'"), n, e), n, n, e)
     assert {(r.src, r.dst): r.minutes for r in more.collect()} == got
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from darb.functions.geo import EARTH_M, haversine_m
-from darb.operators.ordered import with_neighbour
+from darb.operators import spatial
+from darb.operators.ordered import at_ranks, medians, with_neighbour, with_running_total
 from darb.operators.spatial import near_and_inside, near_pairs, nearest, nearest_edges, points_in_regions
 
 
@@ -69,7 +70,9 @@ def test_rays_through_vertices_closed_rings_repeats_and_nesting(spark):
     assert sorted(tuple(r) for r in points_in_regions(pts, ring).collect()) == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (3, 1), (3, 2), (3, 3)]
 
 
-def test_random_polygons_equal_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 10])
+def test_random_polygons_equal_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(3)
     shapes = {}
     for r in range(6):
@@ -140,6 +143,19 @@ def test_neighbours_across_partitions(spark):
     assert with_neighbour(df.limit(0), ["g"], ["k"], {"v": "w"}).count() == 0
 
 
+def test_running_totals_and_ranks_across_partitions(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "a", None]), k, rng.randrange(40)) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int, v int")
+    got = {(r.g, r.k): r.t for r in with_running_total(df, ["g"], ["k"], "v", "t").collect()}
+    assert got == {(g, k): sum(v for h, j, v in rows if h == g and j <= k) for g, k, _ in rows}
+    middle = {r.g: (r.n, r.lower, r.upper) for r in medians(df.unionByName(spark.createDataFrame([("a", 1, None), ("none", 1, None)], df.schema)), ["g"], "v").collect()}
+    for g in {"hot", "a", None}:
+        vs = sorted(v for h, _, v in rows if h == g)
+        assert middle[g] == (len(vs), vs[(len(vs) - 1) // 2], vs[len(vs) // 2])
+    assert "none" not in middle and at_ranks(df.limit(0), ["g"], "v", {"r": F.lit(0)}).count() == 0
+
+
 def test_haversine_of_columns(spark):
     df = spark.createDataFrame([(30.0, 31.0, 30.1, 31.2)], "a double, b double, c double, d double")
     assert df.select(haversine_m("a", "b", "c", "d")).first()[0] == pytest.approx(metres((30.0, 31.0), (30.1, 31.2)))
