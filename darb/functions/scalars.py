@@ -140,3 +140,47 @@ def bin_start(value, edges: list[float]) -> Column:
         inside = (v >= low) & ((v < high) | ((v == high) if high == edges[-1] else F.lit(False)))
         out = F.when(inside, float(low)).otherwise(out)
     return out
+
+
+def base_cap(mrt_enabled, mrt, floor) -> Column:
+    """The maximum ride time where it is on and positive, else the floor."""
+    return F.when(F.coalesce(_c(mrt_enabled), F.lit(False)) & (_c(mrt) > 0), _c(mrt)).otherwise(_c(floor))
+
+
+def policy_label(caps_on, mrt_enabled, bidirectional, mrt=None) -> Column:
+    """Name of a ride-time policy: No MRT, MRT <minutes>, DMRT Lenient or DMRT Strict."""
+    fixed = F.lit("MRT") if mrt is None else F.concat(F.lit("MRT "), _c(mrt).cast("int").cast("string"))
+    return F.when(~F.coalesce(_c(caps_on), F.lit(True)), "No MRT").when(F.coalesce(_c(mrt_enabled), F.lit(False)), fixed).when(F.coalesce(_c(bidirectional), F.lit(True)), "DMRT Lenient").otherwise("DMRT Strict")
+
+
+def dangerous_road(highway) -> Column:
+    """Whether a road of this class is dangerous to cross on foot; no class is not."""
+    return F.coalesce(road_class(highway).isin("motorway", "trunk", "primary", "secondary"), F.lit(False))
+
+
+def candidate_points(degree, out_rank, wanted_rank: int) -> Column:
+    """A point for a junction of three or more edges, and one for an edge of at least the wanted class that leaves."""
+    return F.coalesce((_c(degree) >= 3).cast("int"), F.lit(0)) + F.coalesce((_c(out_rank) >= wanted_rank).cast("int"), F.lit(0))
+
+
+def dwell_minutes(pickups, seconds: float = 30.0) -> Column:
+    return _c(pickups) * seconds / 60.0
+
+
+def in_box(lat, lon, south, west, north, east) -> Column:
+    """Whether a point lies in a box, its edges included; unknown coordinates don't."""
+    return F.coalesce(_c(lat).between(_c(south), _c(north)) & _c(lon).between(_c(west), _c(east)), F.lit(False))
+
+
+def long_hash(*columns) -> Column:
+    """sha1 of the columns' text, nulls as empty, joined by '|': a cache key."""
+    return F.sha1(F.concat_ws("|", *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in columns]))
+
+
+def fleet_at_least(students, capacity) -> Column:
+    return F.ceil(_c(students) / _c(capacity))
+
+
+def temperature(step, start: float = 1000.0, cooling: float = 0.98) -> Column:
+    """The search's temperature after `step` steps."""
+    return F.lit(start) * F.pow(F.lit(cooling), _c(step))

@@ -66,6 +66,51 @@ def shortest_within(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFra
         best = durable(best.unionByName(frontier).groupBy("source", "node").agg(F.min("cost").alias("cost")))
 
 
+def shortest_paths(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, node, before): for each reached (source, node, cost) a node before it on a shortest path; null at the start.
+
+    `reached` comes from shortest_within with the same edges (u, v, cost); of several the smallest is taken. Following
+    `before` gives the path.
+    """
+    near = reached.select("source", F.col("node").alias("u"), F.col("cost").alias("c"))
+    into = near.join(edges.select("u", "v", F.col("cost").alias("w")), "u").select("source", F.col("v").alias("node"), "u", (F.col("c") + F.col("w")).alias("total"), "w")
+    tight = reached.join(into, ["source", "node"]).where("abs(total - cost) <= 1e-9 * (1 + abs(cost)) AND w > 0").groupBy("source", "node").agg(F.min("u").alias("before"))
+    return reached.select("source", "node").join(tight, ["source", "node"], "left")
+
+
+def path_nodes(steps: DataFrame, ends: DataFrame, most: int = 10_000) -> DataFrame:
+    """(source, target, seq, node): the paths to the targets (source, target), followed back round by round; seq counts from the target."""
+    at = durable(ends.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("seq")))
+    out = at
+    known = durable(steps.where("before IS NOT NULL"))
+    for _ in range(most):
+        at = durable(at.join(known, ["source", "node"]).select("source", "target", F.col("before").alias("node"), (F.col("seq") + 1).alias("seq")))
+        if at.isEmpty():
+            return out
+        out = out.unionByName(at)
+    raise ValueError("a path is longer than the limit")
+
+
+def either_way(pairs: DataFrame, edges: DataFrame, keep: str) -> DataFrame:
+    """Pairs (u, v) with column `keep` of the edge from u to v, or else of the one from v to u, the smallest of parallel ones."""
+    there = edges.groupBy("u", "v").agg(F.min(keep).alias("__a"))
+    back = edges.groupBy(F.col("v").alias("u"), F.col("u").alias("v")).agg(F.min(keep).alias("__b"))
+    return pairs.join(there, ["u", "v"], "left").join(back, ["u", "v"], "left").withColumn(keep, F.coalesce("__a", "__b")).drop("__a", "__b")
+
+
+def path_midpoints(geometry: DataFrame) -> DataFrame:
+    """(edge, lat, lon, points): mean of an edge's polyline (edge, points array of lat, lon); null for an empty one."""
+    mean = lambda f: F.try_divide(F.aggregate("points", F.lit(0.0), lambda a, p: a + p[f]), F.nullif(F.size("points"), F.lit(0)))
+    return geometry.select("edge", mean("lat").alias("lat"), mean("lon").alias("lon"), "points")
+
+
+def path_polylines(paths: DataFrame, geometry: DataFrame) -> DataFrame:
+    """(path_id, points): the polylines of a path's edges (path_id, seq, edge) one behind the other; unknown edges are left out."""
+    joined = paths.join(geometry.select("edge", "points"), "edge")
+    ordered = joined.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("seq", "points"))).alias("p"))
+    return ordered.select("path_id", F.flatten(F.col("p.points")).alias("points"))
+
+
 def reachable_with_flag(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
     """(source, node, cost, only_flagged): least costs, and whether the node is reached only over flagged edges.
 

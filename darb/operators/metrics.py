@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darb.functions.scalars import TIERS, bin_start, clamped_percent, finite, tier_rank
-from darb.operators.ordered import medians
+from darb.operators.ordered import at_ranks, medians
 
 
 def _share(flag: Column) -> Column:
@@ -225,3 +225,58 @@ def shared_boost(candidates: DataFrame) -> DataFrame:
     joined = candidates.join(popular, "node_id")
     order = Window.partitionBy("student_id").orderBy(F.desc(F.col("popularity") >= 2), F.desc("popularity"), "rank", "node_id")
     return joined.select("student_id", "node_id", "popularity", F.row_number().over(order).alias("new_rank"))
+
+
+def quartiles(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, n, q1, q2, q3), linear between ranks, exact at any size."""
+    v = df.select(*groups, finite(value).alias("__v"))
+    at = {f"{side}{i}": f(F.lit(i / 4) * (F.col("n") - 1)) for i in (1, 2, 3) for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    found = at_ranks(v, groups, "__v", at)
+    part = lambda i: F.lit(i / 4) * (F.col("n") - 1) - F.floor(F.lit(i / 4) * (F.col("n") - 1))
+    return found.select(*groups, "n", *((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * part(i)).alias(f"q{i}") for i in (1, 2, 3)))
+
+
+def box(df: DataFrame, groups: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """South, west, north, east and centre of each group's points."""
+    out = df.groupBy(*groups).agg(F.min(lat).alias("south"), F.min(lon).alias("west"), F.max(lat).alias("north"), F.max(lon).alias("east"))
+    return out.withColumn("lat", (F.col("south") + F.col("north")) / 2).withColumn("lon", (F.col("west") + F.col("east")) / 2)
+
+
+def mode_bundle(riders: DataFrame, routes: DataFrame, mode: str = "mode") -> DataFrame:
+    """One row per mode with a run's figures: service, rides, walks and routes side by side.
+
+    `riders`: (mode, served, ride_min, direct_min, cap_min, walk_m, walk_limit_m), `routes`: (mode, load, capacity,
+    total_min, total_km). Each part is one aggregation; they meet on the few modes.
+    """
+    g = [mode]
+    ridden = riders.where(F.coalesce(F.col("served"), F.lit(False)))
+    out = service_rate(riders, g)
+    for part in (ride_ratio(ridden, g), cap_violations(ridden, g), walk_statistics(ridden, g), utilisation(routes.where("load > 0"), g)):
+        out = _beside(out, part, g)
+    totals = routes.where("load > 0").groupBy(mode).agg(F.count("*").alias("active_routes"), F.sum("total_min").alias("route_min"), F.sum("total_km").alias("route_km"), F.avg("total_min").alias("mean_route_min"))
+    return _beside(out, totals, g)
+
+
+def manifest(df: DataFrame, groups: list[str], seed: str) -> DataFrame:
+    return df.groupBy(*groups).agg(F.count_distinct(seed).alias("seeds"), F.count("*").alias("rows"))
+
+
+def tagged_union(parts: dict[str, DataFrame], name: str = "part") -> DataFrame:
+    """Tables one under another with the name of each; columns that a table lacks are null."""
+    out = None
+    for tag, df in parts.items():
+        tagged = df.withColumn(name, F.lit(tag))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out
+
+
+def elapsed(log: DataFrame, group: str, order: str, at: str) -> DataFrame:
+    """Adds elapsed: time since the log's previous row of the group, in the unit of `at`; null for the first."""
+    return log.withColumn("elapsed", F.col(at) - F.lag(at).over(Window.partitionBy(group).orderBy(order)))
+
+
+def trailing(log: DataFrame, group: str, k: str, value: str, patience: int) -> DataFrame:
+    """Adds stop: whether a search over growing k would stop at this row, its value not beating the best for `patience` rows."""
+    from darb.operators.routes import best_so_far
+
+    return best_so_far(log, group, k, value).withColumn("stop", F.col("stalled") >= patience)

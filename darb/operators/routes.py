@@ -92,6 +92,47 @@ def insertion_costs(routes_legs: DataFrame, candidates: DataFrame, od: DataFrame
     return both.select("student_id", "route_id", "seq", "node_id", (F.col("t_uc") + F.col("t_cv") - F.col("t_uv")).alias("delta"))
 
 
+def feasible_insertions(insertions: DataFrame, rides: DataFrame, riders: DataFrame, loads: DataFrame, caps: DataFrame, od: DataFrame) -> DataFrame:
+    """The insertions (with cap checks passed) of insertion_costs: seats left, the new rider's and all earlier riders' caps kept.
+
+    `rides`: legs with ride_min from each stop (morning_rides), `riders`: (route_id, seq, ride_min, cap_min) of those
+    on board, `loads`: (route_id, load, capacity), `caps`: (student_id, cap_min). Riders who board before the
+    new stop ride `delta` longer; whether all may is one running minimum of their slack per route, not a check
+    per pair. Later riders don't notice.
+    """
+    slack = riders.groupBy("route_id", "seq").agg(F.min(F.col("cap_min") - F.col("ride_min")).alias("slack"))
+    upto = _by("route_id", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    legs_slack = rides.select("route_id", "seq", "dst", (F.col("ride_min") - F.col("minutes")).alias("rest_min")).join(slack, ["route_id", "seq"], "left").withColumn("slack", F.min("slack").over(upto))
+    onward = od.select(F.col("src").alias("node_id"), "dst", F.col("minutes").alias("t_cv"))
+    met = insertions.join(legs_slack, ["route_id", "seq"]).join(onward, ["node_id", "dst"]).join(loads.where("load < capacity").select("route_id"), "route_id", "left_semi").join(caps.select("student_id", F.col("cap_min").alias("own_cap")), "student_id")
+    return met.where("(slack IS NULL OR delta <= slack) AND t_cv + rest_min <= own_cap").select(*insertions.columns)
+
+
+def removal_savings(routes_legs: DataFrame, od: DataFrame) -> DataFrame:
+    """(route_id, seq, node_id, saved_min): minutes saved by skipping each interior stop; null if the way round is unknown."""
+    w = _by("route_id", "seq")
+    around = routes_legs.select("route_id", "seq", F.lag("src").over(w).alias("before"), F.col("src").alias("node_id"), F.col("dst").alias("after"), (F.lag("minutes").over(w) + F.col("minutes")).alias("through")).where("before IS NOT NULL")
+    direct = od.select(F.col("src").alias("before"), F.col("dst").alias("after"), F.col("minutes").alias("t"))
+    same = F.when(F.col("before") == F.col("after"), 0.0)
+    return around.join(direct, ["before", "after"], "left").select("route_id", "seq", "node_id", (F.col("through") - F.coalesce("t", same)).alias("saved_min"))
+
+
+def axis_positions(points: DataFrame) -> DataFrame:
+    """Adds axis_m and axis_rank: where (name, side, x, y, bearing) lies along its road's mean bearing through its centroid."""
+    road = Window.partitionBy("name")
+    angle = F.radians(F.avg("bearing").over(road))
+    along = (F.col("x") - F.avg("x").over(road)) * F.sin(angle) + (F.col("y") - F.avg("y").over(road)) * F.cos(angle)
+    return points.withColumn("axis_m", along).withColumn("axis_rank", F.row_number().over(Window.partitionBy("name", "side").orderBy("axis_m", "x", "y")))
+
+
+def route_legend(stops: DataFrame, riders: DataFrame, rides: DataFrame) -> DataFrame:
+    """(route_id, stops, students, first_ride_min): pickups, riders, and the ride from the first stop where anyone boards."""
+    people = riders.groupBy("route_id").agg(F.count_distinct("student_id").alias("students"), F.min("seq").alias("first"))
+    pickups = stops.groupBy("route_id").agg(F.count_if("is_pickup").alias("stops"))
+    first = rides.select("route_id", F.col("seq").alias("first"), F.col("ride_min").alias("first_ride_min"))
+    return pickups.join(people, "route_id", "left").join(first, ["route_id", "first"], "left").select("route_id", "stops", F.coalesce("students", F.lit(0)).alias("students"), "first_ride_min")
+
+
 def cheapest(insertions: DataFrame, cost: str = "delta") -> DataFrame:
     """The best insertion of each student; ties go to the smallest (route, seq, node)."""
     order = F.struct(F.col(cost), F.col("route_id"), F.col("seq"), F.col("node_id"))

@@ -180,3 +180,11 @@ def nested_items(requests: DataFrame, runs: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def numbers_of_key(records: DataFrame, record_id: str, text: str, key: str) -> DataFrame:
+    """(record_id, value): every finite number stored under `key` at any depth, elements of arrays included."""
+    from darb.functions.scalars import finite
+
+    nodes = shred(records, record_id, text).where(F.col("label") == key).where("kind = 'number'")
+    return nodes.select("record_id", finite("scalar").alias("value")).where("value IS NOT NULL")

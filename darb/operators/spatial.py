@@ -124,6 +124,18 @@ def nearest(points: DataFrame, targets: DataFrame, start_m: float = 250.0) -> Da
         metres *= 4
 
 
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:
+    """(key, box) for points (key, x, y) in boxes (box, x1, y1, x2, y2), edges included: a range join by grid cells.
+
+    A box is put into every cell that it overlaps, a point has one cell, so a match comes out once. `cell` should be
+    about a box's size; it changes the work, not the result.
+    """
+    at = lambda v: F.floor(v / cell).cast("bigint")
+    ok = boxes.where("x1 <= x2 AND y1 <= y2").withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.col("x2"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2")))))
+    p = points.select("key", "x", "y", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy"))
+    return p.join(ok, ["cx", "cy"]).where("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2").select("key", "box")
+
+
 def nearest_edges(points: DataFrame, edges: DataFrame, reach_deg: float = 0.005) -> DataFrame:
     """(key, edge, ratio, degrees): the nearest edge of each point and where on it, within `reach_deg` (planar).
 

@@ -80,3 +80,25 @@ def inject_crossings(walk: DataFrame, payload: DataFrame) -> DataFrame:
     """Walk edges (u, v, metres, synthetic, road_class) with a payload's edges in both directions, unless the pair is there."""
     new = payload.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "metres", "road_class").unionByName(payload.select(F.col("hi").alias("u"), F.col("lo").alias("v"), "metres", "road_class")).withColumn("synthetic", F.lit(True))
     return walk.unionByName(new.join(walk.select("u", "v"), ["u", "v"], "left_anti"))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, graph_hash: str) -> None:
+    """A road graph as two tables, a partition per graph; the same graph is replaced."""
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        df.withColumn("graph_hash", F.lit(graph_hash)).write.partitionBy("graph_hash").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_graph(spark: SparkSession, path: str, graph_hash: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph: only its partitions are read."""
+    return tuple(spark.read.parquet(f"{path}/{name}").where(F.col("graph_hash") == graph_hash).drop("graph_hash") for name in ("nodes", "edges"))
+
+
+def newest_file(spark: SparkSession, directory: str, glob: str) -> str | None:
+    """Path of the latest file in a directory that matches, ties to the later name; null if there is none."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory).select("path", "modificationTime")
+    return found.agg(F.max(F.struct("modificationTime", "path")).alias("f")).select("f.path").first()[0]
+
+
+def save_run(df: DataFrame, path: str, run_id: str) -> None:
+    """A run's rows in its own partition of a history."""
+    df.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)

@@ -258,3 +258,98 @@ def test_solver_objective_never_falls_below_the_start():
     found = solver.search(p, 3, 120)
     assert found["objective"] >= p.objective(start) and all(p.load(r) <= 20 for r in found["routes"])
     assert sorted(u for r in found["routes"] for u in r) == list(range(12))
+
+
+def test_feasible_insertions_keep_seats_and_caps(spark):
+    od = matrix(spark, {("S", "a"): 5.0, ("a", "S"): 5.0, ("S", "c"): 2.0, ("c", "a"): 4.0, ("a", "c"): 4.0, ("c", "S"): 3.0})
+    stops = route(spark, (("S", False), ("a", True), ("S", False)), 1)
+    rides = routes.morning_rides(routes.legs(stops, od))
+    cand = spark.createDataFrame([("s1", 1, "c")], "student_id string, route_id int, node_id string")
+    ins = routes.insertion_costs(routes.legs(stops, od), cand, od)  # c before a: delta 1, ride 9; c after a: delta 2, ride 3
+    riders = lambda cap: spark.createDataFrame([(1, 1, 5.0, cap)], "route_id int, seq int, ride_min double, cap_min double")
+    loads = lambda n: spark.createDataFrame([(1, n, 2)], "route_id int, load int, capacity int")
+    caps = lambda x: spark.createDataFrame([("s1", x)], "student_id string, cap_min double")
+    run = lambda a, b, c: sorted(r.seq for r in routes.feasible_insertions(ins, rides, riders(a), loads(b), caps(c), od).collect())
+    assert run(9.0, 1, 20.0) == [0, 1]
+    assert run(6.0, 1, 20.0) == [0]  # a's rider can't ride 2 minutes longer
+    assert run(9.0, 1, 5.0) == [1]  # the new rider can't ride 9 minutes
+    assert run(9.0, 2, 20.0) == []  # no seat
+
+
+def test_savings_legends_and_axes(spark):
+    od = matrix(spark, {("S", "a"): 5.0, ("a", "b"): 3.0, ("b", "S"): 7.0, ("S", "b"): 6.0})
+    legs = routes.legs(route(spark), od)
+    assert sorted((r.node_id, r.saved_min) for r in routes.removal_savings(legs, od).collect()) == [("a", 2.0), ("b", None)]
+    riders = spark.createDataFrame([(1, 2, "x"), (1, 2, "y")], "route_id int, seq int, student_id string")
+    assert [tuple(r) for r in routes.route_legend(route(spark), riders, routes.morning_rides(legs)).collect()] == [(1, 2, 2, 7.0)]
+    p = spark.createDataFrame([("r", "A", 0.0, 5.0, 0.0), ("r", "A", 0.0, 1.0, 0.0), ("r", "B", 1.0, 3.0, 0.0)], "name string, side string, x double, y double, bearing double")
+    assert sorted((r.side, r.y, r.axis_rank) for r in routes.axis_positions(p).collect()) == [("A", 1.0, 1), ("A", 5.0, 2), ("B", 3.0, 1)]
+
+
+def test_paths_can_be_followed(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0), ("c", "a", 1.0)], "u string, v string, cost double")
+    reached = graph.shortest_within(spark.createDataFrame([("a", "a", 0.0)], "source string, node string, cost double"), e, 10.0)
+    steps = graph.shortest_paths(reached, e)
+    assert sorted((r.node, r.before) for r in steps.collect()) == [("a", None), ("b", "a"), ("c", "b")]
+    ends = spark.createDataFrame([("a", "c"), ("a", "a")], "source string, target string")
+    assert sorted((r.target, r.seq, r.node) for r in graph.path_nodes(steps, ends).collect()) == [("a", 0, "a"), ("c", 0, "c"), ("c", 1, "b"), ("c", 2, "a")]
+
+
+def test_geometry_of_paths(spark):
+    g = spark.createDataFrame([("e", [(0.0, 0.0), (2.0, 4.0)]), ("f", [(2.0, 4.0), (3.0, 4.0)]), ("z", [])], "edge string, points array<struct<lat:double,lon:double>>")
+    assert {r.edge: (r.lat, r.lon) for r in graph.path_midpoints(g).collect()} == {"e": (1.0, 2.0), "f": (2.5, 4.0), "z": (None, None)}
+    p = spark.createDataFrame([(1, 1, "f"), (1, 0, "e"), (1, 2, "gone")], "path_id int, seq int, edge string")
+    assert [tuple(x) for x in graph.path_polylines(p, g).first().points] == [(0.0, 0.0), (2.0, 4.0), (2.0, 4.0), (3.0, 4.0)]
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "y")], "u string, v string")
+    edges = spark.createDataFrame([("a", "b", "one"), ("b", "a", "two")], "u string, v string, name string")
+    assert {(r.u, r.v): r.name for r in graph.either_way(pairs, edges.limit(1), "name").collect()} == {("a", "b"): "one", ("b", "a"): "one", ("x", "y"): None}
+
+
+def test_quartiles_bundles_and_unions(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(30) * 1.0) for _ in range(101)] + [("a", float("nan")), ("n", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    import numpy as np
+
+    got = {r.g: (r.n, r.q1, r.q2, r.q3) for r in metrics.quartiles(df, ["g"], "x").collect()}
+    for g in "ab":
+        xs = [x for h, x in rows if h == g and x == x]
+        assert got[g] == (len(xs), *map(float, np.quantile(xs, [0.25, 0.5, 0.75])))
+    assert set(got) == {"a", "b"}
+    riders = spark.createDataFrame([("m", True, 10.0, 5.0, 9.0, 100.0, 200.0), ("m", False, None, None, None, None, None), (None, True, 1.0, 1.0, 2.0, 0.0, 0.0)], "mode string, served boolean, ride_min double, direct_min double, cap_min double, walk_m double, walk_limit_m double")
+    legs = spark.createDataFrame([("m", 1, 4, 20.0, 2.0), ("m", 0, 4, 0.0, 0.0)], "mode string, load int, capacity int, total_min double, total_km double")
+    rows = {r.mode: r for r in metrics.mode_bundle(riders, legs).collect()}
+    m = rows["m"]
+    assert (m.served, m.total, m.mean_ratio, m.violations, m.median_m, m.used_pct, m.utilisation, m.active_routes, m.route_min) == (1, 2, 2.0, 1, 100.0, 50.0, 0.25, 1, 20.0)
+    assert rows[None].active_routes is None and rows[None].median_m == 0.0
+    both = metrics.tagged_union({"x": df.select("g"), "y": df.select("x")})
+    assert both.columns == ["g", "part", "x"] and both.count() == 206
+    log = spark.createDataFrame([("l", i, float(v), v) for i, v in enumerate([1, 4, 4, 4])], "g string, k int, t double, v int")
+    assert [r.elapsed for r in metrics.elapsed(log, "g", "k", "t").orderBy("k").collect()] == [None, 3.0, 0.0, 0.0]
+    assert [r.stop for r in metrics.trailing(log, "g", "k", "v", 2).orderBy("k").collect()] == [False, False, False, True]
+
+
+def test_more_scalars(spark):
+    assert one(spark, scalars.base_cap(True, 70.0, 45.0), scalars.base_cap(True, 0.0, 45.0), scalars.base_cap(F.lit(None).cast("boolean"), 70.0, 45.0)) == (70.0, 45.0, 45.0)
+    assert one(spark, scalars.policy_label(False, True, True), scalars.policy_label(True, True, True, 60.0), scalars.policy_label(True, False, True), scalars.policy_label(True, False, False)) == ("No MRT", "MRT 60", "DMRT Lenient", "DMRT Strict")
+    assert one(spark, scalars.dangerous_road(F.lit("primary_link")), scalars.dangerous_road(F.lit("tertiary")), scalars.dangerous_road(F.lit(None).cast("string"))) == (True, False, False)
+    assert one(spark, scalars.in_box(1.0, 2.0, 1.0, 2.0, 3.0, 4.0), scalars.in_box(F.lit(None).cast("double"), 2.0, 1.0, 2.0, 3.0, 4.0)) == (True, False)
+    assert one(spark, scalars.candidate_points(3, 2, 2), scalars.candidate_points(F.lit(None).cast("int"), 1, 2), scalars.fleet_at_least(71, 70), scalars.temperature(2), scalars.dwell_minutes(4)) == (2, 0, 2, pytest.approx(960.4), 2.0)
+    assert len(one(spark, scalars.long_hash(F.lit("a"), F.lit(None).cast("string")))[0]) == 40
+
+
+def test_population_is_the_same_for_any_partitioning(spark):
+    from darb.operators import population
+
+    make = lambda: population.homes(spark, 500, 42, 30.0, 31.0, {"KG": 1, "HIGH": 3}, {"KG": (4, 5), "HIGH": (15, 17)})
+    a = make().orderBy("student_id").collect()
+    assert a == make().repartition(7).orderBy("student_id").collect()
+    assert all(r.age in ((4, 5) if r.stage == "KG" else (15, 16, 17)) for r in a) and 300 < sum(r.stage == "HIGH" for r in a) < 450
+    assert all(0.39 < math.hypot((r.lat - 30) * 111, (r.lon - 31) * 111 * math.cos(math.radians(30))) < 5.01 for r in a)
+
+
+def test_numbers_of_a_key_at_any_depth(spark):
+    from darb.operators.shred import numbers_of_key
+
+    df = spark.createDataFrame([(1, '{"t": 1.5, "a": [{"t": [2, null, "x"]}, {"b": {"t": 1e400}}], "_c": {"t": 9}}'), (2, "{"), (3, None)], "i int, j string")
+    assert sorted(r.value for r in numbers_of_key(df, "i", "j", "t").collect()) == [1.5, 2.0]

@@ -101,3 +101,17 @@ def test_sinks(spark, tmp_path):
         raise AssertionError("too long")
     except ValueError:
         pass
+
+
+def test_graphs_histories_and_newest_files(spark, tmp_path):
+    n = spark.createDataFrame([("a", 30.0, 31.0)], "node string, lat double, lon double")
+    e = spark.createDataFrame([("a", "a", 1.0)], "u string, v string, metres double")
+    path = str(tmp_path / "g")
+    files.write_graph(n, e, path, "h1")
+    files.write_graph(n.limit(0), e, path, "h2")
+    nodes, edges = files.read_graph(spark, path, "h1")
+    assert nodes.count() == edges.count() == 1 and nodes.columns == n.columns
+    assert files.newest_file(spark, str(tmp_path / "g" / "edges" / "graph_hash=h1"), "*.parquet").endswith(".parquet")
+    files.save_run(e, str(tmp_path / "runs"), "r1")
+    files.save_run(e, str(tmp_path / "runs"), "r2")
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from darb.functions.geo import EARTH_M, haversine_m
 from darb.operators import spatial
 from darb.operators.ordered import at_ranks, medians, with_neighbour, with_running_total
-from darb.operators.spatial import near_and_inside, near_pairs, nearest, nearest_edges, points_in_regions
+from darb.operators.spatial import near_and_inside, near_pairs, nearest, nearest_edges, points_in_boxes, points_in_regions
 
 
 def metres(a, b):
@@ -159,3 +159,9 @@ def test_running_totals_and_ranks_across_partitions(spark):
 def test_haversine_of_columns(spark):
     df = spark.createDataFrame([(30.0, 31.0, 30.1, 31.2)], "a double, b double, c double, d double")
     assert df.select(haversine_m("a", "b", "c", "d")).first()[0] == pytest.approx(metres((30.0, 31.0), (30.1, 31.2)))
+
+
+def test_points_in_boxes(spark):
+    b = spark.createDataFrame([(1, 0.0, 0.0, 0.2, 0.1), (2, -0.3, -0.3, 0.0, 0.0), (3, 1.0, 1.0, 0.0, 0.0)], "box int, x1 double, y1 double, x2 double, y2 double")
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.15, 0.1), (3, 0.5, 0.5), (4, None, 0.0)], "key int, x double, y double")
+    assert sorted(map(tuple, points_in_boxes(p, b).collect())) == [(1, 1), (1, 2), (2, 1)]
