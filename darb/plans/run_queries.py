@@ -55,7 +55,11 @@ def q_table1(spark, sf):
     return m.groupBy("cohort", "mode").agg(F.count_distinct("seed").alias("n_seeds"), F.when(F.avg("walk").isNull(), "-").otherwise(F.format_string("%.1f", F.avg("walk"))).alias("walk_mean"), F.round(F.coalesce(F.stddev_samp("minutes"), F.lit(0.0)), 6).alias("minutes_sd"), F.round(F.avg("served_rate_pct"), 6).alias("rate"))
 
 
-@query()
+def _cell(c: str) -> str:
+    return f"CASE WHEN avg({c}) IS NULL THEN '-' ELSE printf('%.2f', avg({c})) || ' ± ' || printf('%.2f', coalesce(stddev_samp({c}), 0)) END AS {c}"
+
+
+@query(_M + f"SELECT cohort, mode, count(DISTINCT seed) AS n_seeds, {', '.join(map(_cell, ['walk', 'minutes', 'served_rate_pct', 'routes_created']))} FROM m GROUP BY cohort, mode")
 def q_table1_text(spark, sf):
     return metrics.mean_and_spread(metrics_table(spark, sf), ["cohort", "mode"], ["walk", "minutes", "served_rate_pct", "routes_created"], "seed")
 
@@ -363,11 +367,16 @@ def q_smallest_fleet(spark, sf):
     return solver.smallest_fleet(_solutions(spark, sf))
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS (SELECT user_id AS route_id, ts::DATE AS day, event_id, value / 10 AS minutes, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS i FROM events),
+a AS (SELECT route_id, day, event_id, i, minutes <= 5 AS accepted, CASE WHEN minutes <= 5 THEN minutes ELSE 0 END AS used FROM n WHERE i = 1
+  UNION ALL SELECT n.route_id, n.day, n.event_id, n.i, a.used + n.minutes <= 5, a.used + CASE WHEN a.used + n.minutes <= 5 THEN n.minutes ELSE 0 END FROM a JOIN n ON n.route_id = a.route_id AND n.day = a.day AND n.i = a.i + 1)
+SELECT route_id, day, event_id, accepted, round(used, 6) AS used_after FROM a"""
+)
 def q_daily_budget(spark, sf):
     """Requests of a vehicle and day in order; one is accepted while the day's budget lasts."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("route_id"), F.to_date("ts").alias("day"), "ts", "event_id", (F.col("value") / 10).alias("minutes"))
-    return budget.daily_budget(e, 5.0)
+    return budget.daily_budget(e, 5.0).select("route_id", "day", "event_id", "accepted", r6("used_after"))
 
 
 @query("SELECT run_id, mode, routes, round(total_min, 6) AS total_min FROM (SELECT output_id AS run_id, key AS mode, count(*) AS routes, sum(CAST(r ->> '$.total_time_min' AS DOUBLE)) AS total_min FROM (SELECT DISTINCT output_id, payload FROM run_output WHERE json_valid(payload)) t, json_each(CASE WHEN json_type(payload) = 'OBJECT' THEN payload::JSON -> '$.modes' END) m, unnest(CASE WHEN json_type(m.value, '$.routes') = 'ARRAY' THEN CAST(m.value -> '$.routes' AS JSON[]) END) u(r) GROUP BY 1, 2)")
