@@ -121,9 +121,9 @@ def q_manifest(spark, sf):
     return metrics.manifest(metrics_table(spark, sf), ["cohort"], "seed")
 
 
-@query(_M + "SELECT cohort, mode, round(avg(minutes), 4) AS minutes, round(avg(walk), 4) AS walk FROM m GROUP BY cohort, mode")
+@query(_M + "SELECT cohort, mode, round(avg(minutes), 9) AS minutes, round(avg(walk), 9) AS walk FROM m GROUP BY cohort, mode")
 def q_mode_bars(spark, sf):
-    return metrics_table(spark, sf).groupBy("cohort", "mode").agg(F.round(F.avg("minutes"), 4).alias("minutes"), F.round(F.avg("walk"), 4).alias("walk"))
+    return metrics_table(spark, sf).groupBy("cohort", "mode").agg(F.round(F.avg("minutes"), 9).alias("minutes"), F.round(F.avg("walk"), 9).alias("walk"))
 
 
 @query("SELECT event_type AS mode, (event_id // 1000) AS iteration, round(avg(value), 6) AS mean_best FROM events GROUP BY 1, 2")
