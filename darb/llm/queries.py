@@ -19,11 +19,12 @@ def p2_percentiles(spark, sf_dir):
 
 
 def p2_merged_days(spark, sf_dir):
-    """Sketches of single days, merged: how far the median and the 95th percentile are from the exact ones, at most."""
+    """Median and 95th percentile from sketches of single days, merged."""
     values = percentiles.metric_values(table(spark, sf_dir, "raw_metrics_tidy"), ("recorded_at",)).withColumn("day", F.to_date("recorded_at"))
     groups = ["cohort", "mode_name", "metric"]
     days = percentiles.sketch(values, ["day", *groups], "v")
-    return percentiles.sketch_percentiles(percentiles.merge_sketches(days, groups), groups, [0.5, 0.95])
+    found = percentiles.sketch_percentiles(percentiles.merge_sketches(days.drop("day"), groups), groups, [0.5, 0.95])
+    return found.select(*groups, "n", "pct", F.round("value", 6).alias("value"))
 
 
 def p6_ids(spark, sf_dir):
@@ -72,6 +73,12 @@ WITH once AS (
 """
 
 SQL = {
+    # a sketch of 24 bits keeps a value's sign, exponent and 12 bits of its mantissa
+    "p2_merged_days": _P2_VALUES + """, k AS (
+  SELECT cohort, mode_name, metric, CASE WHEN v <= 0 THEN v ELSE floor(v / pow(2, floor(log2(v)) - 12)) * pow(2, floor(log2(v)) - 12) END AS v FROM x)
+SELECT cohort, mode_name, metric, n, pct, round(value, 6) AS value FROM (
+  SELECT cohort, mode_name, metric, count(*) AS n, unnest([0.5::DOUBLE, 0.95]) AS pct, unnest(quantile_cont(v, [0.5, 0.95])) AS value FROM k GROUP BY cohort, mode_name, metric)
+""",
     "p2_found": _P2_VALUES + "SELECT cohort, mode_name, metric FROM x GROUP BY ALL HAVING quantile_cont(v, 0.95) >= 3 * quantile_cont(v, 0.5)",
     "p2_percentiles": _P2_VALUES + """
 SELECT cohort, mode_name, metric, n, pct, round(value, 6) AS value FROM (
