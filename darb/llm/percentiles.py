@@ -133,12 +133,14 @@ def metric_values(metrics: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """(cohort, mode_name, metric, v, *more) of raw_metrics_tidy: every row_id once, values that are measurements.
 
     `mode_name` is the trimmed mode as 'Mode A'; null, NaN, infinite and 9999.0 are left out. A null row_id is
-    no run and doesn't count.
+    no run and doesn't count. The mode is a key beside the id, which names one record and so has one mode: with
+    numbers only to keep, rows are combined by hashing instead of sorting.
     """
-    once = metrics.where("row_id IS NOT NULL").select("row_id", "cohort", "mode", *METRICS, *more).dropDuplicates(["row_id"])
     mode = F.initcap(F.trim(F.regexp_replace("mode", r"\s+", " ")))
+    runs = metrics.where("row_id IS NOT NULL").select("row_id", "cohort", mode.alias("mode_name"), *METRICS, *more)
+    once = runs.groupBy("row_id", "mode_name").agg(*(F.first(c).alias(c) for c in ("cohort", *METRICS, *more)))
     pair = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in METRICS)))
-    long = once.select("cohort", mode.alias("mode_name"), *more, pair.alias("p")).select("cohort", "mode_name", "p.metric", "p.v", *more)
+    long = once.select("cohort", "mode_name", *more, pair.alias("p")).select("cohort", "mode_name", "p.metric", "p.v", *more)
     return long.where("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('infinity') AND v <> 9999.0")
 
 
