@@ -18,6 +18,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,25 @@ from pyspark.sql import functions as F
 
 Q, MIN_WORDS, EDITS, EDIT_COST = 8, 12, 1, 3
 BLOCK_CHARS, SLICE_CHARS = 4_000_000, 500_000
-_HASH_BITS = 22
+_HASH_BITS, _COUNT_BITS = 22, 20
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters and digits of the text without format characters (Cf), after NFKC and lower-casing."""
+@lru_cache(maxsize=1)
+def _patterns():
+    """(format characters, words)"""
     import regex
 
+    return regex.compile(r"\p{Cf}+"), regex.compile(r"[\p{L}\p{N}]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and digits of the text without format characters (Cf), after NFKC and lower-casing."""
     if not text:
         return []
+    formats, words = _patterns()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", regex.sub(r"\p{Cf}+", "", text))
-    return regex.findall(r"[\p{L}\p{N}]+", text.lower())
+        text = unicodedata.normalize("NFKC", formats.sub("", text))
+    return words.findall(text.lower())
 
 
 def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
@@ -124,17 +132,26 @@ def regions(index: Index, codes: np.ndarray, bounds: np.ndarray, q: int = Q, edi
     at, item, in_item = _hits(index, codes, q)
     if not len(at):
         return np.zeros((0, 5), np.int64)
-    doc = np.searchsorted(bounds, at, side="right") - 1
     diagonal = at - in_item
+    diagonal -= diagonal.min()
+    need_of = np.maximum(1, index.shortest + 1 - q * (edits + 1))
     step = edits + 1  # any edits + 1 neighbouring diagonals lie in one band of twice that width
     found = []
     for shift in (0, step):
         band = (diagonal + shift) // (2 * step)
-        order = np.lexsort((at, band, item, doc))
-        d, i, b, a, x = doc[order], item[order], band[order], at[order], in_item[order]
-        need = np.maximum(1, index.shortest[i] + 1 - q * (edits + 1))
+        key = item * (int(band.max()) + 1) + band
+        # bands with too few grams go first: counted by a hash, which can only add
+        bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)
+        enough = np.flatnonzero(np.bincount(bucket, minlength=1 << _COUNT_BITS)[bucket] >= need_of[item])
+        if not len(enough):
+            continue
+        # hits come in order of their positions, hence of their documents; a stable sort keeps that in each band
+        order = enough[np.argsort(key[enough], kind="stable")]
+        i, b, a, x = item[order], key[order], at[order], in_item[order]
+        d = np.searchsorted(bounds, a, side="right") - 1
+        need = need_of[i]
         reach = index.shortest[i] - q + edits
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (b[1:] != b[:-1])])
         # repeated grams of an item may hit one position more than once; more hits never lose a region
         group = np.cumsum(new)
         end = np.arange(len(a)) + need - 1  # the hit that completes the count
