@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -55,21 +56,26 @@ def label_code(label: Column) -> Column:
     return out
 
 
-def segments_of(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the segments of a text; words are its runs of letters, normalised, none with digits in it."""
+@lru_cache(maxsize=1)
+def _patterns():
+    """(segment ends, format characters, tokens, tokens of letters)"""
     import regex
 
+    return regex.compile(r"[.!?؟;:|…]+(?=\s|$)|[\n\r]+"), regex.compile(r"\p{Cf}+"), regex.compile(r"[\p{L}\p{M}\p{N}_]+"), regex.compile(r"[\p{L}\p{M}]+")
+
+
+def segments_of(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the segments of a text; words are its runs of letters, normalised, none with digits in it."""
+    ends, formats, tokens, letters = _patterns()
     out = []
-    start = 0
-    ends = [m.end() for m in regex.finditer(r"[.!?؟;:|…]+(?=\s|$)|[\n\r]+", text)]
-    for end in [*ends, len(text)]:
+    start, plain = 0, text.isascii()
+    for end in [*(m.end() for m in ends.finditer(text)), len(text)]:
         part = text[start:end]
-        if not part.isascii():
-            part = unicodedata.normalize("NFKC", regex.sub(r"\p{Cf}+", "", part))
-        words = [w for w in regex.findall(r"[\p{L}\p{M}\p{N}_]+", part.lower()) if w.isalpha() or regex.fullmatch(r"[\p{L}\p{M}]+", w)]
-        if words:
-            for k in range(0, len(words), WINDOW):
-                out.append((start, end, words[k : k + WINDOW]))
+        if not plain:
+            part = unicodedata.normalize("NFKC", formats.sub("", part))
+        words = [w for w in tokens.findall(part.lower()) if w.isalpha() or letters.fullmatch(w)]
+        for k in range(0, len(words), WINDOW):
+            out.append((start, end, words[k : k + WINDOW]))
         start = end
     return out
 
@@ -116,7 +122,7 @@ class Prototypes:
     _grams: Grams = field(default_factory=Grams, repr=False)
     _gram_scores: dict = field(default_factory=dict, repr=False)
     _words: dict = field(default_factory=dict, repr=False)
-    _table: list = field(default_factory=list, repr=False)
+    _table: np.ndarray = field(default_factory=lambda: np.zeros((4096, len(CODES)), np.float32), repr=False)
 
     def __getstate__(self):
         return {"matrix": self.matrix, "scale": self.scale}
@@ -128,19 +134,21 @@ class Prototypes:
         """Evidence (dot products over the vectors' length) of each word for each language."""
         if len(self._words) > 300_000:
             self._words.clear()
-            self._table.clear()
             self._gram_scores.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self._words]
+        known = self._words
+        new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
             missing = list(dict.fromkeys(g for w in new for g in grams_of(w) if g not in self._gram_scores))
             for k in range(0, len(missing), 1024):
                 part = missing[k : k + 1024]
                 scores = self._grams.vectors(part).astype(np.float32) @ self.matrix.T.astype(np.float32) / np.sqrt(self._grams.dimensions)
                 self._gram_scores.update(zip(part, scores))
+            while len(known) + len(new) > len(self._table):
+                self._table = np.concatenate([self._table, np.zeros_like(self._table)])
             for w in new:
-                self._words[w] = len(self._table)
-                self._table.append(sum(self._gram_scores[g] for g in grams_of(w)))
-        return np.array([self._table[self._words[w]] for w in words], np.float32).reshape(len(words), -1)
+                self._table[len(known)] = sum(self._gram_scores[g] for g in grams_of(w))
+                known[w] = len(known)
+        return self._table[[known[w] for w in words]]
 
     def segment_scores(self, segments: list[tuple[int, int, list[str]]]) -> np.ndarray:
         words = [w for _, _, ws in segments for w in ws]
