@@ -72,7 +72,17 @@ WITH once AS (
 )
 """
 
+#: Words of a column: no format characters, full-width forms and composed letters as NFKC has them, lower case.
+_WORDS = "regexp_extract_all(lower(nfc_normalize(translate(regexp_replace({0}, '\\p{{Cf}}', '', 'g'), " + "'" + "".join(map(chr, range(0xFF10, 0xFF1A))) + "".join(map(chr, range(0xFF21, 0xFF3B))) + "".join(map(chr, range(0xFF41, 0xFF5B))) + "', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'))), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _passages(table: str, key: str, text: str) -> str:
+    words = f"SELECT DISTINCT {key}, {_WORDS.format(text)} AS w FROM {table} WHERE {text} IS NOT NULL AND {key} IS NOT NULL"
+    return f"SELECT DISTINCT {key}, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS p FROM ({words}) WHERE len(w) >= 12"
+
+
 SQL = {
+    "p7_found": f"WITH d AS ({_passages('documents', 'doc_id', 'text')}), i AS ({_passages('eval_items', 'item_id', 'item_text')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (p)",
     # a sketch of 24 bits keeps a value's sign, exponent and 12 bits of its mantissa
     "p2_merged_days": _P2_VALUES + """, k AS (
   SELECT cohort, mode_name, metric, CASE WHEN v <= 0 THEN v ELSE floor(v / pow(2, floor(log2(v)) - 12)) * pow(2, floor(log2(v)) - 12) END AS v FROM x)
