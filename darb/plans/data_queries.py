@@ -38,7 +38,50 @@ def p5_request_nodes(spark, sf_dir):
 
 QUERIES = {"p1_found": p1_found, "p1_consistent_table": p1_consistent_table, "p1_alternatives": p1_alternatives, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_request_nodes": p5_request_nodes}
 
+
+def _held(x: str) -> str:
+    """JSON that a JSON string holds as text, else the value itself."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') AND left(ltrim({x} ->> '$'), 1) IN ('{{', '[') THEN ({x} ->> '$')::JSON ELSE {x} END"
+
+
+def _elements(name: str, source: str, keep: str, path: str) -> str:
+    """CTEs of the objects in the array (or in place of it) at a path: (keep, pos, o)."""
+    at = "json_type(c) = 'ARRAY'"
+    return f"""{name}_c AS (SELECT {keep}, {_held(f"(o -> '{path}')")} AS c FROM {source}),
+{name}_e AS (SELECT {keep}, c, unnest(CASE WHEN {at} THEN range(json_array_length(c)::BIGINT) WHEN json_type(c) = 'OBJECT' THEN [0::BIGINT] ELSE []::BIGINT[] END) AS n FROM {name}_c),
+{name}_v AS (SELECT {keep}, n, CASE WHEN {at} THEN c -> ('$[' || n || ']') ELSE c END AS x FROM {name}_e),
+{name} AS (SELECT {keep}, n, {_held("x")} AS o FROM {name}_v WHERE json_type({_held("x")}) = 'OBJECT')"""
+
+
+def _records(name: str, table_name: str, key: str, text: str) -> str:
+    return f"{name} AS (SELECT id, {_held('j')} AS o FROM (SELECT DISTINCT {key} AS id, {text}::JSON AS j FROM {table_name} WHERE json_valid({text})) WHERE json_type({_held('j')}) = 'OBJECT')"
+
+
+_P5 = f"""WITH {_records("req", "change_location_input", "request_id", "data")},
+{_elements("bus", "req", "id", "$.buses")},
+{_elements("route", "req", "id", "$.routes")},
+route_n AS (SELECT id, n AS r, o FROM route),
+{_elements("stop", "route_n", "id, r", "$.path")},
+stop_n AS (SELECT id, r, n AS s, o FROM stop),
+{_elements("student", "stop_n", "id, r, s", "$.students")},
+{_records("run", "run_output", "output_id", "payload")},
+modes_c AS (SELECT id, {_held("(o -> '$.modes')")} AS c FROM run),
+modes_e AS (SELECT modes_c.id, m.key AS mode, m.value AS x FROM modes_c, json_each(CASE WHEN json_type(c) = 'OBJECT' THEN c ELSE '{{}}'::JSON END) m WHERE left(m.key, 1) <> '_'),
+modes AS (SELECT id, mode, {_held("x")} AS o FROM modes_e WHERE json_type({_held("x")}) = 'OBJECT'),
+{_elements("run_route", "modes", "id, mode", "$.routes")},
+debug AS (SELECT id, {_held("(o -> '$.debug_stats')")} AS o FROM run),
+{_elements("crossing", "debug", "id", "$.synthetic_crossings")}
+SELECT id AS record_id, 'bus' AS node_kind, '' AS parent_pos, n AS pos, coalesce(o ->> '$.id', '') AS item_key FROM bus
+UNION ALL SELECT id, 'capacity', n::VARCHAR, 0, TRY_CAST(o ->> '$.capacity' AS DOUBLE)::BIGINT::VARCHAR FROM bus WHERE (o ->> '$.capacity') IS NOT NULL
+UNION ALL SELECT id, 'route', '', n, coalesce(o ->> '$.id', '') FROM route
+UNION ALL SELECT id, 'stop', r::VARCHAR, n, coalesce(o ->> '$.node_id', '') FROM stop
+UNION ALL SELECT id, 'student', r || '/' || s, n, coalesce(o ->> '$.id', '') FROM student
+UNION ALL SELECT id, 'run_route', mode, n, coalesce(o ->> '$.route_id', '') FROM run_route
+UNION ALL SELECT id, 'crossing', '', n, o ->> '$.strategy' FROM crossing WHERE (o ->> '$.strategy') IS NOT NULL
+"""
+
 SQL = {
+    "p5_found": _P5,
     "p3_found": """
 WITH r AS (
   SELECT DISTINCT upper(trim(meta.student_id, ' ' || chr(9) || chr(10) || chr(13))) AS s, meta.valid_from AS a, meta.valid_until AS b
