@@ -22,10 +22,17 @@ def _beside(base: DataFrame, more: DataFrame, groups: list[str]) -> DataFrame:
     return base.join(renamed, same, "left").drop(*(f"__r_{c}" for c in groups))
 
 
+def _service_columns() -> list[Column]:
+    return [F.sum(F.coalesce(F.col("served"), F.lit(False)).cast("bigint")).alias("served"), F.count("*").alias("total")]
+
+
+def _with_rate(df: DataFrame) -> DataFrame:
+    return df.withColumn("rate", F.coalesce(F.try_divide("served", "total"), F.lit(0.0)))
+
+
 def service_rate(riders: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, served, total, rate): rate is 0.0 for a group without riders that count; a null flag is not served."""
-    served = F.sum(F.coalesce(F.col("served"), F.lit(False)).cast("bigint"))
-    return riders.groupBy(*groups).agg(served.alias("served"), F.count("*").alias("total")).withColumn("rate", F.coalesce(F.try_divide("served", "total"), F.lit(0.0)))
+    return _with_rate(riders.groupBy(*groups).agg(*_service_columns()))
 
 
 def utilisation(route_loads: DataFrame, groups: list[str]) -> DataFrame:
@@ -33,29 +40,48 @@ def utilisation(route_loads: DataFrame, groups: list[str]) -> DataFrame:
     return route_loads.groupBy(*groups).agg(F.coalesce(F.avg(F.when(F.col("capacity") > 0, F.col("load") / F.col("capacity"))), F.lit(0.0)).alias("utilisation"))
 
 
+def _ratio_columns(on: Column) -> list[Column]:
+    ride, direct = finite("ride_min"), finite("direct_min")
+    ratio = F.when(on & (direct > 0), ride / direct)
+    return [F.avg(ratio).alias("mean_ratio"), F.stddev_pop(ratio).alias("std_ratio"), F.max(ratio).alias("max_ratio"), F.sum((on & ratio.isNull()).cast("bigint")).alias("missing")]
+
+
 def ride_ratio(riders: DataFrame, groups: list[str]) -> DataFrame:
     """Mean, population deviation and maximum of ride / direct, and how many riders lack a usable pair.
 
     A pair counts if both are finite and direct is positive; a group without any has nulls.
     """
-    ride, direct = finite("ride_min"), finite("direct_min")
-    ratio = F.when(direct > 0, ride / direct)
-    return riders.groupBy(*groups).agg(F.avg(ratio).alias("mean_ratio"), F.stddev_pop(ratio).alias("std_ratio"), F.max(ratio).alias("max_ratio"), F.sum(ratio.isNull().cast("bigint")).alias("missing"))
+    return riders.groupBy(*groups).agg(*_ratio_columns(F.lit(True)))
+
+
+def _violation_columns(on: Column, ride: str, cap: str) -> list[Column]:
+    over = F.when(on & F.col(ride).isNotNull() & F.col(cap).isNotNull(), F.col(ride) > F.col(cap))
+    return [F.count(over).alias("checked"), F.count_if(over).alias("violations")]
+
+
+def _with_violation_pct(df: DataFrame) -> DataFrame:
+    return df.withColumn("violation_pct", F.try_divide(F.col("violations") * 100.0, "checked"))
 
 
 def cap_violations(riders: DataFrame, groups: list[str], ride: str = "ride_min", cap: str = "cap_min") -> DataFrame:
     """(groups, checked, violations, violation_pct): rides over their cap among those with both; pct null if none was checked."""
-    over = F.when(F.col(ride).isNotNull() & F.col(cap).isNotNull(), F.col(ride) > F.col(cap))
-    out = riders.groupBy(*groups).agg(F.count(over).alias("checked"), F.count_if(over).alias("violations"))
-    return out.withColumn("violation_pct", F.try_divide(F.col("violations") * 100.0, "checked"))
+    return _with_violation_pct(riders.groupBy(*groups).agg(*_violation_columns(F.lit(True), ride, cap)))
+
+
+def _walk_columns(on: Column, speed: float) -> list[Column]:
+    walk = F.when(on, F.col("walk_m"))
+    used = F.when((F.col("walk_limit_m") > 0) & walk.isNotNull(), F.least(walk / F.col("walk_limit_m"), F.lit(1.0)) * 100.0)
+    return [F.avg(walk).alias("avg_m"), F.max(walk).alias("max_m"), F.min(walk).alias("min_m"), (F.avg(walk) / speed).alias("avg_min"), F.avg(used).alias("used_pct")]
+
+
+def _walk_medians(riders: DataFrame, groups: list[str]) -> DataFrame:
+    return medians(riders.select(*groups, "walk_m"), groups, "walk_m").select(*groups, ((F.col("lower") + F.col("upper")) / 2).alias("median_m"))
 
 
 def walk_statistics(riders: DataFrame, groups: list[str], speed: float = 80.0) -> DataFrame:
     """Mean, exact median, maximum and minimum walk, mean minutes, and mean use of the walk limit in percent."""
-    used = F.when((F.col("walk_limit_m") > 0) & F.col("walk_m").isNotNull(), F.least(F.col("walk_m") / F.col("walk_limit_m"), F.lit(1.0)) * 100.0)
-    base = riders.groupBy(*groups).agg(F.avg("walk_m").alias("avg_m"), F.max("walk_m").alias("max_m"), F.min("walk_m").alias("min_m"), (F.avg("walk_m") / speed).alias("avg_min"), F.avg(used).alias("used_pct"))
-    middle = medians(riders.select(*groups, "walk_m"), groups, "walk_m").withColumn("median_m", (F.col("lower") + F.col("upper")) / 2)
-    return _beside(base, middle.select(*groups, "median_m"), groups)
+    base = riders.groupBy(*groups).agg(*_walk_columns(F.lit(True), speed))
+    return _beside(base, _walk_medians(riders, groups), groups)
 
 
 def mean_with_stale_zeros(riders: DataFrame, groups: list[str], stored: str, fallback: str) -> DataFrame:
@@ -242,18 +268,18 @@ def box(df: DataFrame, groups: list[str], lat: str = "lat", lon: str = "lon") ->
     return out.withColumn("lat", (F.col("south") + F.col("north")) / 2).withColumn("lon", (F.col("west") + F.col("east")) / 2)
 
 
-def mode_bundle(riders: DataFrame, routes: DataFrame, mode: str = "mode") -> DataFrame:
+def mode_bundle(riders: DataFrame, routes: DataFrame, mode: str = "mode", speed: float = 80.0) -> DataFrame:
     """One row per mode with a run's figures: service, rides, walks and routes side by side.
 
     `riders`: (mode, served, ride_min, direct_min, cap_min, walk_m, walk_limit_m), `routes`: (mode, load, capacity,
-    total_min, total_km). Each part is one aggregation; they meet on the few modes.
+    total_min, total_km). The riders are aggregated in one pass, their medians in another; all meet on the few modes.
     """
-    g = [mode]
-    ridden = riders.where(F.coalesce(F.col("served"), F.lit(False)))
-    out = service_rate(riders, g)
-    for part in (ride_ratio(ridden, g), cap_violations(ridden, g), walk_statistics(ridden, g), utilisation(routes.where("load > 0"), g)):
-        out = _beside(out, part, g)
-    totals = routes.where("load > 0").groupBy(mode).agg(F.count("*").alias("active_routes"), F.sum("total_min").alias("route_min"), F.sum("total_km").alias("route_km"), F.avg("total_min").alias("mean_route_min"))
+    g, on = [mode], F.coalesce(F.col("served"), F.lit(False))
+    out = riders.groupBy(*g).agg(*_service_columns(), *_ratio_columns(on), *_violation_columns(on, "ride_min", "cap_min"), *_walk_columns(on, speed))
+    out = _beside(_with_violation_pct(_with_rate(out)), _walk_medians(riders.where(on), g), g)
+    active = routes.where("load > 0")
+    used = F.avg(F.when(F.col("capacity") > 0, F.col("load") / F.col("capacity")))
+    totals = active.groupBy(mode).agg(F.coalesce(used, F.lit(0.0)).alias("utilisation"), F.count("*").alias("active_routes"), F.sum("total_min").alias("route_min"), F.sum("total_km").alias("route_km"), F.avg("total_min").alias("mean_route_min"))
     return _beside(out, totals, g)
 
 

@@ -107,6 +107,19 @@ def test_two_opt_untangles_and_never_worsens(spark):
     assert routes.two_opt(tangled.limit(0), matrix(spark, pairs)).count() == 0
 
 
+def test_two_opt_prices_reversed_directed_legs():
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randint(2, 9)
+        order = [0, *range(1, n), 0]
+        cost = {(a, b): rng.random() * 10 for a in range(n) for b in range(n) if a != b and rng.random() < 0.9}
+        total = lambda seq: sum(cost.get(p, 0.0 if p[0] == p[1] else 1e9) for p in zip(seq, seq[1:]))
+        got, minutes, saved = routes._improved(order, cost, 0.01)
+        assert sorted(got) == sorted(order) and got[0] == got[-1] == 0
+        assert minutes == pytest.approx(total(got)) and saved == pytest.approx(total(order) - total(got), abs=1e-4)
+        assert all(total(got[:i] + got[i : j + 1][::-1] + got[j + 1 :]) >= minutes - 0.02 for i in range(1, n - 1) for j in range(i + 1, n))
+
+
 def brute_paths(edges, source, limit):
     best, todo = {source: 0.0}, [source]
     while todo:
