@@ -7,9 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The time of an unreachable leg, walking speed, kilometres of a mile, risk tiers from low to high,
+#: school stages, road classes that are dangerous on foot, old names of modes.
 UNREACHABLE_MIN = 9999.0
 WALK_M_PER_MIN = 80.0
+KM_PER_MILE = 1.60934
 TIERS = ("none", "tertiary", "secondary", "primary_plus", "unknown")
+STAGES = ("KG", "ELEMENTARY", "MIDDLE", "HIGH")
+DANGEROUS = ("motorway", "trunk", "primary", "secondary")
+OLD_MODES = {"constrained": "strictly_constrained", "unconstrained": "weakly_constrained"}
 
 
 def _c(x) -> Column:
@@ -33,13 +39,13 @@ def finite(x) -> Column:
 def stage(text) -> Column:
     """School stage, upper-cased; unknown or missing text is ELEMENTARY."""
     s = F.upper(F.trim(_c(text)))
-    return F.when(s.isin("KG", "ELEMENTARY", "MIDDLE", "HIGH"), s).otherwise("ELEMENTARY")
+    return F.when(s.isin(*STAGES), s).otherwise("ELEMENTARY")
 
 
 def speed_kph(text, fallback: float = 30.0) -> Column:
     """First number of a speed text, miles converted; the fallback if there is none."""
     number = F.regexp_extract(_c(text), r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-    return F.coalesce(F.when(F.lower(_c(text)).contains("mph"), number * 1.60934).otherwise(number), F.lit(fallback))
+    return F.coalesce(F.when(F.lower(_c(text)).contains("mph"), number * KM_PER_MILE).otherwise(number), F.lit(fallback))
 
 
 def travel_minutes(length_m, kph) -> Column:
@@ -101,7 +107,7 @@ def tier_rank(tier) -> Column:
 def mode_key(key, aliases: Mapping[str, str] | None = None) -> Column:
     """Trimmed lower-case key with old names replaced; empty or null is 'unknown'."""
     k = F.lower(F.trim(_c(key)))
-    for old, new in (aliases or {"constrained": "strictly_constrained", "unconstrained": "weakly_constrained"}).items():
+    for old, new in (aliases or OLD_MODES).items():
         k = F.when(k == old, new).otherwise(k)
     return F.coalesce(F.nullif(k, F.lit("")), F.lit("unknown"))
 
@@ -155,7 +161,7 @@ def policy_label(caps_on, mrt_enabled, bidirectional, mrt=None) -> Column:
 
 def dangerous_road(highway) -> Column:
     """Whether a road of this class is dangerous to cross on foot; no class is not."""
-    return F.coalesce(road_class(highway).isin("motorway", "trunk", "primary", "secondary"), F.lit(False))
+    return F.coalesce(road_class(highway).isin(*DANGEROUS), F.lit(False))
 
 
 def candidate_points(degree, out_rank, wanted_rank: int) -> Column:
