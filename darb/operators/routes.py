@@ -7,7 +7,7 @@ all of them share one shuffle on route_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darb.functions.scalars import UNREACHABLE_MIN
+from darb.session import durable, small_side
 
 
 def _by(route: str = "route_id", *order: Column | str):
@@ -93,6 +94,69 @@ def insertion_costs(routes_legs: DataFrame, candidates: DataFrame, od: DataFrame
     return both.select("student_id", "route_id", "seq", "node_id", (F.col("t_uc") + F.col("t_cv") - F.col("t_uv")).alias("delta"))
 
 
+def _positions(legs_df: DataFrame, nodes: DataFrame, minutes: Callable[[str, str], Column]) -> DataFrame:
+    """Every leg (src, dst, t_uv, ...) with every node (node_id): adds t_cv and delta, without unreachable positions.
+
+    Nodes are a small table beside the legs, so they are sent to them; `minutes` prices any pair of nodes.
+    """
+    met = legs_df.crossJoin(small_side(nodes)).withColumn("t_uc", minutes("src", "node_id")).withColumn("t_cv", minutes("node_id", "dst"))
+    far = F.lit(float("inf"))
+    return met.where((F.col("t_uv") < far) & (F.col("t_uc") < far) & (F.col("t_cv") < far)).withColumn("delta", F.col("t_uc") + F.col("t_cv") - F.col("t_uv")).drop("t_uc")
+
+
+def insertion_summary(routes_legs: DataFrame, candidates: DataFrame, minutes: Callable[[str, str], Column]) -> DataFrame:
+    """(student_id, options, delta): over all legs of all routes, the possible positions of a student's nodes and the cheapest.
+
+    `candidates`: (student_id, node_id), distinct. What a position costs depends on the node, not on the student, so each
+    node meets each distinct pair of leg ends once and its students take over the sums.
+    """
+    ends = routes_legs.select("src", "dst", F.col("minutes").alias("t_uv")).groupBy("src", "dst", "t_uv").agg(F.count("*").alias("n"))
+    per_node = _positions(ends, candidates.select("node_id").distinct(), minutes).groupBy("node_id").agg(F.sum("n").alias("options"), F.min("delta").alias("delta"))
+    return candidates.join(per_node, "node_id").groupBy("student_id").agg(F.sum("options").alias("options"), F.min("delta").alias("delta"))
+
+
+def cheapest_routes(routes_legs: DataFrame, candidates: DataFrame, minutes: Callable[[str, str], Column], k: int = 2) -> DataFrame:
+    """(student_id, route_id, delta) of at least the k cheapest routes of each student among all routes, for regret().
+
+    A pair of leg ends keeps its k least routes: one with k others before it on the same pair can't be among a node's
+    k first. Routes fall into classes, so the k-th least of the classes' minima is reached by k routes at least, and
+    only positions up to it are looked at by route.
+    """
+    first = Window.partitionBy("src", "dst", "t_uv").orderBy("route_id")
+    ends = routes_legs.select("src", "dst", F.col("minutes").alias("t_uv"), "route_id").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    ends = durable(ends.groupBy("src", "dst", "t_uv").agg(F.sort_array(F.collect_list("route_id")).alias("routes")))
+    nodes = candidates.select("node_id").distinct()
+    met = _positions(ends.withColumn("class", F.pmod(F.xxhash64(F.col("routes")[0]), F.lit(16 * k))), nodes, minutes)
+    least = met.groupBy("node_id", "class").agg(F.min("delta").alias("delta"))
+    most = least.groupBy("node_id").agg(F.get(F.sort_array(F.collect_list("delta")), F.lit(k - 1)).alias("most"))
+    bound = durable(nodes.join(most, "node_id", "left").select("node_id", F.coalesce("most", F.lit(float("inf"))).alias("most")))
+    near = _positions(ends, bound, minutes).where(F.col("delta") <= F.col("most"))
+    per_node = near.select("node_id", "delta", F.explode("routes").alias("route_id")).groupBy("node_id", "route_id").agg(F.min("delta").alias("delta"))
+    ranked = per_node.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy("delta", "route_id"))).where(F.col("r") <= k)
+    return candidates.join(ranked, "node_id").select("student_id", "route_id", "delta")
+
+
+def feasible_summary(rides: DataFrame, riders: DataFrame, loads: DataFrame, caps: DataFrame, candidates: DataFrame, minutes: Callable[[str, str], Column]) -> DataFrame:
+    """(student_id, options, delta): insertion_summary of the positions that feasible_insertions would keep, over all routes.
+
+    The students of a node differ by their caps alone, so positions are counted by node and cap.
+    """
+    asked = candidates.join(caps.select("student_id", F.col("cap_min").alias("own_cap")), "student_id")
+    legs_df = with_slack(rides, riders).join(loads.where("load < capacity").select("route_id"), "route_id", "left_semi").select("src", "dst", "t_uv", "rest_min", "slack")
+    kept = _positions(legs_df, asked.groupBy("node_id").agg(F.max("own_cap").alias("top_cap")), minutes).withColumn("ride", F.col("t_cv") + F.col("rest_min")).where("(slack IS NULL OR delta <= slack) AND ride <= top_cap").select("node_id", "delta", "ride")
+    met = kept.join(small_side(asked.select("node_id", "own_cap").distinct()), "node_id").where("ride <= own_cap")
+    per_node = met.groupBy("node_id", "own_cap").agg(F.count("*").alias("options"), F.min("delta").alias("delta"))
+    return asked.join(per_node, ["node_id", "own_cap"]).groupBy("student_id").agg(F.sum("options").alias("options"), F.min("delta").alias("delta"))
+
+
+def with_slack(rides: DataFrame, riders: DataFrame) -> DataFrame:
+    """Legs (route_id, seq, src, dst, t_uv) with rest_min, the ride from dst on, and slack, the least of those on board; see feasible_insertions."""
+    slack = riders.groupBy("route_id", "seq").agg(F.min(F.col("cap_min") - F.col("ride_min")).alias("slack"))
+    upto = _by("route_id", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    legs_df = rides.select("route_id", "seq", "src", "dst", F.col("minutes").alias("t_uv"), (F.col("ride_min") - F.col("minutes")).alias("rest_min"))
+    return legs_df.join(slack, ["route_id", "seq"], "left").withColumn("slack", F.min("slack").over(upto))
+
+
 def feasible_insertions(insertions: DataFrame, rides: DataFrame, riders: DataFrame, loads: DataFrame, caps: DataFrame, od: DataFrame) -> DataFrame:
     """The insertions (with cap checks passed) of insertion_costs: seats left, the new rider's and all earlier riders' caps kept.
 
@@ -101,9 +165,7 @@ def feasible_insertions(insertions: DataFrame, rides: DataFrame, riders: DataFra
     new stop ride `delta` longer; whether all may is one running minimum of their slack per route, not a check
     per pair. Later riders don't notice.
     """
-    slack = riders.groupBy("route_id", "seq").agg(F.min(F.col("cap_min") - F.col("ride_min")).alias("slack"))
-    upto = _by("route_id", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    legs_slack = rides.select("route_id", "seq", "dst", (F.col("ride_min") - F.col("minutes")).alias("rest_min")).join(slack, ["route_id", "seq"], "left").withColumn("slack", F.min("slack").over(upto))
+    legs_slack = with_slack(rides, riders).select("route_id", "seq", "dst", "rest_min", "slack")
     onward = od.select(F.col("src").alias("node_id"), "dst", F.col("minutes").alias("t_cv"))
     met = insertions.join(legs_slack, ["route_id", "seq"]).join(onward, ["node_id", "dst"]).join(loads.where("load < capacity").select("route_id"), "route_id", "left_semi").join(caps.select("student_id", F.col("cap_min").alias("own_cap")), "student_id")
     return met.where("(slack IS NULL OR delta <= slack) AND t_cv + rest_min <= own_cap").select(*insertions.columns)

@@ -124,6 +124,21 @@ def nearest(points: DataFrame, targets: DataFrame, start_m: float = 250.0) -> Da
         metres *= 4
 
 
+def within(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(key, target, metres): all targets (target, lat, lon) within each point's own radius; points are (key, lat, lon, radius).
+
+    The cells have the size of the largest radius.
+    """
+    usable = lambda d, k: d.where(F.col(k).isNotNull() & F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0))
+    at = usable(points, "key").where("radius >= 0").select("key", "lat", "lon", "radius")
+    most = max(at.agg(F.max("radius")).first()[0] or 0.0, 1.0)
+    goal = usable(targets, "target").select("target", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    home = goal.withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), most, 2 * most, False)))
+    probe = at.withColumn("cell", F.explode(_cells(F.col("lat"), F.col("lon"), most, 2 * most, True)))
+    found = probe.join(home, "cell").withColumn("metres", haversine_m("lat", "lon", "t_lat", "t_lon"))
+    return found.where("metres <= radius").select("key", "target", "metres")
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:
     """(key, box) for points (key, x, y) in boxes (box, x1, y1, x2, y2), edges included: a range join by grid cells.
 

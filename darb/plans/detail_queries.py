@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from darb.functions import scalars
 from darb.operators import graph, metrics, population, routes, shred, spatial
 from darb.plans import views
-from darb.plans.route_queries import _INSERTIONS, _insertions, r6
+from darb.plans.route_queries import _INSERTIONS, _candidates, r6
 from darb.plans.run_queries import _M, _ROAD, _streets, metrics_table
 from darb.plans.views import with_views
 from darb.session import table
@@ -41,8 +41,7 @@ def q_feasible_insertions(spark, sf):
     riders = views.riders(spark, sf).select("route_id", "seq", "ride_min", (F.lit(25) + F.col("student_id") % 20).cast("double").alias("cap_min"))
     loads = views.visits(spark, sf).groupBy("route_id").agg(F.count("*").alias("load")).withColumn("capacity", F.lit(6))
     caps = views.students(spark, sf).select("student_id", (F.lit(30) + F.col("student_id") % 10).cast("double").alias("cap_min"))
-    ok = routes.feasible_insertions(_insertions(spark, sf), rides, riders, loads, caps, od)
-    return ok.groupBy("student_id").agg(F.count("*").alias("options"), F.round(F.min("delta"), 6).alias("delta"))
+    return routes.feasible_summary(rides, riders, loads, caps, _candidates(spark, sf), views.travel_minutes).withColumn("delta", F.round("delta", 6))
 
 
 @query(

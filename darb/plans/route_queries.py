@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from darb.functions import scalars
 from darb.functions.geo import angle_difference, bbox_radius_m, bearing_deg, crossing_angle_ok, equirectangular_m, haversine_m, segment_distance
-from darb.operators import metrics, routes
+from darb.operators import metrics, routes, spatial
 from darb.plans import views
 from darb.plans.views import with_views
 from darb.session import table
@@ -187,13 +187,16 @@ def q_used_crossing_pct(spark, sf):
 # ---------------------------------------------------------------- insertions
 
 
-def _insertions(spark, sf):
-    """Students look at the nodes of the routes of their zone (a key join, as a grid would give)."""
-    v = views.visits(spark, sf).select("route_id", "node_id").distinct().withColumn("zone", F.col("route_id") % 4999)
-    s = views.students(spark, sf).select("student_id", (F.col("student_id") % 4999).alias("zone"))
-    candidates = s.join(v, "zone").select("student_id", "route_id", F.col("node_id").cast("bigint").alias("node_id"))
-    od = views.od_matrix(spark, sf)
-    return routes.insertion_costs(routes.legs(views.route_stops(spark, sf), od), candidates, od)
+def _candidates(spark, sf):
+    """(student_id, node_id): the stop nearest to a student's home, and all others within the student's walk."""
+    s = views.students(spark, sf)
+    at = views.stops(spark, sf).select(F.col("node_id").cast("bigint").alias("target"), "lat", "lon")
+    door = spatial.nearest(s.withColumnRenamed("student_id", "key"), at).select(F.col("key").alias("student_id"), F.col("target").alias("node_id"))
+    return door.unionByName(spatial.within(s.withColumnRenamed("student_id", "key"), at).select(F.col("key").alias("student_id"), F.col("target").alias("node_id"))).distinct()
+
+
+def _legs(spark, sf):
+    return routes.legs(views.route_stops(spark, sf), views.od_matrix(spark, sf))
 
 
 _INSERTIONS = with_views("students", "legs") + """, cand AS (
@@ -207,7 +210,7 @@ ins AS (
 
 @query(_INSERTIONS + "SELECT student_id, count(*) AS options, round(min(delta), 6) AS delta FROM ins GROUP BY student_id")
 def q_insertion_argmin(spark, sf):
-    return _insertions(spark, sf).groupBy("student_id").agg(F.count("*").alias("options"), F.round(F.min("delta"), 6).alias("delta"))
+    return routes.insertion_summary(_legs(spark, sf), _candidates(spark, sf), views.travel_minutes).withColumn("delta", F.round("delta", 6))
 
 
 @query(
@@ -217,7 +220,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY c, route_id)
 SELECT student_id, round(min(c), 6) AS best, round(coalesce(max(CASE WHEN n = 2 THEN c END) - min(c), 2000 - min(c)), 6) AS regret FROM k GROUP BY student_id"""
 )
 def q_regret_k(spark, sf):
-    return routes.regret(_insertions(spark, sf)).select("student_id", r6("best"), r6("regret"))
+    return routes.regret(routes.cheapest_routes(_legs(spark, sf), _candidates(spark, sf), views.travel_minutes)).select("student_id", r6("best"), r6("regret"))
 
 
 @query()

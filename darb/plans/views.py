@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darb.operators import routes
@@ -50,6 +50,13 @@ def route_stops(spark: SparkSession, sf: str) -> DataFrame:
 _MINUTES = "CASE WHEN (src * 13 + dst * 7) % 97 = 0 THEN {inf} ELSE ((src * 31 + dst * 17) % 600) / 100.0{d} + 1.0{d} END"
 
 
+def travel_minutes(src: str | Column, dst: str | Column) -> Column:
+    """Minutes between any two nodes, equal ones too, by the matrix's formula; infinity if unreachable."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (src, dst))
+    minutes = (a * 31 + b * 17) % 600 / F.lit(100.0) + F.lit(1.0)
+    return F.when((a * 13 + b * 7) % 97 == 0, float("inf")).otherwise(minutes)
+
+
 def od_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Directed travel between nodes that any route has next to each other, either way; some pairs are unreachable."""
     s = route_stops(spark, sf)
