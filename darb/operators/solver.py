@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darb.session import durable
+
 SERVED, ROUTE = 10_000.0, 5_000.0
 COOLING, REWARDS, MEMORY, TOP = 0.98, (30.0, 15.0, 5.0), 0.7, 0.25
 SCHEMA = "zone bigint, seed int, fleet int, students int, served int, routes_used int, total_min double, objective double, iterations int, accepted int, best_iteration int, stop_reason string"
@@ -152,15 +154,11 @@ def _metres(lat, lon, lat2, lon2):
     return 2 * 6_371_000.0 * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
-def solve_grid(students: DataFrame, stops: DataFrame, seeds: list[int], fleets: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0) -> DataFrame:
-    """One row per (zone, seed, fleet) with what the search found; see SCHEMA.
-
-    `students`: (zone, student_id, lat, lon), `stops`: (zone, node_id, lat, lon); the school is the mean of the
-    zone's stops. Zones without stops serve nobody; zones without students give no row.
-    """
-    grid = F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.lit(k).alias("fleet")) for s in seeds for k in fleets)))
-    left = students.select(F.col("zone").cast("bigint").alias("zone"), "lat", "lon", grid.alias("g")).select("zone", "g.seed", "g.fleet", "lat", "lon")
-    right = stops.select(F.col("zone").cast("bigint").alias("z"), F.col("node_id").cast("bigint").alias("node_id"), "lat", "lon", grid.alias("g")).select("z", F.col("g.seed").alias("s"), F.col("g.fleet").alias("f"), "node_id", "lat", "lon")
+def _solve(students: DataFrame, stops: DataFrame, tasks: DataFrame, capacity: int, iterations: int, metres_per_min: float) -> DataFrame:
+    """One row per task (zone, seed, fleet) whose zone has students; see SCHEMA."""
+    left = students.select(F.col("zone").cast("bigint").alias("zone"), "lat", "lon").join(tasks, "zone").select("zone", "seed", "fleet", "lat", "lon")
+    grid = tasks.select(F.col("zone").alias("z"), F.col("seed").alias("s"), F.col("fleet").alias("f"))
+    right = stops.select(F.col("zone").cast("bigint").alias("z"), F.col("node_id").cast("bigint").alias("node_id"), "lat", "lon").join(grid, "z").select("z", "s", "f", "node_id", "lat", "lon")
 
     def solve(key, riders, places):
         zone, seed, fleet = map(int, key)
@@ -186,6 +184,41 @@ def solve_grid(students: DataFrame, stops: DataFrame, seeds: list[int], fleets:
     return left.groupBy("zone", "seed", "fleet").cogroup(right.groupBy("z", "s", "f")).applyInPandas(solve, SCHEMA)
 
 
+def solve_grid(students: DataFrame, stops: DataFrame, seeds: list[int], fleets: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0) -> DataFrame:
+    """One row per (zone, seed, fleet) with what the search found; see SCHEMA.
+
+    `students`: (zone, student_id, lat, lon), `stops`: (zone, node_id, lat, lon); the school is the mean of the
+    zone's stops. Zones without stops serve nobody; zones without students give no row.
+    """
+    grid = F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.lit(k).alias("fleet")) for s in seeds for k in fleets)))
+    tasks = students.select(F.col("zone").cast("bigint").alias("zone")).where("zone IS NOT NULL").distinct().select("zone", grid.alias("g")).select("zone", "g.*")
+    return _solve(students, stops, tasks, capacity, iterations, metres_per_min)
+
+
+def solve_fleets(students: DataFrame, stops: DataFrame, seeds: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0, block: int = 3) -> DataFrame:
+    """As solve_grid, with each zone's fleets from ceil(students / capacity) upwards to the first that serves everyone.
+
+    Rounds of `block` fleets, a task per (zone, seed, fleet); zones whose students are all served drop out, and larger
+    fleets than the first that serves all are left out, so `block` changes the work, not the result. A bus for each
+    unit always serves everyone, so rounds end; a zone without stops has the least fleet only.
+    """
+    zone = F.col("zone").cast("bigint").alias("zone")
+    served = stops.select(zone).where("zone IS NOT NULL").distinct().withColumn("stops", F.lit(True))
+    least = students.select(zone).where("zone IS NOT NULL").groupBy("zone").agg(F.ceil(F.count("*") / capacity).cast("int").alias("least"))
+    rest, out = durable(least.join(served, "zone", "left")), None
+    seed = F.explode(F.array(*map(F.lit, seeds)))
+    while not rest.isEmpty():
+        last = F.when(F.col("stops"), F.col("least") + block - 1).otherwise(F.col("least"))
+        tasks = rest.select("zone", F.explode(F.sequence("least", last)).alias("fleet")).select("zone", seed.alias("seed"), "fleet")
+        found = durable(_solve(students, stops, tasks, capacity, iterations, metres_per_min))
+        full = found.groupBy("zone").agg(F.min(F.when(F.col("served") == F.col("students"), F.col("fleet"))).alias("enough"))
+        kept = found.join(full, "zone").where("enough IS NULL OR fleet <= enough").drop("enough")
+        out = kept if out is None else out.unionByName(kept)
+        open_ = full.where("enough IS NULL").select("zone")
+        rest = durable(rest.where("stops").join(open_, "zone", "left_semi").withColumn("least", F.col("least") + block))
+    return out if out is not None else _solve(students, stops, rest.select("zone", F.lit(0).alias("seed"), F.col("least").alias("fleet")), capacity, iterations, metres_per_min)
+
+
 def smallest_fleet(solutions: DataFrame) -> DataFrame:
     """Per zone the smallest fleet that serves everyone (else the one that serves most), with its best objective."""
     rank = F.struct((F.col("served") < F.col("students")).alias("short"), F.when(F.col("served") < F.col("students"), -F.col("served")).otherwise(F.col("fleet")).alias("cost"), F.col("fleet"), -F.col("objective"), F.col("seed"))

@@ -353,7 +353,7 @@ def q_carriageway_crossings(spark, sf):
 def _solutions(spark, sf):
     people = views.students(spark, sf).join(table(spark, sf, "customer").select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("zone")), "student_id")
     places = views.stops(spark, sf).join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("zone")), "node_id")
-    return solver.solve_grid(people, places, seeds=[42, 67], fleets=[2, 4, 8], capacity=30, iterations=40)
+    return solver.solve_fleets(people, places, seeds=[42, 67], capacity=30, iterations=40)
 
 
 @query()

@@ -1,9 +1,12 @@
 """Queries that must not cut their candidates, beside plain SQL over all of them."""
 
+import random
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from darb.operators import solver
 from darb.plans.run_queries import _HAV
 from darb.plans.views import with_views
 from tests.conftest import SF
@@ -41,3 +44,20 @@ def test_whole(spark, name):
     df, rel = entry.queries()[name](spark, SF), duck.sql(WHOLE[name])
     got = rows_of(df.columns, df.collect())
     assert got and got == rows_of(rel.columns, rel.fetchall())
+
+
+def test_fleets_grow_until_everyone_is_served(spark):
+    rng = random.Random(4)
+    at = lambda: (30 + rng.random() / 20, 31 + rng.random() / 20)
+    people = spark.createDataFrame([(1, i, *at()) for i in range(301)] + [(2, i, *at()) for i in range(7)] + [(3, 0, *at())], "zone int, student_id int, lat double, lon double")
+    places = spark.createDataFrame([(z, i, *at()) for z in (1, 2) for i in range(20)], "zone int, node_id int, lat double, lon double")
+    run = lambda block: sorted(map(tuple, solver.solve_fleets(people, places, [1, 2], 30, 5, block=block).collect()))
+    rows = run(1)
+    assert rows == run(4)  # the blocks change the work alone
+    of = lambda zone: {(fleet, served == students) for z, _, fleet, students, served, *_ in rows if z == zone}
+    fleets = sorted(fleet for fleet, _ in of(1))
+    assert fleets[0] == 11 and {f for f, full in of(1) if full} == {fleets[-1]}
+    assert of(2) == {(1, True)} and of(3) == {(1, False)}
+    best = {r.zone: r for r in solver.smallest_fleet(solver.solve_fleets(people, places, [1, 2], 30, 5)).collect()}
+    assert best[1].fleet == fleets[-1] and best[1].served == 301 and best[3].served == 0
+    assert solver.solve_fleets(people.limit(0), places, [1], 30, 5).count() == 0
