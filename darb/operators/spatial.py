@@ -168,6 +168,25 @@ def nearest_edges(points: DataFrame, edges: DataFrame, reach_deg: float = 0.005)
     return best.select("key", "b.edge", "b.ratio", "b.degrees")
 
 
+def nearest_edges_any(points: DataFrame, edges: DataFrame, start_deg: float = 0.005) -> DataFrame:
+    """As nearest_edges, but at any distance: (key, edge, ratio, degrees) for every point with finite coordinates.
+
+    Rounds of growing reach as in nearest(): a point that finds an edge within the reach has its nearest among those and
+    drops out; the rest go on with twice the reach. Without usable edges the result is empty; keys should be distinct.
+    """
+    finite = lambda d, *c: d.where(" AND ".join(f"abs({x}) < double('infinity')" for x in c))
+    lines = durable(finite(edges, "x1", "y1", "x2", "y2").select("edge", "x1", "y1", "x2", "y2"))
+    rest = durable(finite(points, "x", "y").where("key IS NOT NULL").select("key", "x", "y"))
+    out, reach = None, start_deg
+    while True:
+        best = durable(nearest_edges(rest, lines, reach))
+        out = best if out is None else out.unionByName(best)
+        rest = durable(rest.join(best, "key", "left_anti"))
+        if rest.isEmpty() or lines.isEmpty():
+            return out
+        reach *= 2
+
+
 def polygon_edges(vertices: DataFrame) -> DataFrame:
     """Edges (region, x1, y1, x2, y2) of rings given as (region, seq, x, y).
 

@@ -184,7 +184,7 @@ SELECT key, round(min(degrees), 8) AS degrees FROM m WHERE degrees <= 0.005 GROU
 def q_nearest_edge(spark, sf):
     e = views.stops(spark, sf).select(F.col("node_id").alias("edge"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("lon") + 0.002).alias("x2"), (F.col("lat") + 0.001).alias("y2"))
     p = views.students(spark, sf).select(F.col("student_id").alias("key"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return spatial.nearest_edges(p, e).select("key", F.round("degrees", 8).alias("degrees"))
+    return spatial.nearest_edges_any(p, e).select("key", F.round("degrees", 8).alias("degrees"))
 
 
 @query(with_views("visits", "students") + "SELECT v.route_id, v.seq FROM visits v JOIN students s ON s.student_id = v.student_id WHERE v.tier = 'none' OR (CASE WHEN s.disabled THEN 'DISABLED' ELSE s.stage END, v.tier) IN (('HIGH', 'secondary'), ('HIGH', 'tertiary'), ('MIDDLE', 'tertiary'))")

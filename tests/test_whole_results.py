@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from darb.operators import solver
+from darb.operators.spatial import nearest_edges_any
 from darb.plans.run_queries import _HAV
 from darb.plans.views import with_views
 from tests.conftest import SF
@@ -33,6 +34,10 @@ sl AS (SELECT r.route_id, r.seq, r.ride_min - r.minutes AS rest, min(CASE WHEN r
   FROM rides r LEFT JOIN visits v ON v.route_id = r.route_id AND v.seq = r.seq)
 SELECT student_id, count(*) AS options, round(min(delta), 6) AS delta FROM ins JOIN sl USING (route_id, seq)
 WHERE route_id IN (SELECT route_id FROM visits GROUP BY 1 HAVING count(*) < 6) AND (slack IS NULL OR delta <= slack) AND cv + rest <= 30 + student_id % 10 GROUP BY 1""",
+    "q_nearest_edge": with_views("students", "stops")
+    + """, e AS (SELECT lon AS x1, lat AS y1, lon + 0.002 AS x2, lat + 0.001 AS y2 FROM stops),
+d AS (SELECT student_id AS key, greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t, lon, lat, x1, y1, x2, y2 FROM students, e)
+SELECT key, round(min(sqrt(pow(lon - (x1 + t * (x2 - x1)), 2) + pow(lat - (y1 + t * (y2 - y1)), 2))), 8) AS degrees FROM d GROUP BY key""",
 }
 
 
@@ -61,3 +66,11 @@ def test_fleets_grow_until_everyone_is_served(spark):
     best = {r.zone: r for r in solver.smallest_fleet(solver.solve_fleets(people, places, [1, 2], 30, 5)).collect()}
     assert best[1].fleet == fleets[-1] and best[1].served == 301 and best[3].served == 0
     assert solver.solve_fleets(people.limit(0), places, [1], 30, 5).count() == 0
+
+
+def test_every_point_gets_its_nearest_edge(spark):
+    e = spark.createDataFrame([(1, 0.0, 0.0, 0.01, 0.0), (2, 0.5, 0.5, 0.5, 0.5), (3, None, 0.0, 0.0, 0.0)], "edge bigint, x1 double, y1 double, x2 double, y2 double")
+    p = spark.createDataFrame([(1, 0.005, 0.001), (2, 0.2, 0.2), (3, -40.0, 0.0), (4, None, 1.0), (5, float("nan"), 1.0)], "key bigint, x double, y double")
+    got = {r.key: (r.edge, round(r.degrees, 6)) for r in nearest_edges_any(p, e).collect()}
+    assert got == {1: (1, 0.001), 2: (1, round((0.19**2 + 0.2**2) ** 0.5, 6)), 3: (1, 40.0)}
+    assert nearest_edges_any(p, e.limit(0)).count() == 0
