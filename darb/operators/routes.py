@@ -171,6 +171,18 @@ def feasible_insertions(insertions: DataFrame, rides: DataFrame, riders: DataFra
     return met.where("(slack IS NULL OR delta <= slack) AND t_cv + rest_min <= own_cap").select(*insertions.columns)
 
 
+def pairs_within(stops: DataFrame) -> DataFrame:
+    """(src, dst): the pairs of nodes of one route, which two_opt() asks for."""
+    sources = stops.select("route_id", F.col("node_id").alias("src")).distinct()
+    return sources.join(stops.select("route_id", F.col("node_id").alias("dst")).distinct(), "route_id").select("src", "dst").distinct()
+
+
+def pairs_around(stops: DataFrame) -> DataFrame:
+    """(src, dst): the neighbours of each interior stop, which removal_savings() asks for."""
+    w = _by("route_id", "seq")
+    return stops.select(F.lag("node_id").over(w).alias("src"), F.lead("node_id").over(w).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+
 def removal_savings(routes_legs: DataFrame, od: DataFrame) -> DataFrame:
     """(route_id, seq, node_id, saved_min): minutes saved by skipping each interior stop; null if the way round is unknown."""
     w = _by("route_id", "seq")
@@ -249,11 +261,13 @@ def best_so_far(log: DataFrame, group: str, order: str, value: str) -> DataFrame
 def _improved(order: list, cost: dict, epsilon: float) -> tuple[list, float, float]:
     """First-improvement 2-opt of the interior: (order, minutes, saved).
 
-    Legs are directed, so a reversed segment is priced by prefix sums of its legs run backwards.
+    Legs are directed, so a reversed segment is priced by prefix sums of its legs run backwards. Infinite legs count
+    as a large number there, since sums of infinities can't be compared; the minutes returned are infinite with one.
     """
     far = 1e9
-    price = lambda a, b: cost.get((a, b), 0.0 if a == b else far)
-    n, saved = len(order), 0.0
+    price = lambda a, b: min(far, cost.get((a, b), 0.0 if a == b else far))
+    blocked = lambda seq: sum(cost.get(x) == float("inf") for x in zip(seq, seq[1:]))
+    n, saved, start = len(order), 0.0, blocked(order)
     while True:
         forth = [0.0, *accumulate(price(a, b) for a, b in zip(order, order[1:]))]
         back = [0.0, *accumulate(price(b, a) for a, b in zip(order, order[1:]))]
@@ -267,7 +281,8 @@ def _improved(order: list, cost: dict, epsilon: float) -> tuple[list, float, flo
                 continue
             break
         else:
-            return order, forth[-1], saved
+            left = blocked(order)
+            return order, float("inf") if left else forth[-1], float("inf") if left < start else saved
         order = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
         saved += old - new
 

@@ -50,8 +50,8 @@ def q_feasible_insertions(spark, sf):
 SELECT route_id, seq, node_id, round(through - coalesce(od.minutes, CASE WHEN before = after THEN 0 END), 6) AS saved_min FROM a LEFT JOIN od ON od.src = before AND od.dst = after WHERE before IS NOT NULL AND NOT isinf(through) AND NOT isinf(coalesce(od.minutes, 0))"""
 )
 def q_removal_savings(spark, sf):
-    od = views.od_matrix(spark, sf)
-    s = routes.removal_savings(routes.legs(views.route_stops(spark, sf), od), od)
+    stops = views.route_stops(spark, sf)
+    s = routes.removal_savings(routes.legs(stops, views.od_matrix(spark, sf)), views.priced(routes.pairs_around(stops)))
     # unreachable legs have no meaningful savings
     return s.where("saved_min IS NULL OR (NOT isnan(saved_min) AND abs(saved_min) < double('infinity'))").withColumn("saved_min", F.round("saved_min", 6))
 

@@ -225,7 +225,8 @@ def q_regret_k(spark, sf):
 
 @query()
 def q_two_opt(spark, sf):
-    return routes.two_opt(views.route_stops(spark, sf), views.od_matrix(spark, sf))
+    stops = views.route_stops(spark, sf)
+    return routes.two_opt(stops, views.priced(routes.pairs_within(stops)))
 
 
 @query(

@@ -68,6 +68,11 @@ def od_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return both.withColumn("minutes", minutes).withColumn("metres", F.col("minutes") * 400.0)
 
 
+def priced(pairs: DataFrame) -> DataFrame:
+    """(src, dst, minutes, metres) of all given pairs (src, dst) of nodes, whether or not a route has them next to each other."""
+    return pairs.select("src", "dst").distinct().withColumn("minutes", travel_minutes("src", "dst")).withColumn("metres", F.col("minutes") * 400.0)
+
+
 #: The views above in DuckDB SQL.
 CTES = {
     "students": """students AS (

@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from darb.operators import solver
+from darb.operators import routes, solver
 from darb.operators.spatial import nearest_edges_any
+from darb.plans import views
 from darb.plans.run_queries import _HAV
 from darb.plans.views import with_views
 from tests.conftest import SF
@@ -74,3 +75,27 @@ def test_every_point_gets_its_nearest_edge(spark):
     got = {r.key: (r.edge, round(r.degrees, 6)) for r in nearest_edges_any(p, e).collect()}
     assert got == {1: (1, 0.001), 2: (1, round((0.19**2 + 0.2**2) ** 0.5, 6)), 3: (1, 40.0)}
     assert nearest_edges_any(p, e.limit(0)).count() == 0
+
+
+def test_pairs_that_no_route_drives_are_priced(spark, monkeypatch):
+    """A route 0-1-2-3-0 alone: 1-3 and 0-2 are in no leg, yet each removal has a saving and each reversal a price."""
+    stops = spark.createDataFrame([(1, i, n, n > 0) for i, n in enumerate([0, 1, 2, 3, 0])], "route_id bigint, seq int, node_id bigint, is_pickup boolean")
+    monkeypatch.setattr(views, "route_stops", lambda *_: stops)
+    minutes = lambda a, b: (a * 31 + b * 17) % 600 / 100 + 1.0
+    got = {r.node_id: r.saved_min for r in entry.queries()["q_removal_savings"](spark, SF).collect()}
+    assert got == {n: pytest.approx(minutes(a, n) + minutes(n, b) - minutes(a, b)) for a, n, b in ((0, 1, 2), (1, 2, 3), (2, 3, 0))}
+    rows = entry.queries()["q_two_opt"](spark, SF).orderBy("seq").collect()
+    order = [r.node_id for r in rows]
+    total = lambda s: sum(minutes(a, b) for a, b in zip(s, s[1:]))
+    assert rows[0].total_min == pytest.approx(total(order)) and rows[0].saved_min == pytest.approx(total([0, 1, 2, 3, 0]) - total(order))
+    assert all(total(order[:i] + order[i : j + 1][::-1] + order[j + 1 :]) >= total(order) - 0.01 for i in range(1, 4) for j in range(i + 1, 4))
+
+
+def test_two_opt_goes_on_beside_unreachable_legs():
+    inf = float("inf")
+    cost = {(a, b): 1.0 if b == a + 1 else 5.0 for a in range(5) for b in range(5) if a != b} | {(4, 0): 1.0, (0, 1): inf}
+    order, minutes, saved = routes._improved([0, 1, 3, 2, 4, 0], cost | {(0, b): inf for b in range(5)}, 0.01)
+    inner = lambda s: sum(cost[x] for x in zip(s[1:], s[2:]))
+    assert minutes == inf and 0 < saved == pytest.approx(inner([0, 1, 3, 2, 4, 0]) - inner(order))
+    order, minutes, saved = routes._improved([0, 1, 2, 3, 4, 0], cost, 0.01)
+    assert order[1] != 1 and minutes < inf and saved == inf
