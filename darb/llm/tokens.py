@@ -12,15 +12,19 @@ two characters behind its end and three behind its start, so all but the last th
 whatever follows. The merges never cross pieces. Chunks need no text of their own after encoding: the ids
 decode to it.
 
-Plan: chunking is done twice, which is cheaper than writing the text; distinct chunks are found by a 128-bit
-digest with map-side combining; chunk references are joined with encodings on the digest, with the references
-of hot chunks (in over 1/2000 of all places, hence under 2000 chunks) salted; one shuffle by document brings its
-chunks together. A task holds one document at a time.
+Plan: first only the chunks' 128-bit digests are counted, with map-side combining; which occur more than once goes
+to the workers as a bitmap of bounded size (a chunk taken for a repeated one by accident is merely shared by one
+document). In one pass over the texts, documents without repeated chunks, and what lies between repeated chunks
+in the others, are encoded where they are; the text of a repeated chunk leaves a task once and is encoded once.
+References to repeated chunks are joined with their encodings on the digest, those of hot chunks (in over 1/2000
+of all places, hence under 2000 chunks) salted; one shuffle by document brings the parts of the documents that
+have repeated chunks together. A task holds one document at a time.
 """
 
 from __future__ import annotations
 
 import base64
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -39,6 +43,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS, HELD_BACK = 64, 4096, 8, 3
 HOT_SHARE, HOT_ROWS = 2000, 10_000
+#: The bitmap of repeated chunks: bits a chunk, and bits at most and in a segment.
+BITS_A_CHUNK, MOST_BITS, SEGMENT_BITS = 16, 1 << 29, 1 << 16
+KEPT = 1_000_000  # names that a task remembers at once
 
 
 class Tokenizer:
@@ -71,6 +78,10 @@ class Tokenizer:
     def whole(self, text: str) -> list[int]:
         return self._encoding.encode_ordinary(text)
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text, as they are stored."""
+        return np.array(self._encoding.encode_ordinary(text), self.width).tobytes()
+
     def text(self, ids: list[int]) -> str:
         return self._encoding.decode_bytes(ids).decode()
 
@@ -120,39 +131,55 @@ def encode_chunk(t: Tokenizer, text: str) -> tuple[list[int], list[int]]:
 
 
 def join_chunks(t: Tokenizer, parts: Iterator[tuple[list[int], list[int]]]) -> list[int]:
-    """Ids of the text whose chunks, in order, have these encodings."""
+    """Ids of the text whose chunks, in order, have these encodings.
+
+    A repair that finds no agreement takes twice as many pieces each time, over as many chunks as that needs, so the
+    work is linear in the text even where it has no boundaries.
+    """
     out: list[int] = []
-    pending = ""  # text behind the last certain boundary
-    for ids, sizes in parts:
-        first = 0  # pieces of this chunk that the repair has used up
+    parts = iter(parts)
+    ahead: deque[tuple[list[int], list[int]]] = deque()  # chunks behind `pending`
+    pending = ""  # text behind the last certain boundary, up to the first of `ahead`
+
+    def reach(k: int) -> bool:
+        while len(ahead) <= k:
+            if (part := next(parts, None)) is None:
+                return False
+            ahead.append(part)
+        return True
+
+    while reach(0):
+        first = 0  # pieces of the next chunk that the repair has used up
         if pending:
-            take, met = HELD_BACK + 1, False
-            while not met:
-                take = min(take, len(sizes))
-                head = t.text(ids[: sum(sizes[:take])])
-                own, at = {}, len(pending)  # boundaries of the chunk in pending + head, with the pieces before them
-                done = 0
-                for i in range(take):
-                    own[at] = (i, done)
-                    at += len(t.text(ids[done : done + sizes[i]])) if i < take - 1 else 0
-                    done += sizes[i]
-                fresh = t.pieces(pending + head)
-                at, sure = 0, fresh[:-HELD_BACK] if len(fresh) > HELD_BACK else []
-                for n, piece in enumerate(sure):
-                    at += len(piece)
-                    if at in own:
-                        for x in fresh[: n + 1]:
-                            out.extend(t.ids(x))
-                        first, met = own[at][0], True
+            own: dict[int, tuple[int, int]] = {}  # boundaries of the chunks, as places in pending + head
+            head: list[str] = []
+            at, k, i, done, take, met = len(pending), 0, 0, 0, HELD_BACK + 1, None
+            while met is None and reach(k):
+                for _ in range(take):
+                    if not reach(k):
+                        break
+                    ids, sizes = ahead[k]
+                    own[at] = (k, i)
+                    head.append(t.text(ids[done : done + sizes[i]]))
+                    at, done, i = at + len(head[-1]), done + sizes[i], i + 1
+                    if i == len(sizes):
+                        k, i, done = k + 1, 0, 0
+                fresh, place = t.pieces(pending + "".join(head)), 0
+                for n in range(len(fresh) - HELD_BACK):
+                    place += len(fresh[n])
+                    if place in own:
+                        met = own[place]
                         break
-                if not met and take == len(sizes):
-                    break
                 take *= 2
-            if not met:  # no agreement in this chunk: what is certain goes out, the rest waits for the next
-                for x in sure:
-                    out.extend(t.ids(x))
-                pending = "".join(fresh[len(sure) :])
-                continue
+            if met is None:  # the text ends first
+                pending += "".join(head)
+                break
+            for piece in fresh[: n + 1]:
+                out.extend(t.ids(piece))
+            for _ in range(met[0]):
+                ahead.popleft()
+            first = met[1]
+        ids, sizes = ahead.popleft()
         last = max(first, len(sizes) - HELD_BACK)
         begin, end = sum(sizes[:first]), sum(sizes[:last])
         out.extend(ids[begin:end])
@@ -176,34 +203,120 @@ def _digest(text: str) -> bytes:
     return blake2b(text.encode(), digest_size=16).digest()
 
 
-def _references(with_text: bool):
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_digest(part) for text in batch.column(0).to_pylist() for part in chunks(text)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
+
+
+def _place(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:8], "little") & (bits - 1)
+
+
+def _bit_places(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys, numbers, digests, texts = [], [], [], [], []
+            places = np.array([_place(d, bits) for d in batch.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(places // SEGMENT_BITS, pa.int32()), pa.array(places % SEGMENT_BITS, pa.int32())], names=["segment", "bit"])
+
+    return run
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each segment of the bitmap, of rows (segment, bit) that a task has all of."""
+    made: dict[int, np.ndarray] = {}
+    for batch in batches:
+        segments, places = (batch.column(i).to_numpy() for i in range(2))
+        for segment in np.unique(segments).tolist():
+            bits = made.setdefault(segment, np.zeros(SEGMENT_BITS // 8, np.uint8))
+            at = places[segments == segment]
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([b.tobytes() for b in made.values()], pa.binary())], names=["segment", "bits"])
+
+
+def repeated_chunks(texts: DataFrame) -> tuple[bytes, int]:
+    """A bitmap, with its number of bits (at most MOST_BITS), that has the place of every chunk which occurs more than once."""
+    counts = texts.mapInArrow(_digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n"))
+    repeated = durable(counts.where("n > 1").select("digest"))
+    bits = SEGMENT_BITS
+    while bits < min(MOST_BITS, repeated.count() * BITS_A_CHUNK):
+        bits *= 2
+    out = bytearray(bits // 8)
+    for row in repeated.mapInArrow(_bit_places(bits), "segment int, bit int").repartition("segment").mapInArrow(_segments, "segment int, bits binary").collect():  # at most MOST_BITS
+        begin = row["segment"] * SEGMENT_BITS // 8
+        out[begin : begin + SEGMENT_BITS // 8] = row["bits"]
+    return bytes(out), bits
+
+
+def text_parts(text: str, bitmap: bytes, bits: int) -> list[tuple[str, bytes | None]]:
+    """The text as parts (text, digest): repeated chunks, and what lies between them, without a digest."""
+    out: list[tuple[str, bytes | None]] = []
+    between: list[str] = []
+    for part in chunks(text):
+        digest = _digest(part)
+        place = _place(digest, bits)
+        if not bitmap[place >> 3] >> (place & 7) & 1:
+            between.append(part)
+            continue
+        if between:
+            out.append(("".join(between), None))
+            between = []
+        out.append((part, digest))
+    if between:
+        out.append(("".join(between), None))
+    return out
 
-            def flush() -> pa.RecordBatch:
-                if with_text:
-                    return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.string())], names=["digest", "chunk"])
-                return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "text_key", "seq", "digest"])
 
+_PARTS = "doc_id bigint, text_key binary, seq int, digest binary, chunk string, ids binary, sizes binary"
+
+
+def _parts(path: str, bitmap: bytes, bits: int):
+    """Rows of _PARTS: a document encoded whole (seq -1), or its parts; a repeated chunk has its text once in a task and no ids yet."""
+    types = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.binary())
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        sent: set[bytes] = set()  # chunks whose text has left, and documents in parts, as repeated rows need only one
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = chunks(text) if text else []
-                key = _digest(text) if text else None if text is None else b""
-                if not parts and not with_text:
-                    docs.append(doc_id)
-                    keys.append(key)
-                    numbers.append(0)
-                    digests.append(None)
-                for i, part in enumerate(parts):
-                    docs.append(doc_id)
-                    keys.append(key)
-                    numbers.append(i)
-                    digests.append(_digest(part))
-                    texts.append(part if with_text else None)
-                if len(digests) > 10_000:
-                    yield flush()
-                    docs, keys, numbers, digests, texts = [], [], [], [], []
-            yield flush()
+                parts = text_parts(text, bitmap, bits)
+                size += len(text)
+                if len(parts) == 1 and parts[0][1] is None:
+                    rows.append((doc_id, None, -1, None, None, t.packed(text), None))
+                else:
+                    key = _digest(text)
+                    if len(sent) > KEPT:
+                        sent.clear()
+                    if (name := b"%d:%s" % (doc_id, key) if doc_id is not None else key) in sent:
+                        continue
+                    sent.add(name)
+                    for i, (part, digest) in enumerate(parts):
+                        if digest is None:
+                            ids, sizes = encode_chunk(t, part)
+                            rows.append((doc_id, key, i, None, None, np.array(ids, t.width).tobytes(), pack(sizes)))
+                        else:
+                            rows.append((doc_id, key, i, digest, None if b"=" + digest in sent else part, None, None))
+                            sent.add(b"=" + digest)
+                if size > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=names)
+
+    return run
+
+
+def _unpacked(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = tokenizer(path).width
+        for batch in batches:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                found = [np.frombuffer(x, width) for x in part.column(1).to_pylist()]
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32) if found else [], pa.int32()))], names=["doc_id", "ids"])
 
     return run
 
@@ -250,8 +363,7 @@ def _assemble(path: str):
                     if current is not None:
                         close()
                     current, parts = (doc_id, key), []
-                if ids is not None:
-                    parts.append((np.frombuffer(ids, t.width).tolist(), unpack(sizes)))
+                parts.append((np.frombuffer(ids, t.width).tolist(), unpack(sizes)))
                 if offsets[-1] > 1_000_000:
                     yield flush()
                     docs, offsets, values = [], [0], []
@@ -270,19 +382,26 @@ def encode_corpus(documents: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     their names. `path` is the rank file, read by every worker.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = texts.where("text <> ''").mapInArrow(_references(True), "digest binary, chunk string")
-    distinct = known.groupBy("digest").agg(F.first("chunk").alias("chunk"), F.count("*").alias("n"))
+    known = texts.where("text <> ''")
+    bitmap, bits = repeated_chunks(known.select("text"))
+    parts = durable(known.mapInArrow(_parts(path, bitmap, bits), _PARTS))
+    whole = parts.where("seq < 0").select("doc_id", "ids").mapInArrow(_unpacked(path), "doc_id bigint, ids array<int>")
+    empty = texts.where("text IS NULL OR text = ''").distinct().select("doc_id", F.array().cast("array<int>").alias("ids"))
+    shared = parts.where("digest IS NOT NULL")
+    distinct = shared.groupBy("digest").agg(F.first("chunk", ignorenulls=True).alias("chunk"), F.count("*").alias("n"))
     encoded = durable(distinct.mapInArrow(_encode(path), "digest binary, ids binary, sizes binary, n bigint"))
     places = encoded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     many = max(HOT_ROWS, places // HOT_SHARE)
-    hot = encoded.where(F.col("n") > many).select("digest", F.ceil(F.col("n") / many).cast("int").alias("salts"))
-    references = texts.mapInArrow(_references(False), "doc_id bigint, text_key binary, seq int, digest binary")
-    salted = references.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "seq"), F.col("salts")), F.lit(0)).cast("int"))
+    hot = encoded.where(F.col("n") > many).select("digest", F.ceil(F.col("n") / many).cast("int").alias("salts"))  # under HOT_SHARE rows
+    salted = shared.select("doc_id", "text_key", "seq", "digest").join(F.broadcast(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "seq"), F.col("salts")), F.lit(0)).cast("int"))
     copies = encoded.withColumn("salt", F.explode(F.when(F.col("n") > many, F.sequence(F.lit(0), F.ceil(F.col("n") / many).cast("int") - 1)).otherwise(F.array(F.lit(0)))))
-    joined = salted.join(copies.select("digest", "salt", "ids", "sizes"), ["digest", "salt"], "left").select("doc_id", "text_key", "seq", "ids", "sizes")
+    columns = ["doc_id", "text_key", "seq", "ids", "sizes"]
+    joined = salted.join(copies.select("digest", "salt", "ids", "sizes"), ["digest", "salt"]).select(columns)
+    between = parts.where("seq >= 0 AND digest IS NULL").select(columns)
     # equal rows come in equal copies; one of each is enough
-    placed = joined.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "seq")
-    return placed.mapInArrow(_once, "doc_id bigint, text_key binary, seq int, ids binary, sizes binary").mapInArrow(_assemble(path), "doc_id bigint, ids array<int>")
+    placed = joined.unionByName(between).repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "seq")
+    repaired = placed.mapInArrow(_once, "doc_id bigint, text_key binary, seq int, ids binary, sizes binary").mapInArrow(_assemble(path), "doc_id bigint, ids array<int>")
+    return whole.unionByName(repaired).unionByName(empty)
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,3 +76,40 @@ def test_hot_chunks_are_salted(spark, t, monkeypatch):
     rows = [(k, hot + f"and then {k}") for k in range(60)]
     got = {r.doc_id: list(r.ids) for r in tk.encode_corpus(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: t.whole(x) for i, x in rows}
+
+
+def test_unbroken_text_joins_in_linear_time(t):
+    """Each chunk's encoding is asked for once, and a text without a piece boundary is split a few times over, not once a chunk."""
+    text = "abcdefghij" * 60_000
+    split, seen = t.pieces, []
+    t.pieces = lambda x: seen.append(len(x)) or split(x)
+    try:
+        parts = [tk.encode_chunk(t, c) for c in tk.chunks(text)]
+        seen.clear()
+        assert tk.join_chunks(t, iter(parts)) == t.whole(text)
+    finally:
+        del t.pieces
+    assert sum(seen) < 5 * len(text)
+
+
+def test_parts_are_the_text_and_name_repeated_chunks(spark):
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abcdefghij klmno") for _ in range(4000))
+    rows = [(k, f"{k} " + "".join(rng.choice("pqrstuv wxyz") for _ in range(2000)) + (shared if k % 3 == 0 else "")) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bitmap, bits = tk.repeated_chunks(df.select("text"))
+    names = 0
+    for k, text in rows:
+        parts = tk.text_parts(text, bitmap, bits)
+        assert "".join(p for p, _ in parts) == text
+        names += sum(d is not None for _, d in parts)
+        assert (len([d for _, d in parts if d]) > 3) == (k % 3 == 0)
+    assert names and len(bitmap) * 8 == bits
+
+
+def test_a_full_bitmap_changes_nothing(spark, t, monkeypatch):
+    monkeypatch.setattr(tk, "repeated_chunks", lambda texts: (b"\xff" * (tk.SEGMENT_BITS // 8), tk.SEGMENT_BITS))
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["bus", "stop", "l'école", "مدرسة", "12", "…"]) for _ in range(rng.randrange(300)))) for k in range(40)]
+    got = {r.doc_id: list(r.ids) for r in tk.encode_corpus(spark.createDataFrame(rows * 2, "doc_id bigint, text string")).collect()}
+    assert got == {i: t.whole(x) for i, x in rows}
