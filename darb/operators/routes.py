@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darb.functions.scalars import UNREACHABLE_MIN
-from darb.session import durable, small_side
 
 
 def _by(route: str = "route_id", *order: Column | str):
@@ -28,10 +27,31 @@ def with_sequence(rows: DataFrame, route: str, order: list[str]) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(_by(route, *order)))
 
 
-def legs(stops: DataFrame, od: DataFrame) -> DataFrame:
-    """(route_id, seq, src, dst, minutes, metres): consecutive stops with their travel; a pair that the matrix lacks has nulls."""
-    pairs = stops.select("route_id", "seq", F.col("node_id").alias("src"), F.lead("node_id").over(_by("route_id", "seq")).alias("dst")).where("dst IS NOT NULL")
-    return pairs.join(od.select("src", "dst", "minutes", "metres"), ["src", "dst"], "left").select("route_id", "seq", "src", "dst", "minutes", "metres")
+def legs(stops: DataFrame, od: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(route_id, seq, src, dst, minutes, metres) with the stop's columns named in `carried`: consecutive stops with their travel; a pair that the matrix lacks has nulls."""
+    pairs = stops.select("route_id", "seq", F.col("node_id").alias("src"), F.lead("node_id").over(_by("route_id", "seq")).alias("dst"), *carried).where("dst IS NOT NULL")
+    return pairs.join(od.select("src", "dst", "minutes", "metres"), ["src", "dst"], "left").select("route_id", "seq", "src", "dst", "minutes", "metres", *carried)
+
+
+def legs_both_ways(stops: DataFrame, od: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(route_id, seq, src, dst, minutes, back_min) with `carried`: each leg with its minutes there and backwards.
+
+    Backwards a vehicle starts at the route's first stop (the school), so the last leg's way back begins there.
+    """
+    w = _by("route_id", "seq")
+    ends = _by("route_id", "seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = stops.select("route_id", "seq", F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.lead("node_id", 2).over(w).alias("__next"), F.first("node_id").over(ends).alias("__first"), *carried).where("dst IS NOT NULL")
+    there = pairs.withColumn("__from", F.when(F.col("__next").isNull(), F.col("__first")).otherwise(F.col("dst"))).join(od.select("src", "dst", "minutes"), ["src", "dst"], "left")
+    back = od.select(F.col("src").alias("__from"), F.col("dst").alias("src"), F.col("minutes").alias("back_min"))
+    return there.join(back, ["__from", "src"], "left").select("route_id", "seq", "src", "dst", "minutes", "back_min", *carried)
+
+
+def rides_both_ways(stops: DataFrame, od: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(route_id, seq, node_id, ride_min, pm_min) with `carried`: the rides of morning_rides() and evening_rides() of each stop but the last, from one set of legs."""
+    rest = _by("route_id", "seq").rowsBetween(0, Window.unboundedFollowing)
+    back = _by("route_id", F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)  # added up in the order of the ride
+    total = lambda c, w: F.when(F.sum(F.col(c).isNull().cast("int")).over(w) == 0, F.sum(c).over(w))
+    return legs_both_ways(stops, od, carried).select("route_id", "seq", F.col("src").alias("node_id"), total("minutes", rest).alias("ride_min"), total("back_min", back).alias("pm_min"), *carried)
 
 
 def route_totals(legs_df: DataFrame) -> DataFrame:
@@ -94,61 +114,6 @@ def insertion_costs(routes_legs: DataFrame, candidates: DataFrame, od: DataFrame
     return both.select("student_id", "route_id", "seq", "node_id", (F.col("t_uc") + F.col("t_cv") - F.col("t_uv")).alias("delta"))
 
 
-def _positions(legs_df: DataFrame, nodes: DataFrame, minutes: Callable[[str, str], Column]) -> DataFrame:
-    """Every leg (src, dst, t_uv, ...) with every node (node_id): adds t_cv and delta, without unreachable positions.
-
-    Nodes are a small table beside the legs, so they are sent to them; `minutes` prices any pair of nodes.
-    """
-    met = legs_df.crossJoin(small_side(nodes)).withColumn("t_uc", minutes("src", "node_id")).withColumn("t_cv", minutes("node_id", "dst"))
-    far = F.lit(float("inf"))
-    return met.where((F.col("t_uv") < far) & (F.col("t_uc") < far) & (F.col("t_cv") < far)).withColumn("delta", F.col("t_uc") + F.col("t_cv") - F.col("t_uv")).drop("t_uc")
-
-
-def insertion_summary(routes_legs: DataFrame, candidates: DataFrame, minutes: Callable[[str, str], Column]) -> DataFrame:
-    """(student_id, options, delta): over all legs of all routes, the possible positions of a student's nodes and the cheapest.
-
-    `candidates`: (student_id, node_id), distinct. What a position costs depends on the node, not on the student, so each
-    node meets each distinct pair of leg ends once and its students take over the sums.
-    """
-    ends = routes_legs.select("src", "dst", F.col("minutes").alias("t_uv")).groupBy("src", "dst", "t_uv").agg(F.count("*").alias("n"))
-    per_node = _positions(ends, candidates.select("node_id").distinct(), minutes).groupBy("node_id").agg(F.sum("n").alias("options"), F.min("delta").alias("delta"))
-    return candidates.join(per_node, "node_id").groupBy("student_id").agg(F.sum("options").alias("options"), F.min("delta").alias("delta"))
-
-
-def cheapest_routes(routes_legs: DataFrame, candidates: DataFrame, minutes: Callable[[str, str], Column], k: int = 2) -> DataFrame:
-    """(student_id, route_id, delta) of at least the k cheapest routes of each student among all routes, for regret().
-
-    A pair of leg ends keeps its k least routes: one with k others before it on the same pair can't be among a node's
-    k first. Routes fall into classes, so the k-th least of the classes' minima is reached by k routes at least, and
-    only positions up to it are looked at by route.
-    """
-    first = Window.partitionBy("src", "dst", "t_uv").orderBy("route_id")
-    ends = routes_legs.select("src", "dst", F.col("minutes").alias("t_uv"), "route_id").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    ends = durable(ends.groupBy("src", "dst", "t_uv").agg(F.sort_array(F.collect_list("route_id")).alias("routes")))
-    nodes = candidates.select("node_id").distinct()
-    met = _positions(ends.withColumn("class", F.pmod(F.xxhash64(F.col("routes")[0]), F.lit(16 * k))), nodes, minutes)
-    least = met.groupBy("node_id", "class").agg(F.min("delta").alias("delta"))
-    most = least.groupBy("node_id").agg(F.get(F.sort_array(F.collect_list("delta")), F.lit(k - 1)).alias("most"))
-    bound = durable(nodes.join(most, "node_id", "left").select("node_id", F.coalesce("most", F.lit(float("inf"))).alias("most")))
-    near = _positions(ends, bound, minutes).where(F.col("delta") <= F.col("most"))
-    per_node = near.select("node_id", "delta", F.explode("routes").alias("route_id")).groupBy("node_id", "route_id").agg(F.min("delta").alias("delta"))
-    ranked = per_node.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy("delta", "route_id"))).where(F.col("r") <= k)
-    return candidates.join(ranked, "node_id").select("student_id", "route_id", "delta")
-
-
-def feasible_summary(rides: DataFrame, riders: DataFrame, loads: DataFrame, caps: DataFrame, candidates: DataFrame, minutes: Callable[[str, str], Column]) -> DataFrame:
-    """(student_id, options, delta): insertion_summary of the positions that feasible_insertions would keep, over all routes.
-
-    The students of a node differ by their caps alone, so positions are counted by node and cap.
-    """
-    asked = candidates.join(caps.select("student_id", F.col("cap_min").alias("own_cap")), "student_id")
-    legs_df = with_slack(rides, riders).join(loads.where("load < capacity").select("route_id"), "route_id", "left_semi").select("src", "dst", "t_uv", "rest_min", "slack")
-    kept = _positions(legs_df, asked.groupBy("node_id").agg(F.max("own_cap").alias("top_cap")), minutes).withColumn("ride", F.col("t_cv") + F.col("rest_min")).where("(slack IS NULL OR delta <= slack) AND ride <= top_cap").select("node_id", "delta", "ride")
-    met = kept.join(small_side(asked.select("node_id", "own_cap").distinct()), "node_id").where("ride <= own_cap")
-    per_node = met.groupBy("node_id", "own_cap").agg(F.count("*").alias("options"), F.min("delta").alias("delta"))
-    return asked.join(per_node, ["node_id", "own_cap"]).groupBy("student_id").agg(F.sum("options").alias("options"), F.min("delta").alias("delta"))
-
-
 def with_slack(rides: DataFrame, riders: DataFrame) -> DataFrame:
     """Legs (route_id, seq, src, dst, t_uv) with rest_min, the ride from dst on, and slack, the least of those on board; see feasible_insertions."""
     slack = riders.groupBy("route_id", "seq").agg(F.min(F.col("cap_min") - F.col("ride_min")).alias("slack"))
@@ -301,19 +266,27 @@ def _two_opt_rows(epsilon: float):
     return run
 
 
-def two_opt(stops: DataFrame, od: DataFrame, epsilon: float = 0.01) -> DataFrame:
+def two_opt(stops: DataFrame, od: DataFrame | Callable[[Column, Column], Column], epsilon: float = 0.01) -> DataFrame:
     """(route_id, seq, node_id, total_min, saved_min): interior segments reversed while that saves over `epsilon` minutes.
 
+    `od` is a matrix (src, dst, minutes), or a function that prices two columns of nodes; the latter needs no join.
+
     The moves depend on each other, so a route is worked on as a whole: one row holds its stops and the pairs of
     its own stops (a route's length bounds both), and rows go through Python in Arrow batches. Pairs that the
     matrix lacks are unreachable.
     """
-    sources = stops.select(F.col("route_id").alias("pair_route"), F.col("node_id").alias("src")).distinct()
-    targets = stops.select(F.col("route_id").alias("pair_route"), F.col("node_id").alias("dst")).distinct()
-    pairs = sources.join(targets, "pair_route").join(od.select("src", "dst", "minutes"), ["src", "dst"])
-    costs = pairs.groupBy("pair_route").agg(F.collect_list(F.struct("src", "dst", "minutes")).alias("c"))
-    ordered = stops.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("seq", "node_id"))).alias("s"))
-    rows = ordered.join(costs, F.col("route_id") == F.col("pair_route"), "left").select("route_id", F.col("s.node_id").alias("nodes"), F.col("c.src").alias("src"), F.col("c.dst").alias("dst"), F.col("c.minutes").alias("minutes"))
+    ordered = stops.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("s")).select("route_id", F.col("s.node_id").alias("nodes"))
+    if callable(od):
+        own = F.array_distinct("nodes")
+        pairs = F.flatten(F.transform(own, lambda a: F.transform(own, lambda b: F.struct(a.alias("src"), b.alias("dst"), od(a, b).alias("minutes")))))
+        rows = ordered.withColumn("c", pairs)
+    else:
+        sources = stops.select(F.col("route_id").alias("pair_route"), F.col("node_id").alias("src")).distinct()
+        targets = stops.select(F.col("route_id").alias("pair_route"), F.col("node_id").alias("dst")).distinct()
+        priced = sources.join(targets, "pair_route").join(od.select("src", "dst", "minutes"), ["src", "dst"])
+        costs = priced.groupBy("pair_route").agg(F.collect_list(F.struct("src", "dst", "minutes")).alias("c"))
+        rows = ordered.join(costs, F.col("route_id") == F.col("pair_route"), "left")
+    rows = rows.select("route_id", "nodes", F.col("c.src").alias("src"), F.col("c.dst").alias("dst"), F.col("c.minutes").alias("minutes"))
     kind = dict(stops.dtypes)
     done = rows.mapInArrow(_two_opt_rows(epsilon), f"route_id {kind['route_id']}, nodes array<{kind['node_id']}>, total_min double, saved_min double")
     return done.select("route_id", F.posexplode("nodes").alias("seq", "node_id"), "total_min", "saved_min")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from darb.functions import scalars
-from darb.operators import graph, metrics, population, routes, shred, spatial
+from darb.operators import graph, insertions, metrics, population, routes, shred, spatial
 from darb.plans import views
-from darb.plans.route_queries import _INSERTIONS, _candidates, r6
+from darb.plans.route_queries import INSERTIONS, _candidates, minutes_sql, r6
 from darb.plans.run_queries import _M, _ROAD, _streets, metrics_table
 from darb.plans.views import with_views
 from darb.session import table
@@ -26,28 +26,82 @@ def query(sql: str | None = None):
     return add
 
 
+#: Rides both ways (inf where a leg is unreachable), and the riders on board before each position: their ride as it is, and what lies between the position and them on the way back.
+_RIDES = INSERTIONS + f""", way AS (
+  SELECT *, {minutes_sql("dst", "src")} AS back_min FROM legs),
+rides AS (
+  SELECT *, sum(minutes) OVER w AS ride_min, sum(back_min) OVER w AS pm_min, coalesce(sum(minutes) OVER x, 0) AS rest, coalesce(sum(back_min) OVER x, 0) AS rest_back FROM way
+  WINDOW w AS (PARTITION BY route_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), x AS (PARTITION BY route_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+board AS (
+  SELECT l.route_id, l.seq, r.seq AS boards, 25 + v.student_id % 20 AS cap, any_value(r.ride_min) AS ride_min, coalesce(sum(b.back_min), 0) AS between_min
+  FROM rides l JOIN rides r ON r.route_id = l.route_id AND r.seq BETWEEN 1 AND l.seq JOIN visits v ON v.route_id = r.route_id AND v.seq = r.seq
+  LEFT JOIN rides b ON b.route_id = l.route_id AND b.seq >= r.seq AND b.seq < l.seq GROUP BY ALL),
+open_ AS (SELECT route_id FROM visits GROUP BY 1 HAVING count(*) < 6),
+full_pos AS (
+  SELECT i.node_id, i.route_id, i.seq, i.delta, cv + rest AS am, {minutes_sql("i.dst", "i.node_id")} + rest_back AS pm, {minutes_sql("i.dst", "i.node_id")} + rest_back + {minutes_sql("i.node_id", "i.src")} AS detour
+  FROM ins i JOIN rides USING (route_id, seq) WHERE i.route_id IN (SELECT route_id FROM open_))
+"""
+
+
+def _feasible(riders: str, own: str) -> str:
+    """Options and least minutes per student; `riders` is when an earlier rider's cap breaks, `own` when the student's own holds."""
+    return f""", broken AS (SELECT DISTINCT p.node_id, p.route_id, p.seq FROM full_pos p JOIN board USING (route_id, seq) WHERE {riders}),
+good AS (SELECT * FROM full_pos ANTI JOIN broken USING (node_id, route_id, seq)),
+per AS (SELECT node_id, cap_min, count(*) AS options, min(delta) AS delta FROM good JOIN (SELECT DISTINCT node_id, 30 + student_id % 10 AS cap_min FROM cand) USING (node_id) WHERE {own} GROUP BY 1, 2)
+"""
+
+
+_E = "+ 1e-9"
+_EITHER = _RIDES + _feasible(f"ride_min + delta > cap {_E} AND detour + between_min > cap {_E}", f"am <= cap_min {_E} OR pm <= cap_min {_E}")
+_BOTH = _RIDES.replace("25 + v.student_id % 20 AS cap", "40 AS cap") + _feasible(f"ride_min + delta > cap {_E} OR detour + between_min > cap {_E}", f"am <= 40 {_E} AND pm <= 40 {_E}")
+_PER_STUDENT = "SELECT student_id, sum(options)::BIGINT AS options, round(min(delta), 6) AS delta FROM cand JOIN per ON per.node_id = cand.node_id AND cap_min = 30 + student_id % 10 GROUP BY 1"
+
+
+def _rule_positions(spark, sf, rule, rider_cap, own_cap):
+    """Candidates of each student with the positions that keep all caps by the rule."""
+    legs = routes.legs_both_ways(views.route_stops(spark, sf, "student_id"), views.od_matrix(spark, sf), ("student_id",))
+    seats = views.visits(spark, sf).groupBy("route_id").agg(F.count("*").alias("load")).withColumn("capacity", F.lit(6))
+    rows = insertions.route_rows(legs, F.when(F.col("student_id").isNotNull(), rider_cap), seats)
+    c = _candidates(spark, sf).withColumn("cap_min", own_cap.cast("double"))
+    return insertions.student_insertions(insertions.best_positions(rows, c, views.travel_minutes_of, rule), c)
+
+
+def _summary(found):
+    return found.groupBy("student_id").agg(F.sum("options").alias("options"), F.round(F.min("delta"), 6).alias("delta"))
+
+
+@query(_EITHER + _PER_STUDENT)
+def q_feasible_insertions(spark, sf):
+    """Positions that keep everyone's cap in the morning or on the way back."""
+    return _summary(_rule_positions(spark, sf, "either", F.lit(25) + F.col("student_id") % 20, F.lit(30) + F.col("student_id") % 10))
+
+
+@query(_BOTH + _PER_STUDENT)
+def q_feasible_fixed_cap(spark, sf):
+    """Positions that keep one fixed cap for everyone, in the morning and on the way back."""
+    return _summary(_rule_positions(spark, sf, "both", F.lit(40), F.lit(40)))
+
+
 @query(
-    _INSERTIONS
-    + """, rides AS (SELECT *, sum(minutes) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ride_min FROM legs),
-sl AS (SELECT r.route_id, r.seq, r.dst, r.ride_min - r.minutes AS rest, min(CASE WHEN r.seq > 0 THEN 25 + (v.student_id % 20) - r.ride_min END) OVER (PARTITION BY r.route_id ORDER BY r.seq ROWS UNBOUNDED PRECEDING) AS slack
-  FROM rides r LEFT JOIN visits v ON v.route_id = r.route_id AND v.seq = r.seq),
-full_ AS (SELECT route_id FROM visits GROUP BY 1 HAVING count(*) < 6)
-SELECT i.student_id, count(*) AS options, round(min(i.delta), 6) AS delta FROM ins i JOIN sl ON sl.route_id = i.route_id AND sl.seq = i.seq JOIN od ON od.src = i.node_id AND od.dst = sl.dst
-WHERE i.route_id IN (SELECT route_id FROM full_) AND (slack IS NULL OR i.delta <= slack) AND od.minutes + rest <= 30 + i.student_id % 10 GROUP BY 1"""
+    _EITHER
+    + """, top AS (SELECT node_id, cap_min, (SELECT 1) AS one, min(struct_pack(delta := delta, route_id := route_id, seq := seq)) AS b FROM good JOIN (SELECT DISTINCT node_id, 30 + student_id % 10 AS cap_min FROM cand) USING (node_id) WHERE am <= cap_min + 1e-9 OR pm <= cap_min + 1e-9 GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN walk_m <= radius THEN 0.0 WHEN walk_m > (CASE WHEN radius <= 0 THEN 500 ELSE least(3 * radius, 500) END) THEN 'Infinity'::DOUBLE ELSE (walk_m - radius) / (CASE WHEN radius > 0 THEN radius ELSE 50 END) * 2 END AS penalty FROM cand),
+c AS (SELECT w.student_id, b.delta + penalty AS cost, b.route_id AS route_id, b.seq AS seq, w.node_id FROM w JOIN top ON top.node_id = w.node_id AND cap_min = 30 + student_id % 10 WHERE NOT isinf(penalty)),
+r AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY cost, route_id, seq, node_id) AS n FROM c)
+SELECT student_id, route_id, seq::BIGINT AS seq, node_id, round(cost, 6) AS cost FROM r WHERE n = 1"""
 )
-def q_feasible_insertions(spark, sf):
-    od = views.od_matrix(spark, sf)
-    rides = routes.morning_rides(routes.legs(views.route_stops(spark, sf), od))
-    riders = views.riders(spark, sf).select("route_id", "seq", "ride_min", (F.lit(25) + F.col("student_id") % 20).cast("double").alias("cap_min"))
-    loads = views.visits(spark, sf).groupBy("route_id").agg(F.count("*").alias("load")).withColumn("capacity", F.lit(6))
-    caps = views.students(spark, sf).select("student_id", (F.lit(30) + F.col("student_id") % 10).cast("double").alias("cap_min"))
-    return routes.feasible_summary(rides, riders, loads, caps, _candidates(spark, sf), views.travel_minutes).withColumn("delta", F.round("delta", 6))
+def q_cheapest_insertion(spark, sf):
+    """The whole choice: candidates within the walk, all positions, everyone's caps, minutes plus walk penalty, the least for each student."""
+    found = _rule_positions(spark, sf, "either", F.lit(25) + F.col("student_id") % 20, F.lit(30) + F.col("student_id") % 10)
+    priced = found.withColumn("cost", F.col("delta") + scalars.walk_penalty("walk_m", "radius")).where(F.col("cost") < float("inf"))
+    return routes.cheapest(priced, "cost").select("student_id", "route_id", "seq", "node_id", F.round("cost", 6).alias("cost"))
 
 
 @query(
     with_views("legs")
-    + """, a AS (SELECT route_id, seq, src AS node_id, lag(src) OVER w AS before, dst AS after, lag(minutes) OVER w + minutes AS through FROM legs WINDOW w AS (PARTITION BY route_id ORDER BY seq))
-SELECT route_id, seq, node_id, round(through - coalesce(od.minutes, CASE WHEN before = after THEN 0 END), 6) AS saved_min FROM a LEFT JOIN od ON od.src = before AND od.dst = after WHERE before IS NOT NULL AND NOT isinf(through) AND NOT isinf(coalesce(od.minutes, 0))"""
+    + f""", a AS (SELECT route_id, seq, src AS node_id, lag(src) OVER w AS before, dst AS after, lag(minutes) OVER w + minutes AS through FROM legs WINDOW w AS (PARTITION BY route_id ORDER BY seq)),
+x AS (SELECT *, {minutes_sql("before", "after")} AS around FROM a WHERE before IS NOT NULL)
+SELECT route_id, seq, node_id, round(through - around, 6) AS saved_min FROM x WHERE NOT isinf(through) AND NOT isinf(around)"""
 )
 def q_removal_savings(spark, sf):
     stops = views.route_stops(spark, sf)

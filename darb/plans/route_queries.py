@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from darb.functions import scalars
 from darb.functions.geo import angle_difference, bbox_radius_m, bearing_deg, crossing_angle_ok, equirectangular_m, haversine_m, segment_distance
-from darb.operators import metrics, routes, spatial
+from darb.operators import insertions, metrics, routes, spatial
 from darb.plans import views
 from darb.plans.views import with_views
-from darb.session import table
+from darb.session import durable, table
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: Great-circle metres between p and t in DuckDB SQL.
+HAVERSINE = "2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(t.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - p.lon) / 2), 2))))"
+
+
 def r6(name: str):
     return F.round(name, 6).alias(name)
 
@@ -84,7 +88,7 @@ _CAP = "CASE WHEN direct_min <= 0 THEN 10.0 ELSE greatest(10.0, direct_min + 5)
   round(count(CASE WHEN ride_min > {_CAP} THEN 1 END) * 100.0 / count(CASE WHEN ride_min IS NOT NULL THEN 1 END), 6) AS violation_pct FROM riders GROUP BY mode"""
 )
 def q_cap_violations(spark, sf):
-    capped = views.riders(spark, sf).withColumn("cap_min", scalars.ride_cap("direct_min", 10.0, 5.0))
+    capped = views.riders(spark, sf, ("mode", "direct_min")).withColumn("cap_min", scalars.ride_cap("direct_min", 10.0, 5.0))
     return metrics.cap_violations(capped, ["mode"]).withColumn("violation_pct", F.round("violation_pct", 6))
 
 
@@ -97,9 +101,8 @@ SELECT route_id, count(CASE WHEN ride_min <= {_CAP} OR pm_min <= {_CAP} THEN 1 E
 FROM riders JOIN pm USING (route_id, seq) GROUP BY route_id"""
 )
 def q_satisfied_per_route(spark, sf):
-    pm = routes.evening_rides(views.route_stops(spark, sf), views.od_matrix(spark, sf)).select("route_id", "seq", F.col("ride_min").alias("pm_min"))
+    both = views.riders_both_ways(spark, sf, ("direct_min",))
     cap = scalars.ride_cap("direct_min", 10.0, 5.0)
-    both = views.riders(spark, sf).join(pm, ["route_id", "seq"])
     return both.groupBy("route_id").agg(F.count_if((F.col("ride_min") <= cap) | (F.col("pm_min") <= cap)).alias("lenient"), F.count_if(F.col("ride_min") <= cap).alias("strict"))
 
 
@@ -109,7 +112,7 @@ def q_satisfied_per_route(spark, sf):
 FROM (SELECT mode, CASE WHEN direct_min > 0 AND NOT isinf(ride_min) THEN ride_min / direct_min END AS x FROM riders) GROUP BY mode"""
 )
 def q_ride_ratio(spark, sf):
-    return metrics.ride_ratio(views.riders(spark, sf), ["mode"]).select("mode", r6("mean_ratio"), r6("std_ratio"), r6("max_ratio"), "missing")
+    return metrics.ride_ratio(views.riders(spark, sf, ("mode", "direct_min")), ["mode"]).select("mode", r6("mean_ratio"), r6("std_ratio"), r6("max_ratio"), "missing")
 
 
 @query(
@@ -141,7 +144,7 @@ SELECT (SELECT count(*) FROM riders WHERE walk_m < 300) AS served, (SELECT count
     - (SELECT sum(CASE WHEN walk_m <= 100 THEN 0 WHEN walk_m > 300 THEN 5000 ELSE (walk_m - 100) / 100 * 2 END) FROM riders WHERE walk_m < 300), 4) AS objective"""
 )
 def q_objective(spark, sf):
-    r = views.riders(spark, sf)
+    r = views.riders(spark, sf, ("walk_m",))
     served = F.col("walk_m") < 300
     penalty = F.when(served, scalars.walk_penalty("walk_m", 100.0))
     per = r.groupBy("route_id").agg(F.count_if(served).alias("served"), F.when(F.max("ride_min") == float("inf"), scalars.UNREACHABLE_MIN).otherwise(F.max("ride_min")).alias("m"), F.sum(F.when(penalty == float("inf"), 5000.0).otherwise(penalty)).alias("p"))
@@ -188,45 +191,64 @@ def q_used_crossing_pct(spark, sf):
 
 
 def _candidates(spark, sf):
-    """(student_id, node_id): the stop nearest to a student's home, and all others within the student's walk."""
-    s = views.students(spark, sf)
+    """(student_id, node_id, walk_m, radius): the stop nearest to a student's home, and all others within the student's walk."""
+    s = views.students(spark, sf).withColumnRenamed("student_id", "key")
     at = views.stops(spark, sf).select(F.col("node_id").cast("bigint").alias("target"), "lat", "lon")
-    door = spatial.nearest(s.withColumnRenamed("student_id", "key"), at).select(F.col("key").alias("student_id"), F.col("target").alias("node_id"))
-    return door.unionByName(spatial.within(s.withColumnRenamed("student_id", "key"), at).select(F.col("key").alias("student_id"), F.col("target").alias("node_id"))).distinct()
+    both = spatial.nearest(s, at).select("key", "target", "metres").unionByName(spatial.within(s, at).select("key", "target", "metres"))
+    once = both.groupBy("key", "target").agg(F.min("metres").alias("walk_m"))
+    # asked for twice, for the nodes and for the students that take over their sums
+    return durable(once.join(s.select("key", "radius"), "key").select(F.col("key").alias("student_id"), F.col("target").alias("node_id"), "walk_m", "radius"))
+
 
+def _rows(spark, sf):
+    return insertions.route_rows(routes.legs(views.route_stops(spark, sf), views.od_matrix(spark, sf)))
 
-def _legs(spark, sf):
-    return routes.legs(views.route_stops(spark, sf), views.od_matrix(spark, sf))
 
+def minutes_sql(a: str, b: str) -> str:
+    """views.travel_minutes in DuckDB SQL."""
+    return f"CASE WHEN ({a} * 13 + {b} * 7) % 97 = 0 THEN 'Infinity'::DOUBLE ELSE (({a} * 31 + {b} * 17) % 600) / 100.0::DOUBLE + 1.0 END"
 
-_INSERTIONS = with_views("students", "legs") + """, cand AS (
-  SELECT s.student_id, v.route_id, v.node_id FROM students s JOIN (SELECT DISTINCT route_id, node_id FROM visits) v ON v.route_id % 4999 = s.student_id % 4999),
-ins AS (
-  SELECT c.student_id, c.route_id, l.seq, c.node_id, a.minutes + b.minutes - l.minutes AS delta FROM cand c JOIN legs l ON l.route_id = c.route_id
-  JOIN od a ON a.src = l.src AND a.dst = c.node_id JOIN od b ON b.src = c.node_id AND b.dst = l.dst
-  WHERE NOT isinf(l.minutes) AND NOT isinf(a.minutes) AND NOT isinf(b.minutes))
+
+#: A student's nearest stop and those within the walk (cand), and these stops against every leg of every route (ins).
+INSERTIONS = with_views("students", "stops", "legs") + f""", far AS (
+  SELECT p.student_id, p.radius, t.node_id, {HAVERSINE} AS walk_m FROM students p, stops t),
+cand AS (
+  SELECT student_id, node_id, radius, walk_m FROM far WHERE walk_m <= radius
+  UNION SELECT student_id, arg_min(node_id, (walk_m, node_id)), min(radius), min(walk_m) FROM far GROUP BY 1),
+pos AS (
+  SELECT n.node_id, l.route_id, l.seq, l.src, l.dst, l.minutes AS uv, {minutes_sql("l.src", "n.node_id")} AS uc, {minutes_sql("n.node_id", "l.dst")} AS cv
+  FROM (SELECT DISTINCT node_id FROM cand) n, legs l),
+ins AS (SELECT *, uc + cv - uv AS delta FROM pos WHERE NOT isinf(uc) AND NOT isinf(cv) AND NOT isinf(uv))
 """
 
 
-@query(_INSERTIONS + "SELECT student_id, count(*) AS options, round(min(delta), 6) AS delta FROM ins GROUP BY student_id")
+@query(
+    INSERTIONS
+    + """, n AS (SELECT node_id, count(*) AS options, min(delta) AS delta FROM ins GROUP BY 1)
+SELECT student_id, sum(options)::BIGINT AS options, round(min(delta), 6) AS delta FROM cand JOIN n USING (node_id) GROUP BY 1"""
+)
 def q_insertion_argmin(spark, sf):
-    return routes.insertion_summary(_legs(spark, sf), _candidates(spark, sf), views.travel_minutes).withColumn("delta", F.round("delta", 6))
+    c = _candidates(spark, sf).select("student_id", "node_id", F.lit(float("inf")).alias("cap_min"))
+    found = insertions.student_insertions(insertions.best_positions(_rows(spark, sf), c, views.travel_minutes_of, "free"), c)
+    options = found.groupBy("student_id").agg(F.sum("options").alias("options"))
+    return routes.cheapest(found).join(options, "student_id").select("student_id", "options", r6("delta"))
 
 
 @query(
-    _INSERTIONS
-    + """, r AS (SELECT student_id, route_id, min(delta) AS c FROM ins GROUP BY 1, 2),
+    INSERTIONS
+    + """, pr AS (SELECT node_id, route_id, min(delta) AS c FROM ins GROUP BY 1, 2),
+two AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY c, route_id) AS n FROM pr),
+r AS (SELECT student_id, route_id, min(c) AS c FROM cand JOIN two USING (node_id) WHERE n <= 2 GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY c, route_id) AS n FROM r)
 SELECT student_id, round(min(c), 6) AS best, round(coalesce(max(CASE WHEN n = 2 THEN c END) - min(c), 2000 - min(c)), 6) AS regret FROM k GROUP BY student_id"""
 )
 def q_regret_k(spark, sf):
-    return routes.regret(routes.cheapest_routes(_legs(spark, sf), _candidates(spark, sf), views.travel_minutes)).select("student_id", r6("best"), r6("regret"))
+    return routes.regret(insertions.cheapest_routes(_rows(spark, sf), _candidates(spark, sf).select("student_id", "node_id"), views.travel_minutes_of)).select("student_id", r6("best"), r6("regret"))
 
 
 @query()
 def q_two_opt(spark, sf):
-    stops = views.route_stops(spark, sf)
-    return routes.two_opt(stops, views.priced(routes.pairs_within(stops)))
+    return routes.two_opt(views.route_stops(spark, sf), views.travel_minutes)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from darb.functions import scalars
 from darb.operators import graph, metrics, solver, spatial, stats
 from darb.plans import views
-from darb.plans.route_queries import r6
+from darb.plans.route_queries import HAVERSINE, r6
 from darb.plans.views import with_views
 from darb.session import table
 from darb.sources import ledger
@@ -149,7 +149,7 @@ def _road(spark, sf):
 
 
 _ROAD = with_views("route_stops") + ", road AS (SELECT DISTINCT u, v FROM (SELECT node_id AS u, lead(node_id) OVER (PARTITION BY route_id ORDER BY seq) AS v FROM route_stops) WHERE v IS NOT NULL)"
-_HAV = "2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(t.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - p.lon) / 2), 2))))"
+_HAV = HAVERSINE
 
 
 @query(
@@ -179,7 +179,7 @@ def q_nearest_with_fallback(spark, sf):
     + """, e AS (SELECT node_id AS edge, lon AS x1, lat AS y1, lon + 0.002 AS x2, lat + 0.001 AS y2 FROM stops),
 d AS (SELECT student_id AS key, edge, greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t, lon, lat, x1, y1, x2, y2 FROM students, e),
 m AS (SELECT key, sqrt(pow(lon - (x1 + t * (x2 - x1)), 2) + pow(lat - (y1 + t * (y2 - y1)), 2)) AS degrees FROM d)
-SELECT key, round(min(degrees), 8) AS degrees FROM m WHERE degrees <= 0.005 GROUP BY key"""
+SELECT key, round(min(degrees), 8) AS degrees FROM m GROUP BY key"""
 )
 def q_nearest_edge(spark, sf):
     e = views.stops(spark, sf).select(F.col("node_id").alias("edge"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("lon") + 0.002).alias("x2"), (F.col("lat") + 0.001).alias("y2"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +40,17 @@ def visits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def route_stops(spark: SparkSession, sf: str) -> DataFrame:
-    """Pickups with the school at both ends: (route_id, seq from 0, node_id, is_pickup)."""
-    v = visits(spark, sf).select("route_id", "seq", "node_id")
-    ends = v.groupBy("route_id").agg((F.max("seq") + 1).alias("last"))
-    school = ends.select("route_id", F.explode(F.array(F.lit(0), F.col("last"))).alias("seq"), F.lit(SCHOOL).cast("bigint").alias("node_id"))
-    return v.withColumn("node_id", F.col("node_id").cast("bigint")).withColumn("is_pickup", F.lit(True)).unionByName(school.withColumn("is_pickup", F.lit(False)))
+def route_stops(spark: SparkSession, sf: str, *carried: str) -> DataFrame:
+    """Pickups with the school at both ends: (route_id, seq from 0, node_id, is_pickup), with columns of `visits` that the school lacks.
+
+    A route's pickups are put into one array where they are sorted, so that lineitem is read and shuffled once.
+    """
+    v = visits(spark, sf).withColumn("node_id", F.col("node_id").cast("bigint"))
+    kinds = dict(v.dtypes)
+    stop = lambda seq, node, pickup, rest: F.struct(seq.cast("int").alias("seq"), node.alias("node_id"), F.lit(pickup).alias("is_pickup"), *rest)
+    school = lambda seq: stop(seq, F.lit(SCHOOL).cast("bigint"), False, [F.lit(None).cast(kinds[c]).alias(c) for c in carried])
+    routes_ = v.groupBy("route_id").agg(F.collect_list(stop(F.col("seq"), F.col("node_id"), True, [F.col(c) for c in carried])).alias("s"))
+    return routes_.select("route_id", F.inline(F.concat(F.array(school(F.lit(0))), "s", F.array(school(F.size("s") + 1)))))
 
 
 _MINUTES = "CASE WHEN (src * 13 + dst * 7) % 97 = 0 THEN {inf} ELSE ((src * 31 + dst * 17) % 600) / 100.0{d} + 1.0{d} END"
@@ -57,13 +63,17 @@ def travel_minutes(src: str | Column, dst: str | Column) -> Column:
     return F.when((a * 13 + b * 7) % 97 == 0, float("inf")).otherwise(minutes)
 
 
+def travel_minutes_of(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """travel_minutes of arrays of nodes."""
+    return np.where((src * 13 + dst * 7) % 97 == 0, np.inf, (src * 31 + dst * 17) % 600 / 100.0 + 1.0)
+
+
 def od_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Directed travel between nodes that any route has next to each other, either way; some pairs are unreachable."""
-    s = route_stops(spark, sf)
-    from pyspark.sql import Window
-
-    pairs = s.select(F.col("node_id").alias("src"), F.lead("node_id").over(Window.partitionBy("route_id").orderBy("seq")).alias("dst")).where("dst IS NOT NULL").distinct()
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    n = F.concat(F.array(F.lit(SCHOOL).cast("bigint")), F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("node_id").cast("bigint").alias("n")))), lambda x: x["n"]), F.array(F.lit(SCHOOL).cast("bigint")))
+    lined = visits(spark, sf).groupBy("route_id").agg(n.alias("n"))
+    legs = F.arrays_zip(F.slice("n", 1, F.size("n") - 1).alias("src"), F.slice("n", 2, F.size("n") - 1).alias("dst"))
+    both = lined.select(F.explode(legs).alias("p")).select(F.explode(F.array(F.struct(F.col("p.src").alias("src"), F.col("p.dst").alias("dst")), F.struct(F.col("p.dst").alias("src"), F.col("p.src").alias("dst")))).alias("p")).select("p.*").distinct()
     minutes = F.expr(_MINUTES.format(inf="double('infinity')", d="D"))
     return both.withColumn("minutes", minutes).withColumn("metres", F.col("minutes") * 400.0)
 
@@ -127,7 +137,14 @@ def rides(spark: SparkSession, sf: str) -> DataFrame:
     return routes.morning_rides(routes.legs(route_stops(spark, sf), od_matrix(spark, sf)))
 
 
-def riders(spark: SparkSession, sf: str) -> DataFrame:
+VISIT = ("student_id", "walk_m", "direct_min", "tier", "mode", "status", "at")
+
+
+def riders(spark: SparkSession, sf: str, carried: tuple[str, ...] = VISIT) -> DataFrame:
     """Visits with the time and length of the ride to school."""
-    r = rides(spark, sf).select("route_id", "seq", "ride_min", "ride_m")
-    return visits(spark, sf).join(r, ["route_id", "seq"])
+    return routes.morning_rides(routes.legs(route_stops(spark, sf, *carried), od_matrix(spark, sf), carried)).where("seq > 0").withColumnRenamed("src", "node_id").drop("dst", "minutes", "metres")
+
+
+def riders_both_ways(spark: SparkSession, sf: str, carried: tuple[str, ...] = VISIT) -> DataFrame:
+    """Visits with the time of the ride to school (ride_min) and of the ride back on the route run backwards (pm_min)."""
+    return routes.rides_both_ways(route_stops(spark, sf, *carried), od_matrix(spark, sf), carried).where("seq > 0")

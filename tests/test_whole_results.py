@@ -29,12 +29,6 @@ WHOLE = {
     "q_regret_k": _ALL
     + """, r AS (SELECT student_id, route_id, min(delta) AS c FROM ins GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY c, route_id) AS n FROM r)
 SELECT student_id, round(min(c), 6) AS best, round(coalesce(max(CASE WHEN n = 2 THEN c END) - min(c), 2000 - min(c)), 6) AS regret FROM k GROUP BY 1""",
-    "q_feasible_insertions": _ALL
-    + """, rides AS (SELECT *, sum(minutes) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ride_min FROM legs),
-sl AS (SELECT r.route_id, r.seq, r.ride_min - r.minutes AS rest, min(CASE WHEN r.seq > 0 THEN 25 + (v.student_id % 20) - r.ride_min END) OVER (PARTITION BY r.route_id ORDER BY r.seq ROWS UNBOUNDED PRECEDING) AS slack
-  FROM rides r LEFT JOIN visits v ON v.route_id = r.route_id AND v.seq = r.seq)
-SELECT student_id, count(*) AS options, round(min(delta), 6) AS delta FROM ins JOIN sl USING (route_id, seq)
-WHERE route_id IN (SELECT route_id FROM visits GROUP BY 1 HAVING count(*) < 6) AND (slack IS NULL OR delta <= slack) AND cv + rest <= 30 + student_id % 10 GROUP BY 1""",
     "q_nearest_edge": with_views("students", "stops")
     + """, e AS (SELECT lon AS x1, lat AS y1, lon + 0.002 AS x2, lat + 0.001 AS y2 FROM stops),
 d AS (SELECT student_id AS key, greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t, lon, lat, x1, y1, x2, y2 FROM students, e)
