@@ -11,8 +11,12 @@ Profiles are range-partitioned by (producer, written_at, file_id), so a producer
 shared by many tasks, and each partition is scanned in order with the state of one file. What crosses a
 partition's edge is a prefix scan: every partition first gives a summary (its first and last profile and its
 last state, with placeholders for what only its predecessors know); the summaries, one row per partition and
-each as wide as a schema, are composed in order by one streaming task; the composed states, bounded by
-spark.sql.shuffle.partitions times the width of a schema, go to the second scan of the partitions.
+each as wide as a schema, are composed in order by one task that holds one at a time; each composed state goes as
+a row to its own partition, before its files, for the second scan.
+
+Which query runs what: `changes` (p1_found) compares the tag sets of successive files and the fused set that a path
+has had since it was added; `consistent_table` splits values into typed branches with a canonical text, under the
+names that renames give; `alternatives` fuses the schemas of a family by union and reports where each type appears.
 """
 
 from __future__ import annotations
@@ -264,24 +268,30 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([c for _, c in out], pa.string())], names=["pid", "carry"])
 
 
-def _scan(carries: dict[int, str], emit: str):
-    """Second scan: rows ('changes': file_id, path, kind; 'names': file_id, path, the field's first name)."""
+def _scan(emit: str):
+    """Second scan: rows ('changes': file_id, path, kind; 'names': file_id, path, the field's first name).
+
+    Rows come by pid and in order; a row with a carry stands before the files of its pid.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, producer, last, state = False, None, None, {}
+        pid, producer, last, state = None, None, None, {}
         for batch in batches:
             ids, paths, kinds = [], [], []
-            if batch.num_rows and not begun and (text := carries.get(batch.column(5)[0].as_py())) is not None:
-                c = json.loads(text)
-                producer, last, state = c["producer"], {k: Field(v[0], tuple(v[1]), v[2]) for k, v in c["last"].items()}, _tupled(c["state"])
-            for who, file_id, profile_text in _rows([batch]):
+            for file_id, who, profile_text, at, carry in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6))):
+                if at != pid:
+                    pid, producer, last, state = at, None, None, {}
+                if carry is not None:
+                    c = json.loads(carry)
+                    producer, last, state = c["producer"], {k: Field(v[0], tuple(v[1]), v[2]) for k, v in c["last"].items()}, _tupled(c["state"])
+                    continue
                 now = _load(profile_text)
                 if last is None or who != producer:
-                    changes, state = step(None, {}, now)
+                    found, state = step(None, {}, now)
                 else:
-                    changes, state = step(last, state, now)
-                begun, producer, last = True, who, now
-                for path, kind in changes if emit == "changes" else [(p, r) for p, (_, r) in state.items()]:
+                    found, state = step(last, state, now)
+                producer, last = who, now
+                for path, kind in found if emit == "changes" else [(p, r) for p, (_, r) in state.items()]:
                     ids.append(file_id)
                     paths.append(path)
                     kinds.append(kind)
@@ -296,10 +306,12 @@ def _scanned(files: DataFrame, emit: str) -> DataFrame:
     ordered = file_profiles(files).repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered = durable(ordered.withColumn("pid", F.spark_partition_id()))
     summaries = durable(ordered.mapInArrow(_summaries, "pid int, summary string"))
-    carried = summaries.coalesce(1).sortWithinPartitions("pid").mapInArrow(_compose, "pid int, carry string")
-    # at most one row per partition, each as wide as a schema, and only where a producer crosses the edge
-    carries = {r.pid: r.carry for r in carried.where("carry IS NOT NULL").collect()}
-    return ordered.mapInArrow(_scan(carries, emit), "file_id bigint, field_path string, value string")
+    carried = summaries.coalesce(1).sortWithinPartitions("pid").mapInArrow(_compose, "pid int, carry string").where("carry IS NOT NULL")
+    # a partition's carry, as wide as a schema, comes to it as a row of its own: no task or driver holds all of them
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in ordered.dtypes if c != "pid"]
+    rows = ordered.withColumn("carry", F.lit(None).cast("string")).unionByName(carried.select(*nothing, "pid", "carry"))
+    placed = rows.repartition(n, "pid").sortWithinPartitions("pid", F.col("carry").isNull(), *order)
+    return placed.mapInArrow(_scan(emit), "file_id bigint, field_path string, value string")
 
 
 def changes(files: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ itself an element is a node of kind 'array'; an empty array is a row of kind 'em
 `assemble` rebuilds the values.
 
 Entity tables come from it by joins: object nodes are joined with their scalar children, which are pivoted
-into columns, and children are joined with parents on (record_id, node). The adjacency table is spread by
-record, and parsing is the only work in Python (Arrow batches). The pivoted objects, a small part of the nodes,
-are checkpointed, so a record is not parsed again for each entity table.
+into columns, and children are joined with parents on (record_id, node). Parsing is the only work in Python (Arrow
+batches) and is done once: the adjacency rows that the entities need, objects and their scalar children, are
+filtered in one pass and put under their object's node by one shuffle, where the join and the pivot are one
+aggregation; the pivoted objects, a small part of the nodes, are checkpointed for the entity tables.
 """
 
 from __future__ import annotations
@@ -113,11 +114,14 @@ def entities(nodes: DataFrame, labels: list[str] | None, fields: list[str], extr
     wanted = F.lit(True) if labels is None else F.col("label").isin(labels)
     if extra is not None:
         wanted = wanted | extra
-    objects = nodes.where(F.col("kind") == "object").where(wanted).select("record_id", "node", "parent", "label", F.coalesce("ordinal", F.lit(0)).cast("bigint").alias("pos"))
-    scalars = nodes.where(F.col("label").isin(fields) & F.col("ordinal").isNull() & F.col("kind").isin("string", "number", "boolean"))
-    children = scalars.select("record_id", F.col("parent").alias("node"), F.col("label").alias("field"), "scalar")
-    joined = objects.join(children, ["record_id", "node"], "left")
-    return joined.groupBy("record_id", "node", "parent", "label", "pos").agg(*(F.max(F.when(F.col("field") == f, F.col("scalar"))).alias(f) for f in fields))
+    is_object = (F.col("kind") == "object") & wanted
+    is_child = F.col("label").isin(fields) & F.col("ordinal").isNull() & F.col("kind").isin("string", "number", "boolean")
+    # an object meets its scalar children on its own node: both sides of the join come from one reading of the nodes
+    rows = nodes.where(is_object | is_child).select(
+        "record_id", F.when(is_child, F.col("parent")).otherwise(F.col("node")).alias("node"), F.when(~is_child, F.struct("parent", "label", F.coalesce("ordinal", F.lit(0)).cast("bigint").alias("pos"))).alias("o"), *(F.when(is_child & (F.col("label") == f), F.col("scalar")).alias(f) for f in fields)
+    )
+    found = rows.groupBy("record_id", "node").agg(F.max("o").alias("o"), *(F.max(f).alias(f) for f in fields)).where("o IS NOT NULL")
+    return found.select("record_id", "node", "o.parent", "o.label", "o.pos", *fields)
 
 
 def whole_number(text: Column) -> Column:
@@ -140,7 +144,7 @@ def _case(df: DataFrame, kind: str, parent_pos: Column, pos: Column, key: Column
 
 def request_tables(requests: DataFrame) -> dict[str, DataFrame]:
     """Related tables of the request blocks: buses, routes, stops (with route) and students (with stop and route)."""
-    nodes = shred(requests, "request_id", "data").repartition("record_id")
+    nodes = shred(requests, "request_id", "data")
     found = durable(entities(nodes, ["buses", "routes", "path", "students"], ["id", "capacity", "node_id"]))
     of = lambda label: found.where(F.col("label") == label)
     buses, routes = of("buses").where("parent = 0"), of("routes").where("parent = 0")
@@ -151,7 +155,7 @@ def request_tables(requests: DataFrame) -> dict[str, DataFrame]:
 
 def run_tables(runs: DataFrame) -> dict[str, DataFrame]:
     """Related tables of the run outputs: routes (with their mode) and synthetic crossings."""
-    nodes = shred(runs, "output_id", "payload").repartition("record_id")
+    nodes = shred(runs, "output_id", "payload")
     found = durable(entities(nodes, None, ["route_id", "strategy"]))
     modes = on_parent(found, found.where("label = 'modes' AND parent = 0"), {"label": "holder"}).select("record_id", "node", F.col("label").alias("mode"))
     routes = on_parent(found.where("label = 'routes'"), modes, {"mode": "mode"})
