@@ -4,8 +4,9 @@ Neighbours: latitudes are cut into strips a little higher than the search distan
 of the same width in metres (one cell where a strip touches a pole, cells wrap at 180 degrees). A location
 has one home cell and probes every cell that its search box overlaps; home and probe meet in an equi join and
 the exact great-circle distance decides. Equal locations are one class before the join, so a place with a
-third of all points is one row there; members are joined to the classes only for the rows of the result, with
-the members of a class split into blocks so that no task gets a whole hot class.
+third of all points is one row there. A class with few members takes them along; the members of others are joined
+for the rows of the result only, split into blocks so that no task gets a whole hot class. Cells with many
+locations are salted. `near_classes` gives the classes and their links without expanding members into pairs.
 
 Regions: crossing parity in SQL. Polygon edges are binned into the latitude strips that they span, points get
 the strip that they are in, both meet on the strip, and a ray to the east crosses an edge where the edge's
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 from darb.functions.geo import EARTH_M, haversine_m
 from darb.operators.intervals import student_key
 from darb.operators.ordered import with_neighbour
-from darb.session import BROADCAST_ROWS, durable
+from darb.session import BROADCAST_ROWS, durable, small_side
 
 #: Members of one location are handled in blocks of this size where pairs are expanded.
 BLOCK = 256
-#: Over how many tasks the points of a strip are spread where the edges are too many to broadcast.
-STRIP_SALTS = 16
+#: Members that a location takes along through the join.
+FEW = 16
+#: Locations of a cell, and points of a strip, that one task handles; a key with more is salted.
+CELL_ROWS, STRIP_ROWS = 2_000, 200_000
+#: A key with more than this share of all rows (and HOT_ROWS) is hot: there are under HOT_SHARE of those, which are broadcast.
+HOT_SHARE, HOT_ROWS = 2000, 10_000
 
 
 def _cells(lat: Column, lon: Column, metres: float, cell_m: float, probe: bool) -> Column:
@@ -56,50 +61,119 @@ def _cells(lat: Column, lon: Column, metres: float, cell_m: float, probe: bool)
 
 
 def near_locations(places: DataFrame, metres: float) -> DataFrame:
-    """(place_a, place_b) with place_a < place_b of `places` (place, lat, lon; distinct) at most `metres` apart."""
+    """(lat_a, lon_a, lat_b, lon_b, ...) with (lat_a, lon_a) < (lat_b, lon_b) of `places` (lat, lon, ...; distinct) at most `metres` apart.
+
+    Other columns come along with _a and _b behind their names. A cell with over CELL_ROWS locations is spread over
+    several tasks: its homes are salted, its probes copied.
+    """
     cell_m = max(2.0 * metres, 0.5)
-    home = places.select(F.col("place").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(_cells(F.col("lat"), F.col("lon"), metres, cell_m, False)).alias("cell"))
-    probe = places.select(F.col("place").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.explode(_cells(F.col("lat"), F.col("lon"), metres, cell_m, True)).alias("cell"))
+    side = lambda s, probe: places.select(*(F.col(c).alias(f"{c}_{s}") for c in places.columns), F.explode(_cells(F.col("lat"), F.col("lon"), metres, cell_m, probe)).alias("cell"))
+    home, probe = side("a", False), side("b", True)
+    hot = durable(home.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("salts")).where("salts > 1"))
+    keys = ["cell"]
+    if not hot.isEmpty():
+        salts = small_side(hot)
+        home = home.join(salts, "cell", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("lat_a", "lon_a"), F.col("salts")), F.lit(0))).drop("salts")
+        probe = probe.join(salts, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts"), F.lit(1)).cast("bigint") - 1))).drop("salts")
+        keys = ["cell", "salt"]
     # a location has one home cell and probes a cell once, hence a pair comes out once
-    found = home.join(probe, "cell").where((F.col("a") < F.col("b")) & (haversine_m("lat_a", "lon_a", "lat_b", "lon_b") <= metres))
-    return found.select(F.col("a").alias("place_a"), F.col("b").alias("place_b"))
+    before = (F.col("lat_a") < F.col("lat_b")) | ((F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") < F.col("lon_b")))
+    return home.join(probe, keys).where(before & (haversine_m("lat_a", "lon_a", "lat_b", "lon_b") <= metres)).drop(*keys)
 
 
-def near_pairs(points: DataFrame, metres: float) -> DataFrame:
-    """Pairs (key_a, key_b), key_a < key_b, of points of different owners at most `metres` apart.
+def located(points: DataFrame) -> DataFrame:
+    """(key, owner, lat, lon) of `points` that count, each key once.
 
-    `points`: (key bigint, owner string, lat double, lon double); a row counts if key and coordinates are there,
-    finite and the latitude is in [-90, 90]; longitudes wrap. Points without owner are no one's: they pair with
-    every owner but not with each other. Equal keys count once. The result has one row per pair, as asked; what
-    grows with the square of a hot location is only that result, and its blocks are spread over all tasks.
+    A row counts if key and coordinates are there, finite and the latitude is in [-90, 90]; longitudes wrap. Points
+    without owner get the owner ''.
     """
     ok = points.where(F.col("key").isNotNull() & F.col("lat").between(-90.0, 90.0) & (F.abs("lon") < float("inf")))
     # -0.0 and 0.0 are one place, and so are longitudes 360 degrees apart
     lon = F.when(F.col("lon").between(-180.0, 180.0), F.col("lon")).otherwise(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0) + 0.0
-    base = ok.select("key", F.coalesce("owner", F.lit("")).alias("owner"), (F.col("lat") + 0.0).alias("lat"), lon.alias("lon")).dropDuplicates(["key"])
-    place = F.xxhash64("lat", "lon")
-    # 128 bits of two hashes name a location
-    base = base.withColumn("place", F.concat_ws(":", F.hex(place), F.hex(F.xxhash64(F.lit(7), "lon", "lat"))))
-    base = durable(base)
-    places = base.groupBy("place").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    return ok.select("key", F.coalesce("owner", F.lit("")).alias("owner"), (F.col("lat") + 0.0).alias("lat"), lon.alias("lon")).dropDuplicates(["key"])
+
+
+def _with_place(members: DataFrame, per_place: DataFrame) -> DataFrame:
+    """Members (lat, lon, ...) with their place's columns (lat, lon, n, ...): hot places are broadcast, so no task gets all members of one."""
+    total = per_place.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    many = max(HOT_ROWS, total // HOT_SHARE)
+    hot = per_place.where(F.col("n") > many)
+    rest = members.join(per_place.where(F.col("n") <= many), ["lat", "lon"])
+    if hot.isEmpty():
+        return rest
+    return members.join(F.broadcast(hot), ["lat", "lon"]).unionByName(members.join(F.broadcast(hot.select("lat", "lon")), ["lat", "lon"], "left_anti").join(per_place, ["lat", "lon"]))
+
+
+def near_pairs(points: DataFrame, metres: float) -> DataFrame:
+    """Pairs (key_a, key_b), key_a < key_b, of points of different owners at most `metres` apart.
+
+    `points`: (key bigint, owner string, lat double, lon double); see located() for those that count. Points without
+    owner are no one's: they pair with every owner but not with each other. Equal keys count once. The result has
+    one row per pair, as asked; what grows with the square of a hot location is only that result, and its blocks are
+    spread over all tasks.
+    """
+    return _pairs(durable(located(points)), metres)
+
+
+def _pairs(base: DataFrame, metres: float) -> DataFrame:
+    member = F.struct("key", "owner")
+    # a place's members go along only if they are few: the first and last cost nothing, up to FEW are collected
+    sizes = durable(base.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min(member).alias("one"), F.max(member).alias("two")))
+    several = sizes.where(F.col("n").between(3, FEW)).select("lat", "lon")
+    lists = base.join(several, ["lat", "lon"], "left_semi").groupBy("lat", "lon").agg(F.collect_list(member).alias("few"))
+    ms = F.when(F.col("n") == 1, F.array("one")).when(F.col("n") == 2, F.array("one", "two")).otherwise(F.col("few"))
+    places = durable(sizes.join(lists, ["lat", "lon"], "left").select("lat", "lon", "n", ms.alias("ms")))
     links = near_locations(places, metres)
-    # members of a place in blocks: every pair of blocks of two linked places (or of one place) meets in its own key
-    member = base.select("place", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("h"), "key", "owner")
-    sizes = member.groupBy("place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
-    blocked = member.join(sizes, "place").select("place", F.pmod("h", F.col("blocks")).cast("int").alias("block"), "key", "owner")
-    pairs = links.join(sizes.select(F.col("place").alias("place_a"), F.col("blocks").alias("blocks_a")), "place_a").join(sizes.select(F.col("place").alias("place_b"), F.col("blocks").alias("blocks_b")), "place_b")
-    pairs = pairs.unionByName(sizes.where("n > 1").select(F.col("place").alias("place_a"), F.col("place").alias("place_b"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b")))
-    tasks = pairs.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
-    tasks = tasks.where("place_a <> place_b OR block_a <= block_b").select("place_a", "place_b", "block_a", "block_b")
-    side = lambda s: blocked.select(F.col("place").alias(f"place_{s}"), F.col("block").alias(f"block_{s}"), F.struct("key", "owner").alias(f"m_{s}")).groupBy(f"place_{s}", f"block_{s}").agg(F.collect_list(f"m_{s}").alias(f"ms_{s}"))
-    # a block holds about BLOCK members, so collecting one is bounded
-    met = tasks.join(side("a"), ["place_a", "block_a"]).join(side("b"), ["place_b", "block_b"])
-    same = F.expr("place_a = place_b AND block_a = block_b").alias("same")
-    rows = met.select(F.explode("ms_a").alias("x"), "ms_b", same).select("x", F.explode("ms_b").alias("y"), "same")
+    direct = links.where("ms_a IS NOT NULL AND ms_b IS NOT NULL").select("ms_a", "ms_b", F.lit(False).alias("same"))
+    own = places.where("n > 1 AND ms IS NOT NULL").select(F.col("ms").alias("ms_a"), F.col("ms").alias("ms_b"), F.lit(True).alias("same"))
+    met = direct.unionByName(own)
+    crowds = places.where("ms IS NULL")
+    if not crowds.isEmpty():
+        met = met.unionByName(_crowded(base, places, durable(links.where("ms_a IS NULL OR ms_b IS NULL").drop("ms_a", "ms_b"))))
+    rows = met.select(F.explode("ms_a").alias("x"), "ms_b", "same").select("x", F.explode("ms_b").alias("y"), "same")
     rows = rows.where(F.col("x.owner") != F.col("y.owner")).where(~F.col("same") | (F.col("x.key") < F.col("y.key")))
     return rows.select(F.least("x.key", "y.key").alias("key_a"), F.greatest("x.key", "y.key").alias("key_b"))
 
 
+def _crowded(base: DataFrame, places: DataFrame, links: DataFrame) -> DataFrame:
+    """(ms_a, ms_b, same): blocks of members of linked places of which one has many, and of such a place with itself.
+
+    Every pair of blocks of two linked places (or of one place) meets in its own key.
+    """
+    ends = links.select(F.col("lat_a").alias("lat"), F.col("lon_a").alias("lon")).unionByName(links.select(F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"))).unionByName(places.where("ms IS NULL").select("lat", "lon")).distinct()
+    sizes = durable(places.select("lat", "lon", "n").join(ends, ["lat", "lon"], "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    # a block holds about BLOCK members, so collecting one is bounded
+    blocks = durable(_with_place(base, sizes).select("lat", "lon", block, F.struct("key", "owner").alias("m")).groupBy("lat", "lon", "block").agg(F.collect_list("m").alias("ms")))
+    of = lambda n, s: F.ceil(F.col(n) / BLOCK).cast("int").alias(f"blocks_{s}")
+    pairs = links.select("lat_a", "lon_a", "lat_b", "lon_b", of("n_a", "a"), of("n_b", "b"))
+    crowds = places.where("ms IS NULL")
+    pairs = pairs.unionByName(crowds.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), of("n", "a"), of("n", "b")))
+    tasks = pairs.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
+    own = (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b"))
+    tasks = tasks.where(~own | (F.col("block_a") <= F.col("block_b")))
+    side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in ("lat", "lon", "block", "ms")))
+    met = tasks.join(side("a"), ["lat_a", "lon_a", "block_a"]).join(side("b"), ["lat_b", "lon_b", "block_b"])
+    return met.select("ms_a", "ms_b", (own & (F.col("block_a") == F.col("block_b"))).alias("same"))
+
+
+def near_classes(points: DataFrame, metres: float) -> DataFrame:
+    """(key, class_key, class_size, near_classes, near_points): each point with its class, the points at its very place, and the links of that.
+
+    `class_key` is the class's least key; `near_classes` counts the other classes at most `metres` away, `near_points`
+    all other points within that distance, those at the same place and of the same owner too. The rows are as many as
+    points, however many pairs they form.
+    """
+    base = durable(located(points))
+    places = durable(base.groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min("key").alias("class_key")))
+    links = near_locations(places.select("lat", "lon", "n"), metres)
+    end = lambda s, o: links.select(F.col(f"lat_{s}").alias("lat"), F.col(f"lon_{s}").alias("lon"), F.col(f"n_{o}").alias("other"))
+    linked = end("a", "b").unionByName(end("b", "a")).groupBy("lat", "lon").agg(F.count("*").alias("near_classes"), F.sum("other").alias("others"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    per_place = durable(places.join(linked, ["lat", "lon"], "left").select("lat", "lon", "n", "class_key", zero("near_classes").alias("near_classes"), (zero("others") + F.col("n") - 1).alias("near_points")))
+    return _with_place(base.select("key", "lat", "lon"), per_place).select("key", "class_key", F.col("n").alias("class_size"), "near_classes", "near_points")
+
+
 def nearest(points: DataFrame, targets: DataFrame, start_m: float = 250.0) -> DataFrame:
     """(key, target, metres): the nearest target (target, lat, lon) of each point (key, lat, lon) with usable coordinates.
 
@@ -222,9 +296,12 @@ def points_in_regions(points: DataFrame, vertices: DataFrame, strips: int = 4096
     places = usable.select("x", "y").distinct().withColumn("strip", strip(F.col("y")))
     if binned.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         met = places.join(F.broadcast(binned), "strip")
-    else:  # a strip of a city may hold a third of all points: its points are spread, its edges copied
-        salt = F.pmod(F.xxhash64("x", "y"), F.lit(STRIP_SALTS)).cast("int")
-        met = places.withColumn("salt", salt).join(binned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(STRIP_SALTS - 1)))), ["strip", "salt"])
+    else:  # a strip of a city may hold a third of all points: its points are spread by their number, its edges copied
+        places = durable(places)
+        salts = small_side(durable(places.groupBy("strip").agg(F.ceil(F.count("*") / STRIP_ROWS).cast("int").alias("salts")).where("salts > 1")))
+        spread = places.join(salts, "strip", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("x", "y"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+        copies = binned.join(salts, "strip", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        met = spread.join(copies, ["strip", "salt"])
     # the edge's x on the ray, and the explicit boundary test
     cross = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("x") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     touches = (cross == 0) & F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))

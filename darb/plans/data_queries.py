@@ -28,6 +28,11 @@ def p4_found(spark, sf_dir):
     return spatial.near_and_inside(table(spark, sf_dir, CHANGES), table(spark, sf_dir, RINGS))
 
 
+def p4_near_classes(spark, sf_dir):
+    """The near requests without their pairs: each request with its location's class and that class's links."""
+    return spatial.near_classes(spatial.request_points(table(spark, sf_dir, CHANGES)), 5.0)
+
+
 def p5_found(spark, sf_dir):
     return shred.nested_items(table(spark, sf_dir, CHANGES), table(spark, sf_dir, RUNS))
 
@@ -36,7 +41,7 @@ def p5_request_nodes(spark, sf_dir):
     return shred.shred(table(spark, sf_dir, CHANGES), "request_id", "data")
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent_table": p1_consistent_table, "p1_alternatives": p1_alternatives, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_request_nodes": p5_request_nodes}
+QUERIES = {"p1_found": p1_found, "p1_consistent_table": p1_consistent_table, "p1_alternatives": p1_alternatives, "p3_found": p3_found, "p4_found": p4_found, "p4_near_classes": p4_near_classes, "p5_found": p5_found, "p5_request_nodes": p5_request_nodes}
 
 
 def _held(x: str) -> str:
@@ -99,6 +104,24 @@ WITH r AS (
 SELECT s AS student_id, 'period' AS span_kind, strftime(a, '%Y-%m-%d') AS from_day, strftime(b, '%Y-%m-%d') AS until_day FROM p
 UNION ALL
 SELECT s, 'gap', strftime(b + 1, '%Y-%m-%d'), strftime(next_a - 1, '%Y-%m-%d') FROM n WHERE next_a IS NOT NULL
+""",
+    "p4_near_classes": """
+WITH pts AS (
+  SELECT DISTINCT request_id AS key, meta.new_location.latitude AS lat, meta.new_location.longitude AS lon
+  FROM change_location_input
+  WHERE meta.new_location.latitude IS NOT NULL AND meta.new_location.longitude IS NOT NULL
+    AND NOT isnan(meta.new_location.latitude) AND NOT isnan(meta.new_location.longitude)
+    AND NOT (meta.new_location.latitude = 0 AND meta.new_location.longitude = 0)
+), c AS (
+  SELECT lat, lon, min(key) AS class_key, count(*) AS n FROM pts GROUP BY lat, lon
+), l AS (
+  SELECT p.lat, p.lon, count(*) AS classes, sum(t.n)::BIGINT AS points FROM c p JOIN c t
+    ON (p.lat <> t.lat OR p.lon <> t.lon) AND abs(p.lat - t.lat) < 0.0001
+   AND 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(t.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - p.lon) / 2), 2)))) <= 5
+  GROUP BY p.lat, p.lon
+)
+SELECT key, class_key, n AS class_size, coalesce(classes, 0) AS near_classes, coalesce(points, 0) + n - 1 AS near_points
+FROM pts JOIN c USING (lat, lon) LEFT JOIN l USING (lat, lon)
 """,
     "p4_found": """
 WITH pts AS (

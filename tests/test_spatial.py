@@ -47,6 +47,38 @@ def test_near_pairs_nulls_repeats_and_empty(spark):
     assert near_pairs(df.limit(0), 5.0).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows,few", [(2000, 16), (3, 2), (10, 5)])
+def test_hot_cells_and_crowds_lose_and_repeat_nothing(spark, monkeypatch, cell_rows, few):
+    """One school gate: most points within some metres, several at the very same place; cells are salted, members in blocks."""
+    monkeypatch.setattr(spatial, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(spatial, "FEW", few)
+    monkeypatch.setattr(spatial, "BLOCK", 4)
+    monkeypatch.setattr(spatial, "HOT_ROWS", 6)
+    monkeypatch.setattr(spatial, "HOT_SHARE", 20)
+    rng = random.Random(4)
+    spots = [(30.0 + rng.uniform(-4e-5, 4e-5), 31.0 + rng.uniform(-4e-5, 4e-5)) for _ in range(60)]
+    rows = [(k, rng.choice("abcde"), *spots[min(59, int(rng.expovariate(0.1)))]) for k in range(300)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and metres(a[2:], b[2:]) <= 5}
+    got = [tuple(r) for r in near_pairs(points(spark, rows), 5.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    classes = {r.key: (r.class_key, r.class_size, r.near_classes, r.near_points) for r in spatial.near_classes(points(spark, rows), 5.0).collect()}
+    for k, _, *at in rows:
+        same = [b[0] for b in rows if b[2:] == tuple(at)]
+        near = [b for b in rows if metres(at, b[2:]) <= 5]
+        assert classes[k] == (min(same), len(same), len({b[2:] for b in near}) - 1, len(near) - 1)
+    assert spatial.near_classes(points(spark, rows).limit(0), 5.0).count() == 0
+
+
+def test_strips_are_salted_by_their_points(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(spatial, "STRIP_ROWS", 5)
+    square = [(1, k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)])]
+    rng = random.Random(2)
+    pts = [(k, rng.uniform(-1, 5), rng.choice([1.0, 1.0001, 3.0, 5.0])) for k in range(200)]
+    got = points_in_regions(spark.createDataFrame(pts, "key bigint, x double, y double"), spark.createDataFrame(square, "region bigint, seq int, x double, y double"), strips=8)
+    assert sorted(r.key for r in got.collect()) == [k for k, x, y in pts if 0 <= x <= 4 and 0 <= y <= 4]
+
+
 def rings(spark, shapes):
     return spark.createDataFrame([(r, i, float(x), float(y)) for r, shape in shapes.items() for i, (x, y) in enumerate(shape)], "region bigint, seq int, x double, y double")
 
