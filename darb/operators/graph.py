@@ -79,15 +79,25 @@ def shortest_paths(reached: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def path_nodes(steps: DataFrame, ends: DataFrame, most: int = 10_000) -> DataFrame:
-    """(source, target, seq, node): the paths to the targets (source, target), followed back round by round; seq counts from the target."""
+    """(source, target, seq, node): the paths to the targets (source, target), followed back round by round; seq counts from the target.
+
+    Tables of two rounds, then of four, and so on are written as one, so the plan has as many parts as the
+    logarithm of the longest path.
+    """
     at = durable(ends.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("seq")))
-    out = at
+    parts = [(1, at)]
     known = durable(steps.where("before IS NOT NULL"))
     for _ in range(most):
         at = durable(at.join(known, ["source", "node"]).select("source", "target", F.col("before").alias("node"), (F.col("seq") + 1).alias("seq")))
         if at.isEmpty():
+            out = parts[0][1]
+            for _, part in parts[1:]:
+                out = out.unionByName(part)
             return out
-        out = out.unionByName(at)
+        parts.append((1, at))
+        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+            (n, second), (_, first) = parts.pop(), parts.pop()
+            parts.append((2 * n, durable(first.unionByName(second))))
     raise ValueError("a path is longer than the limit")
 
 

@@ -216,12 +216,13 @@ def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the last in `order`: an upsert of a ledger. Ties go to an arbitrary one of equal rank.
+    """One row per key, the last in `order`: an upsert of a ledger. Of rows that tie the one with the largest hash of its other columns counts.
 
     max_by over a struct combines before the shuffle, so a key with a third of all rows costs no more than others.
     """
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+    hashed = [F.col(c) for c, kind in df.dtypes if c in rest and "map<" not in kind]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *([F.xxhash64(*hashed).alias("__hash")] if hashed else []))).alias("__row"))
     return best.select(*keys, *(F.col("__row")[c].alias(c) for c in rest)).select(*df.columns)
 
 

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from darb.session import durable, shuffle_partitions
 
+#: A key with more rows than both is hot (see join_counted).
+HOT_SHARE, HOT_ROWS = 2000, 10_000
+
 
 def with_neighbour(df: DataFrame, group: list[str], order: list[str], columns: dict[str, str], after: bool = False) -> DataFrame:
     """`df` plus, under the names in `columns`' values, those columns of the row before (or after) in the group.
@@ -55,6 +58,25 @@ def with_running_total(df: DataFrame, group: list[str], order: list[str], value:
     return parts.withColumn("__local", local).join(offsets, same, "left").select(*df.columns, (F.col("__local") + F.col("__off")).alias(name))
 
 
+def join_counted(df: DataFrame, counted: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join of `df` with `counted`, one row per key with how many rows of `df` it has; nulls in keys are equal.
+
+    Keys with more rows than HOT_ROWS and 1/HOT_SHARE of all are hot: there are under HOT_SHARE of them, which are
+    broadcast, so a key with a third of all rows stays in as many tasks as hold it.
+    """
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
+    many = max(HOT_ROWS, total // HOT_SHARE)
+    key = [f"__k{i}" for i in range(len(on))]
+    named = counted.select(*(F.col(c).alias(k) for c, k in zip(on, key)), *(c for c in counted.columns if c not in on))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(on, key)])
+    hot = named.where(F.col(n) > many)
+    if hot.isEmpty():
+        return df.join(named, same).drop(*key)
+    hot = F.broadcast(durable(hot))
+    cold = df.join(hot.select(*key), same, "left_anti").join(named.where(F.col(n) <= many), same)
+    return df.join(hot, same).unionByName(cold).drop(*key)
+
+
 def at_ranks(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """(groups, n, *ranks): the group's values at the given 0-based ranks, each an expression of the group's size `n`.
 
@@ -63,9 +85,7 @@ def at_ranks(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Colu
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__c"))
     upto = with_running_total(counts, groups, [value], "__c", "__to")
-    sizes = counts.groupBy(*groups).agg(F.sum("__c").alias("n")).select(*(F.col(c).alias(f"__s_{c}") for c in groups), "n")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in groups])
-    placed = upto.join(sizes, same)
+    placed = join_counted(upto, counts.groupBy(*groups).agg(F.sum("__c").alias("n"), F.count("*").alias("__values")), groups, "__values")
     picked = [F.min(F.when(F.col("__to") > r, F.col(value))).alias(name) for name, r in ranks.items()]
     return placed.groupBy(*groups, "n").agg(*picked)
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from darb.session import durable
 
+#: Weights of the objective, cooling, rewards and memory of the operators' weights, largest share removed.
 SERVED, ROUTE = 10_000.0, 5_000.0
 COOLING, REWARDS, MEMORY, TOP = 0.98, (30.0, 15.0, 5.0), 0.7, 0.25
 SCHEMA = "zone bigint, seed int, fleet int, students int, served int, routes_used int, total_min double, objective double, iterations int, accepted int, best_iteration int, stop_reason string"

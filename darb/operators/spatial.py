@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from darb.functions.geo import EARTH_M, haversine_m
 from darb.operators.intervals import student_key
-from darb.operators.ordered import with_neighbour
+from darb.operators.ordered import join_counted, with_neighbour
 from darb.session import BROADCAST_ROWS, durable, small_side
 
 #: Members of one location are handled in blocks of this size where pairs are expanded.
@@ -33,8 +33,6 @@ BLOCK = 256
 FEW = 16
 #: Locations of a cell, and points of a strip, that one task handles; a key with more is salted.
 CELL_ROWS, STRIP_ROWS = 2_000, 200_000
-#: A key with more than this share of all rows (and HOT_ROWS) is hot: there are under HOT_SHARE of those, which are broadcast.
-HOT_SHARE, HOT_ROWS = 2000, 10_000
 
 
 def _cells(lat: Column, lon: Column, metres: float, cell_m: float, probe: bool) -> Column:
@@ -93,17 +91,6 @@ def located(points: DataFrame) -> DataFrame:
     return ok.select("key", F.coalesce("owner", F.lit("")).alias("owner"), (F.col("lat") + 0.0).alias("lat"), lon.alias("lon")).dropDuplicates(["key"])
 
 
-def _with_place(members: DataFrame, per_place: DataFrame) -> DataFrame:
-    """Members (lat, lon, ...) with their place's columns (lat, lon, n, ...): hot places are broadcast, so no task gets all members of one."""
-    total = per_place.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    many = max(HOT_ROWS, total // HOT_SHARE)
-    hot = per_place.where(F.col("n") > many)
-    rest = members.join(per_place.where(F.col("n") <= many), ["lat", "lon"])
-    if hot.isEmpty():
-        return rest
-    return members.join(F.broadcast(hot), ["lat", "lon"]).unionByName(members.join(F.broadcast(hot.select("lat", "lon")), ["lat", "lon"], "left_anti").join(per_place, ["lat", "lon"]))
-
-
 def near_pairs(points: DataFrame, metres: float) -> DataFrame:
     """Pairs (key_a, key_b), key_a < key_b, of points of different owners at most `metres` apart.
 
@@ -144,7 +131,7 @@ def _crowded(base: DataFrame, places: DataFrame, links: DataFrame) -> DataFrame:
     sizes = durable(places.select("lat", "lon", "n").join(ends, ["lat", "lon"], "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
     # a block holds about BLOCK members, so collecting one is bounded
-    blocks = durable(_with_place(base, sizes).select("lat", "lon", block, F.struct("key", "owner").alias("m")).groupBy("lat", "lon", "block").agg(F.collect_list("m").alias("ms")))
+    blocks = durable(join_counted(base, sizes, ["lat", "lon"]).select("lat", "lon", block, F.struct("key", "owner").alias("m")).groupBy("lat", "lon", "block").agg(F.collect_list("m").alias("ms")))
     of = lambda n, s: F.ceil(F.col(n) / BLOCK).cast("int").alias(f"blocks_{s}")
     pairs = links.select("lat_a", "lon_a", "lat_b", "lon_b", of("n_a", "a"), of("n_b", "b"))
     crowds = places.where("ms IS NULL")
@@ -171,7 +158,7 @@ def near_classes(points: DataFrame, metres: float) -> DataFrame:
     linked = end("a", "b").unionByName(end("b", "a")).groupBy("lat", "lon").agg(F.count("*").alias("near_classes"), F.sum("other").alias("others"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     per_place = durable(places.join(linked, ["lat", "lon"], "left").select("lat", "lon", "n", "class_key", zero("near_classes").alias("near_classes"), (zero("others") + F.col("n") - 1).alias("near_points")))
-    return _with_place(base.select("key", "lat", "lon"), per_place).select("key", "class_key", F.col("n").alias("class_size"), "near_classes", "near_points")
+    return join_counted(base.select("key", "lat", "lon"), per_place, ["lat", "lon"]).select("key", "class_key", F.col("n").alias("class_size"), "near_classes", "near_points")
 
 
 def nearest(points: DataFrame, targets: DataFrame, start_m: float = 250.0) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darb.operators.ordered import medians, with_running_total
+from darb.operators.ordered import join_counted, medians, with_running_total
 
 
 def paired_deltas(df: DataFrame, groups: list[str], seed: str, mode: str, first: str, second: str, measure: str) -> DataFrame:
@@ -25,13 +26,14 @@ def paired_deltas(df: DataFrame, groups: list[str], seed: str, mode: str, first:
 def average_ranks(df: DataFrame, groups: list[str], by: Column, name: str = "rank") -> DataFrame:
     """Ranks from 1 per group with ties at their mean rank.
 
-    Ties are counted before counts are summed up over the distinct values, in range partitions: neither a hot
-    value nor a hot group is one task's.
+    Ties are counted before counts are summed up over the distinct values, in range partitions; rows get their
+    rank by join_counted: neither a hot value nor a hot group is one task's. Null groups are groups, null values have
+    the lowest rank.
     """
     keyed = df.withColumn("__v", by)
     counts = keyed.groupBy(*groups, "__v").agg(F.count("*").alias("__c"))
     ranked = with_running_total(counts, groups, ["__v"], "__c", "__to")
-    return keyed.join(ranked.select(*groups, "__v", (F.col("__to") - (F.col("__c") - 1) / 2.0).alias(name)), [*groups, "__v"]).drop("__v")
+    return join_counted(keyed, ranked.select(*groups, "__v", "__c", (F.col("__to") - (F.col("__c") - 1) / 2.0).alias(name)), [*groups, "__v"], "__c").drop("__v", "__c")
 
 
 def signed_rank(deltas: DataFrame, groups: list[str], digits: int = 9) -> DataFrame:
@@ -50,17 +52,19 @@ def signed_rank(deltas: DataFrame, groups: list[str], digits: int = 9) -> DataFr
 
 
 def exact_p(ranks: list[float], w: float) -> float:
-    """Two-sided p: the share of all sign choices whose smaller rank sum is at most w. Counted by rank sums, not listed."""
+    """Two-sided p: the share of all sign choices whose smaller rank sum is at most w.
+
+    Shares of rank sums are added up rank by rank, so any number of ranks will do (time grows with its cube).
+    """
     doubled = [round(2 * r) for r in ranks]
-    total = sum(doubled)
-    ways = {0: 1}
+    share = np.zeros(sum(doubled) + 1)
+    share[0] = 1.0
     for r in doubled:
-        new = dict(ways)
-        for s, n in ways.items():
-            new[s + r] = new.get(s + r, 0) + n
-        ways = new
-    limit = round(2 * w)
-    return sum(n for s, n in ways.items() if min(s, total - s) <= limit) / 2 ** len(ranks)
+        share *= 0.5
+        share[r:] += share[: len(share) - r].copy()
+    limit, total = round(2 * w), len(share) - 1
+    sums = np.arange(total + 1)
+    return float(min(1.0, share[np.minimum(sums, total - sums) <= limit].sum()))
 
 
 def normal_p(ranks: list[float], w: float) -> float:
@@ -69,11 +73,13 @@ def normal_p(ranks: list[float], w: float) -> float:
     return min(1.0, math.erfc(abs(w - mean) / math.sqrt(2 * variance))) if variance else 1.0
 
 
-def wilcoxon(deltas: DataFrame, groups: list[str], exact_up_to: int = 50, least_pairs: int = 3, digits: int = 9) -> DataFrame:
-    """signed_rank with p_raw: exact for up to `exact_up_to` used pairs, else normal; null under `least_pairs` pairs.
+def wilcoxon(deltas: DataFrame, groups: list[str], exact_up_to: int | None = 50, least_pairs: int = 3, digits: int = 9) -> DataFrame:
+    """signed_rank with p_raw and p_method: 'exact' for up to `exact_up_to` used pairs, else 'normal'; both null under `least_pairs` pairs.
 
-    The exact test needs the ranks of small groups only; large groups need two sums, which aggregate.
+    With `exact_up_to` None every group's p is exact; its ranks then go to one task, which suits groups of some
+    thousands. The normal p needs two sums of a group only, which aggregate. A group of zeros has p 1, 'exact'.
     """
+    exact_up_to = (1 << 31) if exact_up_to is None else exact_up_to
     table = signed_rank(deltas, groups, digits)
     ranked = average_ranks(deltas.withColumn("__d", F.round("delta", digits)).where("__d <> 0"), groups, F.abs(F.col("__d")))
     sums = ranked.groupBy(*groups).agg(F.sum("rank").alias("__s"), F.sum(F.col("rank") * F.col("rank")).alias("__q"))
@@ -95,7 +101,8 @@ def wilcoxon(deltas: DataFrame, groups: list[str], exact_up_to: int = 50, least_
             yield pd.Series(out, dtype="float64")
 
     p = F.when(F.col("n_pairs") >= least_pairs, p_value("__ranks", "w", "__s", "__q"))
-    return joined.withColumn("p_raw", p).drop("__ranks", "__s", "__q")
+    method = F.when(F.col("n_pairs") >= least_pairs, F.when(F.col("n_used") <= exact_up_to, "exact").otherwise("normal"))
+    return joined.withColumn("p_raw", p).withColumn("p_method", method).drop("__ranks", "__s", "__q")
 
 
 def holm(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:

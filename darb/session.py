@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +31,25 @@ def local_session(app: str = "darb", cpus: str | int = "*", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; a machine-local one only where that setting is missing, as in tests."""
+    """Use the folder of spark.checkpoint.dir; only a local master may do without that setting (as tests do) and gets a temporary folder.
+
+    On a cluster a missing setting is an error, as a folder of one machine would not outlive an executor.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "darb-checkpoints"))
 
 
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint of `df`: survives the loss of any executor and is cleaned up by Spark."""
+    """Reliable checkpoint of `df`, which survives the loss of any executor.
+
+    Spark removes its files once nothing refers to it if spark.cleaner.referenceTracking.cleanCheckpoints is set, as
+    local_session() does; else they stay until the folder is emptied.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 

@@ -366,3 +366,94 @@ def test_numbers_of_a_key_at_any_depth(spark):
 
     df = spark.createDataFrame([(1, '{"t": 1.5, "a": [{"t": [2, null, "x"]}, {"b": {"t": 1e400}}], "_c": {"t": 9}}'), (2, "{"), (3, None)], "i int, j string")
     assert sorted(r.value for r in numbers_of_key(df, "i", "j", "t").collect()) == [1.5, 2.0]
+
+
+def test_json_of_any_depth():
+    import json
+
+    from darb.functions import jsonio
+
+    deep = '{"a":[' * 30_000 + '1.50, "x\\u00e9", true, null, {}, []' + "]}" * 30_000
+    ok, value = jsonio.parse(deep)
+    assert ok
+    for _ in range(30_000):
+        value = value["a"][0] if value["a"][0] != "1.50" else value
+    assert value["a"] == ["1.50", "xé", True, None, {}, []]
+    for text in ('{"a": 1, "b": [1, 2, {"c": null}], "a": -0.5e+3}', "[]", " {} ", '"x"', "0", "[1 ,2]"):
+        assert jsonio._loop(text) == jsonio._DECODER.decode(text), text
+    for text in ("", "[1,]", "[1", '{"a"}', '{"a":}', "{1:2}", "01", "[] []", "nul", "NaN", '{"a":1,}', "]", '["a]', "-", '{"a":1 "b":2}'):
+        with pytest.raises((ValueError, IndexError)):
+            jsonio._loop(text)
+        assert not jsonio.parse(text)[0]
+    assert json.loads("[1]") == [1]
+    assert jsonio.parse("[" * 50_000) == (False, None)
+
+
+def test_truncated_normal_is_the_inverse(spark):
+    from darb.operators import population
+
+    cdf = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
+    p = spark.createDataFrame([(x,) for x in (1e-300, 1e-12, 1e-4, 0.02, 0.2, 0.5, 0.7, 0.999, 1 - 1e-12)], "p double").select("p", population.normal_quantile(F.col("p")).alias("z"))
+    assert all(cdf(r.z) == pytest.approx(r.p, rel=1e-9) for r in p.collect())
+    for mean, sigma, low, high in ((2.0, 1.0, 0.4, 5.0), (2.0, 0.1, 4.0, 4.2), (2.0, 3.0, 1.9, 2.0), (9.0, 1.0, 0.0, 1.0)):
+        rows = spark.range(4000).select(population.truncated_normal(population.uniform(3, 1), mean, sigma, low, high).alias("x")).collect()
+        xs = sorted(r.x for r in rows)
+        a, b = cdf((low - mean) / sigma), cdf((high - mean) / sigma)
+        middle = spark.range(1).select(population.truncated_normal(F.lit(0.5), mean, sigma, low, high).alias("m")).first().m
+        assert low <= xs[0] and xs[-1] <= high and abs(sum(x <= middle for x in xs) / 4000 - 0.5) < 0.03
+        if 1e-9 < b < 1 - 1e-9:
+            assert (cdf((middle - mean) / sigma) - a) / (b - a) == pytest.approx(0.5, abs=1e-6)
+    assert spark.range(1).select(population.truncated_normal(F.lit(0.3), 2.0, 0.0, 0.0, 1.0).alias("x")).first().x == 1.0
+
+
+def test_hot_values_and_groups_keep_their_ranks(spark, monkeypatch):
+    from darb.operators import ordered
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", 20)
+    monkeypatch.setattr(ordered, "HOT_SHARE", 10)
+    rows = [("hot", 1.0)] * 100 + [("hot", float(k)) for k in range(2, 60)] + [(None, 5.0), (None, 7.0), ("b", 3.0), ("b", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = sorted(map(tuple, stats.average_ranks(df, ["g"], F.col("v")).collect()), key=repr)
+    want = sorted([("hot", 1.0, 50.5)] * 100 + [("hot", float(k), 99.0 + k) for k in range(2, 60)] + [(None, 5.0, 1.0), (None, 7.0, 2.0)] + [("b", 3.0, 1.5)] * 2, key=repr)
+    assert got == want
+    assert {(r.g, r.n, r.lower, r.upper) for r in ordered.medians(df, ["g"], "v").collect()} == {("hot", 158, 1.0, 1.0), (None, 2, 5.0, 7.0), ("b", 2, 3.0, 3.0)}
+
+
+def test_exact_p_of_many_ranks_and_its_method(spark):
+    few = [1.0, 2.0, 3.5, 3.5, 5.0]
+    import itertools
+
+    w = 3.0
+    share = sum(min(sum(c), sum(few) - sum(c)) <= w for n in range(6) for c in itertools.combinations(few, n)) / 32
+    assert stats.exact_p(few, w) == pytest.approx(share)
+    many = [float(k) for k in range(1, 301)]
+    assert stats.exact_p(many, 20_000.0) == pytest.approx(stats.normal_p(many, 20_000.0), abs=2e-3)
+    rows = [("a", k, float(k % 7 - 2)) for k in range(80)] + [("b", k, 1.0 + k) for k in range(5)] + [("c", 1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, seed int, delta double")
+    assert {r.g: r.p_method for r in stats.wilcoxon(df, ["g"]).collect()} == {"a": "normal", "b": "exact", "c": None}
+    every = {r.g: (r.p_method, r.p_raw) for r in stats.wilcoxon(df, ["g"], exact_up_to=None).collect()}
+    assert every["a"][0] == "exact" and 0 <= every["a"][1] <= 1
+
+
+def test_the_latest_of_equal_rows_is_the_same_in_any_order(spark):
+    rows = [("k", 2, f"v{i}") for i in range(50)]
+    got = {metrics.latest(spark.createDataFrame(rows[i:] + rows[:i], "key string, at int, v string").repartition(3), ["key"], ["at"]).first().v for i in (0, 13, 40)}
+    assert len(got) == 1
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from darb import session
+
+    asked = []
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    for master, fails in (("local[4]", False), ("local", False), ("spark://host:7077", True), ("local-cluster[2,1,1024]", True), ("yarn", True)):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master=master, setCheckpointDir=asked.append)
+        spark_ = SimpleNamespace(sparkContext=context, conf=conf)
+        if fails:
+            with pytest.raises(RuntimeError):
+                session.ensure_checkpoint_dir(spark_)
+        else:
+            session.ensure_checkpoint_dir(spark_)
+    assert len(asked) == 2

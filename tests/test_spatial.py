@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from darb.functions.geo import EARTH_M, haversine_m
-from darb.operators import spatial
+from darb.operators import ordered, spatial
 from darb.operators.ordered import at_ranks, medians, with_neighbour, with_running_total
 from darb.operators.spatial import near_and_inside, near_pairs, nearest, nearest_edges, points_in_boxes, points_in_regions
 
@@ -53,8 +53,8 @@ def test_hot_cells_and_crowds_lose_and_repeat_nothing(spark, monkeypatch, cell_r
     monkeypatch.setattr(spatial, "CELL_ROWS", cell_rows)
     monkeypatch.setattr(spatial, "FEW", few)
     monkeypatch.setattr(spatial, "BLOCK", 4)
-    monkeypatch.setattr(spatial, "HOT_ROWS", 6)
-    monkeypatch.setattr(spatial, "HOT_SHARE", 20)
+    monkeypatch.setattr(ordered, "HOT_ROWS", 6)
+    monkeypatch.setattr(ordered, "HOT_SHARE", 20)
     rng = random.Random(4)
     spots = [(30.0 + rng.uniform(-4e-5, 4e-5), 31.0 + rng.uniform(-4e-5, 4e-5)) for _ in range(60)]
     rows = [(k, rng.choice("abcde"), *spots[min(59, int(rng.expovariate(0.1)))]) for k in range(300)]
