@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The time of an unreachable leg, walking speed, kilometres of a mile, risk tiers from low to high,
-#: school stages, road classes that are dangerous on foot, old names of modes.
+#: school stages and their walk radius in metres, road classes that are dangerous on foot, old names of modes.
 UNREACHABLE_MIN = 9999.0
 WALK_M_PER_MIN = 80.0
 KM_PER_MILE = 1.60934
 TIERS = ("none", "tertiary", "secondary", "primary_plus", "unknown")
 STAGES = ("KG", "ELEMENTARY", "MIDDLE", "HIGH")
+STAGE_RADIUS = {"KG": 0.0, "ELEMENTARY": 0.0, "MIDDLE": 100.0, "HIGH": 200.0}
 DANGEROUS = ("motorway", "trunk", "primary", "secondary")
 OLD_MODES = {"constrained": "strictly_constrained", "unconstrained": "weakly_constrained"}
 
@@ -190,3 +191,23 @@ def fleet_at_least(students, capacity) -> Column:
 def temperature(step, start: float = 1000.0, cooling: float = 0.98) -> Column:
     """The search's temperature after `step` steps."""
     return F.lit(start) * F.pow(F.lit(cooling), _c(step))
+
+
+def number_text(value, decimals: int = 0) -> Column:
+    """A number with ',' between thousands; '-' for none."""
+    return F.coalesce(F.format_number(_c(value).cast("double"), decimals), F.lit("-"))
+
+
+def signed_percent(value, decimals: int = 1) -> Column:
+    """A percentage with its sign, as '+4.2%', halves to even; '-' for none."""
+    return F.when(_c(value).isNull(), "-").otherwise(F.format_string(f"%+.{decimals}f%%", F.bround(_c(value).cast("double"), decimals)))
+
+
+def stage_radius(stage_text, limits: Mapping[str, float] | None = None) -> Column:
+    """Walk radius of a school stage; `limits` replace the radius of the stages that they name."""
+    return look_up(stage(stage_text), {**STAGE_RADIUS, **(limits or {})}, 0.0)
+
+
+def benchmark_seconds(minutes_in_motion, pickups, served, a: float = 15.0, b: float = 5.0) -> Column:
+    """Seconds of a benchmark's route: travel, `a` seconds a stop and `b` a pupil."""
+    return _c(minutes_in_motion) * 60.0 + _c(pickups) * a + _c(served) * b

@@ -247,3 +247,35 @@ def carriageway_crossings(edges: DataFrame, min_m: float = 6.0, max_m: float = 6
 def with_bearings(edges: DataFrame) -> DataFrame:
     """Adds the planar bearing of edges with coordinates (lat1, lon1, lat2, lon2)."""
     return edges.withColumn("bearing", bearing_deg("lat1", "lon1", "lat2", "lon2"))
+
+
+def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path_id, lo, hi) of the synthetic edges (u, v, synthetic) on paths (path_id, seq, node), once each, whichever way they are passed."""
+    step = paths.withColumn("after", F.lead("node").over(Window.partitionBy("path_id").orderBy("seq"))).where("after IS NOT NULL")
+    passed = step.select("path_id", F.least("node", "after").alias("lo"), F.greatest("node", "after").alias("hi")).distinct()
+    return passed.join(edges.where("synthetic").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct(), ["lo", "hi"], "left_semi").select("path_id", "lo", "hi")
+
+
+def reach_counters(reached: DataFrame) -> DataFrame:
+    """(source, reached, by_crossing_only, farthest) of reachable_with_flag()'s rows."""
+    return reached.groupBy("source").agg(F.count("*").alias("reached"), F.count_if("only_flagged").alias("by_crossing_only"), F.max("cost").alias("farthest"))
+
+
+def counters_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Counters (key, value) of two moments: (key, delta), never below 0; a counter that one lacks counts as 0 there."""
+    joined = before.select(key, F.col("value").alias("__a")).join(after.select(key, F.col("value").alias("__b")), key, "full_outer")
+    zero = F.lit(0)
+    return joined.select(key, F.greatest(zero, F.coalesce("__b", zero) - F.coalesce("__a", zero)).alias("delta"))
+
+
+def display_segments(edges: DataFrame, lat: float, lon: float, least_m: float = 20.0, within_m: float = 5000.0) -> DataFrame:
+    """(lo, hi, metres, road_class): undirected edges worth drawing: of a dangerous or unknown class, long enough and with their start near a point.
+
+    `edges`: (u, v, metres, road_class, lat, lon); of parallel ones the shortest counts.
+    """
+    from darb.functions.geo import haversine_m
+    from darb.functions.scalars import dangerous_road
+
+    near = edges.where((F.col("metres") >= least_m) & (F.col("road_class").isNull() | dangerous_road("road_class")) & (haversine_m("lat", "lon", lat, lon) <= within_m))
+    best = near.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min(F.struct("metres", "road_class")).alias("e"))
+    return best.select("lo", "hi", "e.*")

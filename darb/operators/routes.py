@@ -290,3 +290,20 @@ def two_opt(stops: DataFrame, od: DataFrame | Callable[[Column, Column], Column]
     kind = dict(stops.dtypes)
     done = rows.mapInArrow(_two_opt_rows(epsilon), f"route_id {kind['route_id']}, nodes array<{kind['node_id']}>, total_min double, saved_min double")
     return done.select("route_id", F.posexplode("nodes").alias("seq", "node_id"), "total_min", "saved_min")
+
+
+def without_students(riders: DataFrame, stops: DataFrame, gone: DataFrame) -> DataFrame:
+    """Stops (route_id, seq, node_id) of routes whose riders (route_id, seq, student_id) lose the students in `gone` (student_id).
+
+    A pickup at which nobody is left is dropped and the rest renumbered; the ends of a route stay, and so do pickups
+    at which nobody boarded before.
+    """
+    left = riders.join(gone.select("student_id").distinct(), "student_id", "left_anti").select("route_id", "seq").distinct()
+    had = riders.select("route_id", "seq").distinct()
+    empty = had.join(left, ["route_id", "seq"], "left_anti")
+    return stops.join(empty, ["route_id", "seq"], "left_anti").select("route_id", (F.row_number().over(_by("route_id", "seq")) - 1).alias("seq"), "node_id")
+
+
+def stops_used(stops: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, stops_used): distinct nodes with a pickup of routes that are in use."""
+    return stops.where("is_pickup").groupBy(*groups).agg(F.count_distinct("node_id").alias("stops_used"))

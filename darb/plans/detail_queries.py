@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from darb.functions import scalars
@@ -219,8 +221,37 @@ def q_block_elapsed(spark, sf):
     return metrics.elapsed(table(spark, sf, "events"), "user_id", "event_id", "value").select("user_id", "event_id", "elapsed")
 
 
-@query()
+def _horner(values: tuple, x: str) -> str:
+    out = f"{values[0]!r}::DOUBLE"
+    for v in values[1:]:
+        out = f"({out} * {x} + {v!r}::DOUBLE)"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    """population.normal_quantile in DuckDB SQL, of a column of the query."""
+    ratio = lambda both, x: f"{_horner(both[0], x)} / {_horner(both[1], x)}"
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1.0 - {p})))"
+    far = f"(CASE WHEN {r} <= 5 THEN {ratio(population.MIDDLE, f'({r} - 1.6)')} ELSE {ratio(population.TAIL, f'({r} - 5.0)')} END)"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(population.CENTRAL, f'(0.180625 - {q} * {q})')} WHEN {q} < 0 THEN -{far} ELSE {far} END"
+
+
+def _draw_sql(draw: int) -> str:
+    return f"((('0x' || left(md5(id || ':42:{draw}'), 13))::BIGINT + 0.5) / 4503599627370496::DOUBLE)"
+
+
+_BELOW = [0.5 * math.erfc(-x / math.sqrt(2.0)) for x in (-1.6, 3.0)]
+
+
+@query(
+    f"""WITH i AS (SELECT unnest(range((SELECT count(*) FROM customer)))::BIGINT AS id),
+u AS (SELECT id, {_BELOW[0]!r}::DOUBLE + {_draw_sql(100)} * ({_BELOW[1]!r}::DOUBLE - {_BELOW[0]!r}::DOUBLE) AS p, {_draw_sql(1)} AS a, {_draw_sql(2)} AS s, {_draw_sql(3)} AS g, {_draw_sql(4)} AS d FROM i),
+k AS (SELECT *, 2.0 + {_quantile_sql('p')} AS km, CASE WHEN s < 0.125 THEN 'KG' WHEN s < 0.5 THEN 'ELEMENTARY' WHEN s < 0.75 THEN 'MIDDLE' ELSE 'HIGH' END AS stage FROM u),
+l AS (SELECT *, CASE stage WHEN 'KG' THEN 4 WHEN 'ELEMENTARY' THEN 6 WHEN 'MIDDLE' THEN 12 ELSE 15 END AS low, CASE stage WHEN 'KG' THEN 2 WHEN 'ELEMENTARY' THEN 6 ELSE 3 END AS many FROM k)
+SELECT id AS student_id, round(30.0 + km / 111.0 * cos(2 * pi() * a), 9) AS lat, round(31.2 + km / (111.0 * cos(radians(30.0))) * sin(2 * pi() * a), 9) AS lon, stage, (low + floor(g * many))::INT AS age, d < 0.125 AS disabled FROM l"""
+)
 def q_population(spark, sf):
     """As many homes as there are customers, around the school."""
     n = table(spark, sf, "customer").count()
-    return population.homes(spark, n, 42, 30.0, 31.2, {"KG": 1, "ELEMENTARY": 3, "MIDDLE": 2, "HIGH": 2}, {"KG": (4, 5), "ELEMENTARY": (6, 11), "MIDDLE": (12, 14), "HIGH": (15, 17)})
+    people = population.homes(spark, n, 42, 30.0, 31.2, {"KG": 1, "ELEMENTARY": 3, "MIDDLE": 2, "HIGH": 2}, {"KG": (4, 5), "ELEMENTARY": (6, 11), "MIDDLE": (12, 14), "HIGH": (15, 17)})
+    return people.withColumn("lat", F.round("lat", 9)).withColumn("lon", F.round("lon", 9))

@@ -281,9 +281,26 @@ def q_paired_delta(spark, sf):
     return stats.signed_rank(_deltas(spark, sf), ["cohort"]).select("cohort", "n_pairs", r6("median_delta"), r6("mean_delta"))
 
 
-@query()
+@query(
+    _DELTAS.replace("WITH m AS", "WITH RECURSIVE m AS", 1)
+    + """, t AS (SELECT cohort, (rk * 2)::BIGINT AS r2, row_number() OVER (PARTITION BY cohort ORDER BY rk, x) AS i, count(*) OVER (PARTITION BY cohort) AS n FROM r),
+dp(cohort, i, total, share) AS (
+  SELECT DISTINCT cohort, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM t WHERE n <= 50
+  UNION ALL SELECT cohort, i, total, sum(share) FROM (SELECT d.cohort, t.i, d.total + f.up * t.r2 AS total, d.share / 2 AS share FROM dp d JOIN t ON t.cohort = d.cohort AND t.i = d.i + 1, (VALUES (0), (1)) f(up)) GROUP BY ALL),
+ex AS (SELECT dp.cohort, sum(share) AS p FROM dp JOIN (SELECT DISTINCT cohort, n FROM t) USING (cohort) JOIN s ON s.cohort = dp.cohort WHERE dp.i = n AND least(total, 2 * (wp + wm) - total) <= 2 * least(wp, wm) GROUP BY 1),
+pairs AS (SELECT cohort, count(*) AS n_pairs FROM d GROUP BY 1),
+big AS (SELECT cohort, any_value(n) AS n, sum(r2 / 2.0) / 2 AS mean, sum(r2 * r2 / 4.0) / 4 AS var FROM t GROUP BY 1),
+dist AS (SELECT big.cohort, n, abs(least(wp, wm) - mean) / sqrt(2 * var) AS z FROM big JOIN s ON s.cohort = big.cohort),
+no AS (SELECT cohort, n, CASE WHEN z > 4.5 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: pow(-1, k) * exp((2 * k + 1) * ln(z) - lgamma(k + 1)) / (2 * k + 1))) END AS p FROM dist),
+w AS (SELECT pairs.cohort, n_pairs, least(wp, wm) AS w, CASE WHEN n_pairs >= 3 THEN CASE WHEN s.cohort IS NULL THEN 1.0 WHEN no.n <= 50 THEN least(1.0, ex.p) ELSE least(1.0, no.p) END END AS p_raw, CASE WHEN n_pairs >= 3 THEN CASE WHEN coalesce(no.n, 0) <= 50 THEN 'exact' ELSE 'normal' END END AS p_method
+  FROM pairs LEFT JOIN s ON s.cohort = pairs.cohort LEFT JOIN ex ON ex.cohort = pairs.cohort LEFT JOIN no ON no.cohort = pairs.cohort),
+h AS (SELECT *, row_number() OVER (ORDER BY coalesce(p_raw, 1), cohort) AS i, count(*) OVER () AS n FROM w),
+a AS (SELECT *, least(1.0, (n - i + 1) * coalesce(p_raw, 1)) AS raw FROM h)
+SELECT cohort, n_pairs, round(w, 6) AS w, round(p_raw, 6) AS p_raw, p_method, round(max(raw) OVER (ORDER BY i), 6) AS p_holm FROM a"""
+)
 def q_wilcoxon_p(spark, sf):
-    return stats.holm(stats.wilcoxon(_deltas(spark, sf), ["cohort"]), "p_raw")
+    p = stats.holm(stats.wilcoxon(_deltas(spark, sf), ["cohort"]), "p_raw")
+    return p.select("cohort", "n_pairs", r6("w"), r6("p_raw"), "p_method", r6("p_holm"))
 
 
 @query(
