@@ -13,10 +13,11 @@ def _c(x: Column | str | float) -> Column:
 
 
 def haversine_m(lat1, lon1, lat2, lon2, radius: float = EARTH_M) -> Column:
-    """Great-circle distance in the unit of `radius`; arguments are columns, column names or numbers in degrees."""
+    """Great-circle distance in the unit of `radius`; arguments are columns, column names or numbers in degrees; null without one of them."""
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # rounding may exceed 1 for antipodes; null and NaN stay what they are
+    return F.lit(2 * radius) * F.asin(F.when((a > 1.0) & (a < 4.0), 1.0).otherwise(F.sqrt(a)))
 
 
 def equirectangular_m(lat1, lon1, lat2, lon2, metres_per_degree: float = 111_000.0) -> Column:

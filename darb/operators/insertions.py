@@ -30,11 +30,12 @@ NODE_BLOCK, PRICES, CELLS, SLACK = 200_000, 2_000_000, 250_000, 1e-9
 Price = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def route_rows(legs: DataFrame, cap: Column | None = None, seats: DataFrame | None = None) -> DataFrame:
-    """(route_id, nodes, minutes, back, caps): one row per route of its legs (route_id, seq, src, dst, minutes[, back_min]).
+def route_rows(legs: DataFrame, cap: Column | None = None, seats: DataFrame | None = None, budgets: DataFrame | None = None) -> DataFrame:
+    """(route_id, nodes, minutes, back, caps, seqs, most): one row per route of its legs (route_id, seq, src, dst, minutes[, back_min]).
 
     `cap` is the cap of whoever boards at the leg's start (null: nobody, or no cap), `seats`: (route_id, load,
-    capacity), by which full routes are left out; a route that it lacks has no seats.
+    capacity), by which full routes are left out; a route that it lacks has no seats. `budgets`: (route_id, most), the
+    minutes that a route may still grow by; a route that it lacks has no limit.
     """
     back = F.col("back_min") if "back_min" in legs.columns else F.lit(None).cast("double")
     leg = F.struct("seq", "src", "dst", F.col("minutes").cast("double").alias("m"), back.alias("b"), (cap if cap is not None else F.lit(None)).cast("double").alias("c"))
@@ -43,14 +44,18 @@ def route_rows(legs: DataFrame, cap: Column | None = None, seats: DataFrame | No
     rows = spread.groupBy("route_id").agg(F.array_sort(F.collect_list(leg)).alias("l"))
     nodes = F.concat(F.col("l.src"), F.array(F.element_at("l", -1)["dst"])).cast("array<bigint>")
     out = rows.select("route_id", nodes.alias("nodes"), F.col("l.m").alias("minutes"), F.col("l.b").alias("back"), F.col("l.c").alias("caps"), F.col("l.seq").alias("seqs"))
-    return out if seats is None else out.join(seats.where("load < capacity").select("route_id"), "route_id", "left_semi")
+    if seats is not None:
+        out = out.join(seats.where("load < capacity").select("route_id"), "route_id", "left_semi")
+    if budgets is None:
+        return out.withColumn("most", F.lit(float("inf")))
+    return out.join(budgets.select("route_id", F.col("most").cast("double").alias("most")), "route_id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
 
 
 class _Legs:
     """The legs of a batch of routes as arrays, in order of routes and positions."""
 
     def __init__(self, batch: pa.RecordBatch):
-        columns = [batch.column(i).to_pylist() for i in range(6)]
+        columns = [batch.column(i).to_pylist() for i in range(7)]
         order = sorted(range(batch.num_rows), key=columns[0].__getitem__)
         n = len(order)
         width = max((len(columns[2][k]) for k in order), default=0)
@@ -70,6 +75,7 @@ class _Legs:
         self.src, self.dst, self.uv = nodes[self.route, self.position], nodes[self.route, self.position + 1], pick(minutes)
         self.rest, self.rest_back = pick(after(self.morning)), pick(after(evening))
         self.back, self.caps = back, caps
+        self.most = np.array([columns[6][k] for k in order], np.float64)
 
     def riders(self, legs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(which of the legs, the minutes left of a rider's cap in the morning, and on the way back but for what lies between the leg's end and start).
@@ -167,6 +173,9 @@ def _best(nodes: np.ndarray, caps: np.ndarray, price: Price, rule: str):
                     cost, ride = prices.delta(part), None
                     if rule != "free":
                         cost, ride = kept_by(legs, prices, block, part, cost)
+                    most = legs.most[legs.route[part]]
+                    if np.isfinite(most).any():
+                        cost = np.where(cost <= most + SLACK, cost, np.inf)
                     for cap, items in of_cap:
                         if not len(items):
                             continue

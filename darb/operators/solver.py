@@ -1,11 +1,14 @@
 """Adaptive large neighbourhood search over a grid of (zone, seed, fleet size): one solver per group, all groups in parallel.
 
-A zone is a problem of its own (its students and stops fit one task by nature); zones, seeds and fleet sizes
-multiply into independent tasks. Students board at the nearest stop of their zone; a stop's students are a unit
-that one vehicle takes as far as its seats go. The search removes units and puts them back: removals are
-random, by worst saving, by relatedness, or a whole route; repairs are greedy or by regret. Operators are
-drawn by weights that follow their success, worse solutions are accepted with a falling temperature. Everything
-is driven by the seed and the number of iterations, never by the clock, so a run can be repeated.
+A zone is a problem of its own; zones, seeds and fleet sizes multiply into independent tasks. Students board at the
+nearest stop of their zone, which a grid join finds before the tasks are made, so a task gets stops with their numbers
+of students only. A stop's students are a unit that one vehicle takes as far as its seats go. The search removes units
+and puts them back: removals are random, by worst saving, by relatedness, a stretch of a route, or a whole route;
+repairs are greedy or by regret, of all that waits or of a bounded part of it. Where units have caps, a place must keep
+the ride of everyone in the route within them, in the morning or on the way back. Operators are drawn by weights that
+follow their success, worse solutions are accepted with a falling temperature. Two phases may follow: one that empties
+routes and repairs by regret, and a last one for units that no route has. Everything is driven by the seed and the
+number of iterations, never by the clock, so a run can be repeated.
 """
 
 from __future__ import annotations
@@ -16,22 +19,29 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darb.session import durable
 
-#: Weights of the objective, cooling, rewards and memory of the operators' weights, largest share removed.
+#: Weights of the objective, cooling, rewards and memory of the operators' weights, largest share removed,
+#: regret of a unit with one route, discount of a unit in the same route, patience once the least fleet serves all,
+#: cooling of the merging phase, calls of the last phase and the share and number that it shakes.
 SERVED, ROUTE = 10_000.0, 5_000.0
 COOLING, REWARDS, MEMORY, TOP = 0.98, (30.0, 15.0, 5.0), 0.7, 0.25
+ONE_ROUTE, SAME_ROUTE, POLISH = 2000.0, 0.5, 30
+TAIL_COOLING, RESCUE_CALLS, KICK_SHARE, KICK_MOST = 0.96, 4, 0.03, 12
 SCHEMA = "zone bigint, seed int, fleet int, students int, served int, routes_used int, total_min double, objective double, iterations int, accepted int, best_iteration int, stop_reason string"
+STOPS = "zone bigint, seed int, fleet int, route int, seq int, node_id bigint, part int, load int, arrive_min double"
 
 
 class Problem:
-    """Units (students at a stop), minutes between stops (index 0 is the school), seats of a vehicle."""
+    """Units (students at a stop), minutes between stops (index 0 is the school), seats of a vehicle, the longest ride of each unit, and which are hard to place."""
 
-    def __init__(self, sizes: list[int], minutes: np.ndarray, capacity: int, fleet: int):
+    def __init__(self, sizes: list[int], minutes: np.ndarray, capacity: int, fleet: int, caps: list[float] | None = None, hard: set[int] | None = None):
         self.sizes, self.minutes, self.capacity, self.fleet = sizes, minutes, capacity, fleet
+        self.caps = caps if caps and min(caps) < math.inf else None
+        self.hard = hard or set()
 
     def length(self, route: list[int]) -> float:
         stops = [0, *(u + 1 for u in route), 0]
@@ -44,15 +54,36 @@ class Problem:
     def load(self, route: list[int]) -> int:
         return sum(self.sizes[u] for u in route)
 
+    def keeps_caps(self, route: list[int]) -> bool:
+        """Whether each unit's ride is within its cap in the morning or on the route run backwards."""
+        if self.caps is None:
+            return True
+        stops = [u + 1 for u in route]
+        morning = evening = 0.0
+        for k in range(len(stops) - 1, -1, -1):
+            after = stops[k + 1] if k + 1 < len(stops) else 0
+            morning += self.minutes[stops[k], after]
+            evening += self.minutes[after, stops[k]]
+            if min(morning, evening) > self.caps[route[k]] + 1e-9:
+                return False
+        return True
+
     def best_place(self, route: list[int], unit: int) -> tuple[float, int] | None:
-        """(added minutes, position) of the cheapest place for a unit, or None if the seats don't do."""
+        """(added minutes, position) of the cheapest place for a unit that keeps seats and caps, or None."""
         if self.load(route) + self.sizes[unit] > self.capacity:
             return None
         stops = np.array([0, *(u + 1 for u in route), 0])
         t, c = self.minutes, unit + 1
         added = t[stops[:-1], c] + t[c, stops[1:]] - t[stops[:-1], stops[1:]]
-        k = int(added.argmin())
-        return float(added[k]), k
+        if self.caps is None:
+            k = int(added.argmin())
+            return (float(added[k]), k) if added[k] < math.inf else None
+        for k in np.argsort(added, kind="stable").tolist():
+            if added[k] == math.inf:
+                return None
+            if self.keeps_caps([*route[:k], unit, *route[k:]]):
+                return float(added[k]), k
+        return None
 
 
 def _random(p: Problem, routes, n, rng) -> list[int]:
@@ -71,7 +102,7 @@ def _related(p: Problem, routes, n, rng) -> list[int]:
         return []
     seed = rng.choice(units)
     where = {u: k for k, r in enumerate(routes) for u in r}
-    return sorted(units, key=lambda u: (p.minutes[seed + 1, u + 1] - (0.5 if where[u] == where[seed] else 0.0), u))[:n]
+    return sorted(units, key=lambda u: (p.minutes[seed + 1, u + 1] - (SAME_ROUTE if where[u] == where[seed] else 0.0), u))[:n]
 
 
 def _route(p: Problem, routes, n, rng) -> list[int]:
@@ -79,6 +110,31 @@ def _route(p: Problem, routes, n, rng) -> list[int]:
     return list(min(used, key=lambda r: (p.load(r), r))) if used else []
 
 
+def _sequence(p: Problem, routes, n, rng) -> list[int]:
+    """Stretches of successive stops of routes drawn at random, n units together."""
+    used, gone = [r for r in routes if r], []
+    for _ in range(max(3, 2 * len(used))):
+        if len(gone) >= n or not used:
+            break
+        left = [u for u in rng.choice(used) if u not in gone]
+        if left:
+            size = rng.randint(1, min(len(left), n - len(gone)))
+            start = rng.randint(0, len(left) - size)
+            gone += left[start : start + size]
+    return gone
+
+
+def workset(p: Problem, waiting: list[int], limit: int | None, rng) -> list[int]:
+    """At most `limit` of the units that wait: up to half of them hard ones, the others drawn at random; all without a limit."""
+    if not limit or len(waiting) <= limit:
+        return list(waiting)
+    hard, easy = [u for u in waiting if u in p.hard], [u for u in waiting if u not in p.hard]
+    keep = rng.sample(hard, min(len(hard), max(1, limit // 2)))
+    keep += rng.sample(easy, min(len(easy), limit - len(keep)))
+    rng.shuffle(keep)
+    return keep
+
+
 def _greedy(p: Problem, routes, waiting, rng) -> None:
     rng.shuffle(waiting)
     for unit in waiting:
@@ -88,7 +144,7 @@ def _greedy(p: Problem, routes, waiting, rng) -> None:
             routes[k].insert(i, unit)
 
 
-def _regret(p: Problem, routes, waiting, rng, big: float = 2000.0) -> None:
+def _regret(p: Problem, routes, waiting, rng, big: float = ONE_ROUTE) -> None:
     waiting = sorted(waiting)
     places = {u: {k: x for k, r in enumerate(routes) if (x := p.best_place(r, u))} for u in waiting}
     while waiting:
@@ -108,12 +164,68 @@ def _regret(p: Problem, routes, waiting, rng, big: float = 2000.0) -> None:
                 places[u][k] = x
 
 
-DESTROY: dict[str, Callable] = {"random": _random, "worst": _worst, "related": _related, "route": _route}
+DESTROY: dict[str, Callable] = {"random": _random, "worst": _worst, "related": _related, "sequence": _sequence, "route": _route}
 REPAIR: dict[str, Callable] = {"greedy": _greedy, "regret": _regret}
 
 
-def search(p: Problem, seed: int, iterations: int, patience: int = 80) -> dict:
-    """The best routes found, and how the search went."""
+def _without(routes: list[list[int]], gone) -> list[list[int]]:
+    gone = set(gone)
+    return [[u for u in route if u not in gone] for route in routes]
+
+
+def _waiting(p: Problem, routes: list[list[int]]) -> list[int]:
+    placed = {u for route in routes for u in route}
+    return [u for u in range(len(p.sizes)) if u not in placed]
+
+
+def _served(p: Problem, routes: list[list[int]]) -> int:
+    return sum(p.sizes[u] for r in routes for u in r)
+
+
+def merge_tail(p: Problem, current: list[list[int]], best: list[list[int]], iterations: int, temperature: float, rng) -> list[list[int]]:
+    """The best routes after rounds that empty the least loaded route and repair by regret, accepted by a temperature that falls from a twentieth."""
+    value, best_value, t = p.objective(current), p.objective(best), max(1e-3, temperature * 0.05)
+    for _ in range(iterations):
+        gone = _route(p, current, 0, rng)
+        if not gone:
+            break
+        trial = _without(current, gone)
+        _regret(p, trial, _waiting(p, trial), rng)
+        new = p.objective(trial)
+        if new > value or rng.random() < math.exp(max(-700.0, (new - value) / t)):
+            current, value = trial, new
+        if new > best_value + 1e-9:
+            best, best_value = [list(r) for r in trial], new
+        t *= TAIL_COOLING
+    return best
+
+
+def rescue(p: Problem, routes: list[list[int]], rng, calls: int = RESCUE_CALLS) -> list[list[int]]:
+    """Routes after some repairs for units that wait; where that helps none, some of the worst served are taken out and all put back. It never serves fewer."""
+    for _ in range(calls):
+        before = _served(p, routes)
+        if not _waiting(p, routes):
+            break
+        trial = [list(r) for r in routes]
+        _regret(p, trial, _waiting(p, trial), rng)
+        _greedy(p, trial, _waiting(p, trial), rng)
+        if _served(p, trial) <= before:
+            units = sum(map(len, trial))
+            trial = _without(trial, _worst(p, trial, max(1, min(KICK_MOST, int(units * KICK_SHARE))), rng))
+            _regret(p, trial, _waiting(p, trial), rng)
+            _greedy(p, trial, _waiting(p, trial), rng)
+        if _served(p, trial) > before or _served(p, trial) == before and p.objective(trial) >= p.objective(routes):
+            routes = trial
+    return routes
+
+
+def search(p: Problem, seed: int, iterations: int, patience: int = 80, limit: int | None = None, tail: int = 0) -> dict:
+    """The best routes found, and how the search went.
+
+    `limit` bounds the units of a repair, `tail` is the number of merging rounds behind the search. It stops after its
+    iterations, after `patience` iterations without a better solution, or after POLISH of those once the fewest
+    vehicles that could serve everyone do.
+    """
     rng = random.Random(seed)
     units = list(range(len(p.sizes)))
     current: list[list[int]] = [[] for _ in range(p.fleet)]
@@ -121,15 +233,14 @@ def search(p: Problem, seed: int, iterations: int, patience: int = 80) -> dict:
     best, value = [list(r) for r in current], p.objective(current)
     best_value, temperature, accepted, best_at, reason = value, 1000.0, 0, 0, "iterations_completed"
     weights = {name: 1.0 for name in [*DESTROY, *REPAIR]}
+    everyone, least = sum(p.sizes), -(-sum(p.sizes) // p.capacity)
     step = 0
     for step in range(1, iterations + 1):
         d = rng.choices(list(DESTROY), [weights[x] for x in DESTROY])[0]
         r = rng.choices(list(REPAIR), [weights[x] for x in REPAIR])[0]
         n = max(1, int(len(units) * rng.uniform(0.05, TOP)))
-        gone = set(DESTROY[d](p, current, n, rng))
-        trial = [[u for u in route if u not in gone] for route in current]
-        placed = {u for route in trial for u in route}
-        REPAIR[r](p, trial, [u for u in units if u not in placed], rng)
+        trial = _without(current, DESTROY[d](p, current, n, rng))
+        REPAIR[r](p, trial, workset(p, _waiting(p, trial), limit, rng), rng)
         new = p.objective(trial)
         reward = 0.0
         if new > best_value + 1e-9:
@@ -142,11 +253,16 @@ def search(p: Problem, seed: int, iterations: int, patience: int = 80) -> dict:
         for x in (d, r):
             weights[x] = max(0.05, MEMORY * weights[x] + (1 - MEMORY) * reward)
         temperature = max(1e-6, temperature * COOLING)
-        if step - best_at >= patience:
-            reason = "no_improve_patience"
+        done = _served(p, best) == everyone and sum(map(bool, best)) <= least
+        if step - best_at >= (min(POLISH, patience) if done else patience):
+            reason = "theoretical_optimum_polish" if done and POLISH < patience else "no_improve_patience"
             break
+    if tail:
+        best = merge_tail(p, current, best, tail, temperature, rng)
+    if _waiting(p, best):
+        best = rescue(p, best, rng)
     used = [r for r in best if r]
-    return {"routes": used, "served": sum(p.sizes[u] for r in used for u in r), "total_min": sum(map(p.length, used)), "objective": best_value, "iterations": step, "accepted": accepted, "best_iteration": best_at, "stop_reason": reason}
+    return {"routes": used, "served": _served(p, used), "total_min": sum(map(p.length, used)), "objective": p.objective(best), "iterations": step, "accepted": accepted, "best_iteration": best_at, "stop_reason": reason}
 
 
 def _metres(lat, lon, lat2, lon2):
@@ -155,69 +271,108 @@ def _metres(lat, lon, lat2, lon2):
     return 2 * 6_371_000.0 * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
-def _solve(students: DataFrame, stops: DataFrame, tasks: DataFrame, capacity: int, iterations: int, metres_per_min: float) -> DataFrame:
-    """One row per task (zone, seed, fleet) whose zone has students; see SCHEMA."""
-    left = students.select(F.col("zone").cast("bigint").alias("zone"), "lat", "lon").join(tasks, "zone").select("zone", "seed", "fleet", "lat", "lon")
-    grid = tasks.select(F.col("zone").alias("z"), F.col("seed").alias("s"), F.col("fleet").alias("f"))
-    right = stops.select(F.col("zone").cast("bigint").alias("z"), F.col("node_id").cast("bigint").alias("node_id"), "lat", "lon").join(grid, "z").select("z", "s", "f", "node_id", "lat", "lon")
+def assigned(students: DataFrame, stops: DataFrame) -> DataFrame:
+    """(zone, student_id, node_id, walk_m): each student's nearest stop of the same zone; students of zones without stops have null ones."""
+    from darb.operators.spatial import nearest
+
+    own = students.select(F.col("zone").cast("bigint").alias("zone"), "student_id", "lat", "lon").where("zone IS NOT NULL")
+    points = own.select("zone", F.struct("zone", "student_id").alias("key"), "lat", "lon")
+    goal = stops.select(F.col("zone").cast("bigint").alias("zone"), F.col("node_id").cast("bigint").alias("target"), "lat", "lon").where("zone IS NOT NULL")
+    found = nearest(points, goal, by="zone").select("key.zone", "key.student_id", F.col("target").alias("node_id"), F.col("metres").alias("walk_m"))
+    return own.select("zone", "student_id").join(found, ["zone", "student_id"], "left")
 
-    def solve(key, riders, places):
-        zone, seed, fleet = map(int, key)
-        row = {"zone": zone, "seed": seed, "fleet": fleet, "students": len(riders)}
-        if not len(riders):
-            return pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        places = places.sort_values("node_id")
-        lat, lon = places["lat"].to_numpy(), places["lon"].to_numpy()
-        sizes: list[int] = []
-        at: list[int] = []
-        if len(places):
-            nearest = _metres(riders["lat"].to_numpy()[:, None], riders["lon"].to_numpy()[:, None], lat[None, :], lon[None, :]).argmin(1)
-            for stop, count in zip(*np.unique(nearest, return_counts=True)):
-                for begin in range(0, int(count), capacity):  # a stop with more students than seats is several units
-                    sizes.append(min(capacity, int(count) - begin))
-                    at.append(int(stop))
-        lats, lons = np.array([lat.mean() if len(lat) else 0.0, *lat[at]]), np.array([lon.mean() if len(lon) else 0.0, *lon[at]])
-        minutes = _metres(lats[:, None], lons[:, None], lats[None, :], lons[None, :]) / metres_per_min
-        found = search(Problem(sizes, minutes, capacity, fleet), seed, iterations)
-        row |= {k: found[k] for k in ("served", "total_min", "objective", "iterations", "accepted", "best_iteration", "stop_reason")} | {"routes_used": len(found["routes"])}
-        return pd.DataFrame([row])[[c.split()[0] for c in SCHEMA.split(", ")]]
 
-    return left.groupBy("zone", "seed", "fleet").cogroup(right.groupBy("z", "s", "f")).applyInPandas(solve, SCHEMA)
+def _units(students: DataFrame, stops: DataFrame, cap: Column | None) -> DataFrame:
+    """(zone, node_id, lat, lon, size, cap_min, hard, school_lat, school_lon): a row per stop that anyone boards at; a zone without stops has one without node."""
+    facts = ["zone", "student_id", (cap if cap is not None else F.lit(float("inf"))).alias("cap_min"), (F.col("radius") <= 0 if "radius" in students.columns else F.lit(False)).alias("hard")]
+    joined = assigned(students, stops).join(students.withColumn("zone", F.col("zone").cast("bigint")).select(*facts), ["zone", "student_id"])
+    board = joined.groupBy("zone", "node_id").agg(F.count("*").cast("int").alias("size"), F.min("cap_min").alias("cap_min"), F.bool_or("hard").alias("hard"))
+    places = stops.select(F.col("zone").cast("bigint").alias("zone"), F.col("node_id").cast("bigint").alias("node_id"), "lat", "lon")
+    school = places.groupBy("zone").agg(F.avg("lat").alias("school_lat"), F.avg("lon").alias("school_lon"))
+    return durable(board.join(places, ["zone", "node_id"], "left").join(school, "zone", "left"))
 
 
-def solve_grid(students: DataFrame, stops: DataFrame, seeds: list[int], fleets: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0) -> DataFrame:
+def _solve(units: DataFrame, tasks: DataFrame, capacity: int, iterations: int, metres_per_min: float, tail: int = 0, routes: bool = False) -> DataFrame:
+    """One row per task (zone, seed, fleet) whose zone has students, see SCHEMA; or with `routes` a row per stop of its routes, see STOPS."""
+    names = [c.split()[0] for c in (STOPS if routes else SCHEMA).split(", ")]
+
+    def solve(key, rows):
+        zone, seed, fleet = map(int, key)
+        rows = rows.sort_values("node_id")
+        placed = rows[rows["node_id"].notna()]
+        at, sizes, part = [], [], []
+        for k, count in enumerate(placed["size"]):
+            for n, begin in enumerate(range(0, int(count), capacity)):  # a stop with more students than seats is several units
+                sizes.append(min(capacity, int(count) - begin))
+                at.append(k)
+                part.append(n)
+        column = lambda c: placed[c].to_numpy()
+        lats, lons = ([0.0], [0.0]) if not at else (np.array([column(f"school_{c}")[0], *column(c)[at]], float) for c in ("lat", "lon"))
+        lats, lons = np.asarray(lats), np.asarray(lons)
+        minutes = _metres(lats[:, None], lons[:, None], lats[None, :], lons[None, :]) / metres_per_min
+        problem = Problem(sizes, minutes, capacity, fleet, [float(x) for x in column("cap_min")[at]], {u for u, k in enumerate(at) if column("hard")[k]})
+        found = search(problem, seed, iterations, tail=tail)
+        if not routes:
+            row = {"zone": zone, "seed": seed, "fleet": fleet, "students": int(rows["size"].sum()), "routes_used": len(found["routes"])}
+            row |= {k: found[k] for k in ("served", "total_min", "objective", "iterations", "accepted", "best_iteration", "stop_reason")}
+            return pd.DataFrame([row])[names]
+        out = []
+        for r, route in enumerate(found["routes"], 1):
+            clock, before = 0.0, 0
+            for seq, u in enumerate(route, 1):
+                clock, before = clock + float(minutes[before, u + 1]), u + 1
+                out.append((zone, seed, fleet, r, seq, int(column("node_id")[at[u]]), part[u], sizes[u], clock))
+            out.append((zone, seed, fleet, r, len(route) + 1, None, None, 0, clock + float(minutes[before, 0])))
+        frame = pd.DataFrame(out, columns=names)
+        return frame.astype({"node_id": "Int64", "part": "Int32"})
+
+    work = units.join(tasks.select(F.col("zone").cast("bigint").alias("zone"), "seed", "fleet"), "zone")
+    return work.groupBy("zone", "seed", "fleet").applyInPandas(solve, STOPS if routes else SCHEMA)
+
+
+def solve_grid(students: DataFrame, stops: DataFrame, seeds: list[int], fleets: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0, tail: int = 0, cap: Column | None = None) -> DataFrame:
     """One row per (zone, seed, fleet) with what the search found; see SCHEMA.
 
-    `students`: (zone, student_id, lat, lon), `stops`: (zone, node_id, lat, lon); the school is the mean of the
-    zone's stops. Zones without stops serve nobody; zones without students give no row.
+    `students`: (zone, student_id, lat, lon[, radius]), `stops`: (zone, node_id, lat, lon); the school is the mean of the
+    zone's stops. `cap` is an expression of a student's longest ride. Zones without stops serve nobody; zones without
+    students give no row.
     """
+    units = _units(students, stops, cap)
     grid = F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.lit(k).alias("fleet")) for s in seeds for k in fleets)))
-    tasks = students.select(F.col("zone").cast("bigint").alias("zone")).where("zone IS NOT NULL").distinct().select("zone", grid.alias("g")).select("zone", "g.*")
-    return _solve(students, stops, tasks, capacity, iterations, metres_per_min)
+    tasks = units.select("zone").distinct().select("zone", grid.alias("g")).select("zone", "g.*")
+    return _solve(units, tasks, capacity, iterations, metres_per_min, tail)
+
+
+def solve_routes(students: DataFrame, stops: DataFrame, tasks: DataFrame, capacity: int, iterations: int, metres_per_min: float = 400.0, tail: int = 0, cap: Column | None = None) -> DataFrame:
+    """The routes behind solve_grid's rows for tasks (zone, seed, fleet): a row per stop, the school last without node; see STOPS.
+
+    `part` numbers the units of a stop with more students than seats, `arrive_min` is the time since the school.
+    """
+    return _solve(_units(students, stops, cap), tasks, capacity, iterations, metres_per_min, tail, routes=True)
 
 
-def solve_fleets(students: DataFrame, stops: DataFrame, seeds: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0, block: int = 3) -> DataFrame:
+def solve_fleets(students: DataFrame, stops: DataFrame, seeds: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0, block: int = 3, tail: int = 0, cap: Column | None = None) -> DataFrame:
     """As solve_grid, with each zone's fleets from ceil(students / capacity) upwards to the first that serves everyone.
 
     Rounds of `block` fleets, a task per (zone, seed, fleet); zones whose students are all served drop out, and larger
     fleets than the first that serves all are left out, so `block` changes the work, not the result. A bus for each
-    unit always serves everyone, so rounds end; a zone without stops has the least fleet only.
+    unit serves everyone whom a route of its own serves, so rounds end there; a zone without stops has the least
+    fleet only.
     """
-    zone = F.col("zone").cast("bigint").alias("zone")
-    served = stops.select(zone).where("zone IS NOT NULL").distinct().withColumn("stops", F.lit(True))
-    least = students.select(zone).where("zone IS NOT NULL").groupBy("zone").agg(F.ceil(F.count("*") / capacity).cast("int").alias("least"))
-    rest, out = durable(least.join(served, "zone", "left")), None
+    units = _units(students, stops, cap)
+    pieces = F.sum(F.when(F.col("node_id").isNotNull(), F.ceil(F.col("size") / capacity))).cast("int")
+    rest, out = durable(units.groupBy("zone").agg(F.ceil(F.sum("size") / capacity).cast("int").alias("least"), pieces.alias("most"))), None
     seed = F.explode(F.array(*map(F.lit, seeds)))
     while not rest.isEmpty():
-        last = F.when(F.col("stops"), F.col("least") + block - 1).otherwise(F.col("least"))
+        last = F.when(F.col("most").isNotNull(), F.col("least") + block - 1).otherwise(F.col("least"))
         tasks = rest.select("zone", F.explode(F.sequence("least", last)).alias("fleet")).select("zone", seed.alias("seed"), "fleet")
-        found = durable(_solve(students, stops, tasks, capacity, iterations, metres_per_min))
+        found = durable(_solve(units, tasks, capacity, iterations, metres_per_min, tail))
         full = found.groupBy("zone").agg(F.min(F.when(F.col("served") == F.col("students"), F.col("fleet"))).alias("enough"))
         kept = found.join(full, "zone").where("enough IS NULL OR fleet <= enough").drop("enough")
         out = kept if out is None else out.unionByName(kept)
         open_ = full.where("enough IS NULL").select("zone")
-        rest = durable(rest.where("stops").join(open_, "zone", "left_semi").withColumn("least", F.col("least") + block))
-    return out if out is not None else _solve(students, stops, rest.select("zone", F.lit(0).alias("seed"), F.col("least").alias("fleet")), capacity, iterations, metres_per_min)
+        rest = durable(rest.join(open_, "zone", "left_semi").withColumn("least", F.col("least") + block).where("least <= most"))
+    return out if out is not None else _solve(units, rest.select("zone", F.lit(0).alias("seed"), F.col("least").alias("fleet")), capacity, iterations, metres_per_min)
 
 
 def smallest_fleet(solutions: DataFrame) -> DataFrame:

@@ -161,22 +161,27 @@ def near_classes(points: DataFrame, metres: float) -> DataFrame:
     return join_counted(base.select("key", "lat", "lon"), per_place, ["lat", "lon"]).select("key", "class_key", F.col("n").alias("class_size"), "near_classes", "near_points")
 
 
-def nearest(points: DataFrame, targets: DataFrame, start_m: float = 250.0) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, start_m: float = 250.0, by: str | None = None) -> DataFrame:
     """(key, target, metres): the nearest target (target, lat, lon) of each point (key, lat, lon) with usable coordinates.
 
     Rounds of growing distance: a point that finds targets within the round's distance has its true nearest among
     them and drops out; the rest go on with four times the distance, up to half the globe. Ties go to the least
-    target. Without targets the result is empty; keys should be distinct.
+    target. Without targets the result is empty; keys should be distinct. With `by`, a column of both sides, only targets
+    with the point's value count; points whose value no target has give no row.
     """
+    group = [by] if by else []
     usable = lambda d, k: d.where(F.col(k).isNotNull() & F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0))
-    rest = durable(usable(points, "key").select("key", "lat", "lon"))
-    goal = usable(targets, "target").select("target", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    rest = usable(points, "key").select("key", *group, "lat", "lon")
+    goal = usable(targets, "target").select("target", *group, F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    if by:
+        rest = rest.join(goal.select(by).distinct(), by, "left_semi")
+    rest = durable(rest)
     out, metres = None, start_m
     while True:
         home = goal.withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), metres, 2 * metres, False)))
         probe = rest.withColumn("cell", F.explode(_cells(F.col("lat"), F.col("lon"), metres, 2 * metres, True)))
         distance = haversine_m("lat", "lon", "t_lat", "t_lon")
-        found = probe.join(home, "cell").withColumn("metres", distance).where(F.col("metres") <= metres)
+        found = probe.join(home, ["cell", *group]).withColumn("metres", distance).where(F.col("metres") <= metres)
         best = durable(found.groupBy("key").agg(F.min(F.struct("metres", "target")).alias("b")).select("key", "b.target", "b.metres"))
         out = best if out is None else out.unionByName(best)
         rest = durable(rest.join(best, "key", "left_anti"))

@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from darb.plans import data_queries, detail_queries, more_queries, route_queries, run_queries
+from darb.plans import data_queries, detail_queries, driver_queries, more_queries, route_queries, run_queries
 from verify_sql import rows_of
 
 SF = "/root/testdata/sf0.001"
-CORE = {n: (f, m.SQL.get(n)) for m in (route_queries, run_queries, detail_queries, more_queries, data_queries) for n, f in m.QUERIES.items()}
+CORE = {n: (f, m.SQL.get(n)) for m in (route_queries, run_queries, detail_queries, more_queries, driver_queries, data_queries) for n, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
