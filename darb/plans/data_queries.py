@@ -86,6 +86,14 @@ UNION ALL SELECT id, 'crossing', '', n, o ->> '$.strategy' FROM crossing WHERE (
 """
 
 SQL = {
+    # types under each path of a file, merged over array elements; null only where nothing else is
+    "p1_alternatives": """
+WITH f AS (SELECT DISTINCT file_id, family, written_at, payload FROM run_files WHERE json_valid(payload) AND file_id IS NOT NULL),
+t AS (SELECT file_id, family, written_at, regexp_replace(regexp_replace(fullkey, '\\[[0-9]+\\]', '', 'g'), '^\\$\\.?', '') AS field_path, type FROM f, json_tree(payload::JSON) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')),
+k AS (SELECT file_id, family, written_at, replace(field_path, '"', '') AS field_path, CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'NULL' THEN NULL ELSE 'number' END AS tag FROM t WHERE NOT regexp_matches(field_path, '(^|\\.)"?_')),
+s AS (SELECT family, file_id, written_at, field_path, unnest(CASE WHEN count(tag) = 0 THEN ['null'] ELSE list(DISTINCT tag) FILTER (tag IS NOT NULL) END) AS tag FROM k GROUP BY 1, 2, 3, 4)
+SELECT family, field_path, tag, count(*) AS files, arg_min(file_id, (written_at, file_id)) AS first_file_id, min(written_at) AS first_written_at FROM s GROUP BY 1, 2, 3
+""",
     "p5_found": _P5,
     "p3_found": """
 WITH r AS (
