@@ -66,6 +66,23 @@ def shortest_within(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFra
         best = durable(best.unionByName(frontier).groupBy("source", "node").agg(F.min("cost").alias("cost")))
 
 
+def shortest_with_length(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
+    """(source, node, cost, metres): shortest_within() with the metres along the path, of equally cheap paths the shortest's.
+
+    `seeds`: (source, node, cost, metres), `edges`: (u, v, cost, metres), neither cost nor metres negative.
+    """
+    usable = durable(edges.where("cost IS NOT NULL AND cost < double('infinity') AND metres IS NOT NULL").select("u", "v", F.col("cost").alias("w"), F.col("metres").alias("m")))
+    least = lambda d, name: d.where(F.col("cost") <= limit).groupBy("source", "node").agg(F.min(F.struct("cost", "metres")).alias(name))
+    best = durable(least(seeds, "b"))
+    frontier = best
+    while True:
+        step = frontier.join(usable, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (F.col("b.cost") + F.col("w")).alias("cost"), (F.col("b.metres") + F.col("m")).alias("metres"))
+        frontier = durable(least(step, "new").join(best, ["source", "node"], "left").where("b IS NULL OR new < b").select("source", "node", F.col("new").alias("b")))
+        if frontier.isEmpty():
+            return best.select("source", "node", "b.cost", "b.metres")
+        best = durable(best.unionByName(frontier).groupBy("source", "node").agg(F.min("b").alias("b")))
+
+
 def shortest_paths(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, node, before): for each reached (source, node, cost) a node before it on a shortest path; null at the start.
 
@@ -135,8 +152,13 @@ def reachable_with_flag(seeds: DataFrame, edges: DataFrame, limit: float) -> Dat
 def travel_matrix(sources: DataFrame, targets: DataFrame, edges: DataFrame, cutoff: float = 60.0) -> DataFrame:
     """(src, dst, minutes): least minutes from sources to the targets (node) that they reach by the cutoff.
 
-    A source that is a target reaches itself in 0 minutes. A pair that isn't there is unreachable; see pair_times.
+    A source that is a target reaches itself in 0 minutes. A pair that isn't there is unreachable; see pair_times. If the
+    edges have metres, so has the matrix: those along the quickest path.
     """
+    if "metres" in edges.columns:
+        start = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.lit(0.0).alias("metres")).distinct()
+        found = shortest_with_length(start, edges.select("u", "v", F.col("minutes").alias("cost"), "metres"), cutoff)
+        return found.join(targets.select("node"), "node", "left_semi").select(F.col("source").alias("src"), F.col("node").alias("dst"), F.col("cost").alias("minutes"), "metres")
     seeds = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")).distinct()
     found = shortest_within(seeds, edges.select("u", "v", F.col("minutes").alias("cost")), cutoff)
     return found.join(targets.select("node"), "node", "left_semi").select(F.col("source").alias("src"), F.col("node").alias("dst"), F.col("cost").alias("minutes"))
@@ -256,6 +278,50 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return passed.join(edges.where("synthetic").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct(), ["lo", "hi"], "left_semi").select("path_id", "lo", "hi")
 
 
+def last_bearings(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path_id, bearing): the bearing of the last edge of each path (path_id, seq, u, v), of parallel ones the quickest's; null if it is unknown."""
+    quickest = edges.groupBy("u", "v").agg(F.min_by("bearing", "minutes").alias("bearing"))
+    last = paths.groupBy("path_id").agg(F.max_by(F.struct("u", "v"), "seq").alias("e")).select("path_id", "e.u", "e.v")
+    return last.join(quickest, ["u", "v"], "left").select("path_id", "bearing")
+
+
+def candidate_stops(homes: DataFrame, edges: DataFrame, policy: DataFrame, points: DataFrame, most: int = 15) -> DataFrame:
+    """(student_id, node, walk_m, only_crossing, rank): the nodes that each student can walk to, the best first.
+
+    `homes`: (student_id, node, lat, lon, radius, policy_key), `edges`: walk edges (u, v, metres, synthetic, road_class),
+    `policy`: (key, road_class) of the crossings that a key may use, `points`: (node, lat, lon, points) of the nodes that a
+    bus reaches. A student walks `radius` metres at most over plain edges and the crossings that its key may use;
+    only_crossing says that no walk without one gets there. Of the nodes with points the best are kept: more points first,
+    then the shorter walk, then the smaller node. A student with none gets the node nearest by air, at any distance, with
+    null for only_crossing.
+
+    The students of a policy key and a home share their search, so a search goes from homes, not from students.
+    """
+    from darb.operators.spatial import nearest
+
+    keys = [r[0] for r in homes.select("policy_key").where("policy_key IS NOT NULL").distinct().limit(1001).collect()]
+    if len(keys) > 1000:
+        raise ValueError("too many policy keys")
+    top = homes.agg(F.max("radius")).first()[0] or 0.0
+    steps = edges.select("u", "v", F.col("metres").alias("cost"), "synthetic", "road_class")
+    # each key's graph under names of its own, so that one search serves all keys
+    name = lambda key, node: F.struct(key.alias("key"), node.alias("node"))
+    kept = policy.where(F.col("key").isin(keys)).select("key", "road_class").distinct()
+    every = F.explode(F.array(*map(F.lit, keys))) if keys else F.explode(F.array().cast("array<string>"))
+    plain = steps.where("NOT synthetic").select("u", "v", "cost", F.lit(False).alias("flagged"), every.alias("key"))
+    crossed = steps.where("synthetic").join(small_side(kept), "road_class").select("u", "v", "cost", F.lit(True).alias("flagged"), "key")
+    graph_ = plain.unionByName(crossed).select(name(F.col("key"), F.col("u")).alias("u"), name(F.col("key"), F.col("v")).alias("v"), "cost", "flagged")
+    starts = homes.where("node IS NOT NULL AND policy_key IS NOT NULL").select(name(F.col("policy_key"), F.col("node")).alias("node")).distinct().select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"))
+    reached = reachable_with_flag(starts, graph_, float(top)).select(F.col("source.key").alias("policy_key"), F.col("source.node").alias("home"), F.col("node.node").alias("node"), F.col("cost").alias("walk_m"), "only_flagged")
+    met = homes.withColumnRenamed("node", "home").select("student_id", "home", "radius", "policy_key").join(reached, ["policy_key", "home"]).where(F.col("walk_m") <= F.col("radius"))
+    best = Window.partitionBy("student_id").orderBy(F.desc("points"), "walk_m", "node")
+    good = met.join(points.select("node", "points"), "node").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("student_id", "node", "walk_m", F.col("only_flagged").alias("only_crossing"), "rank")
+    good = durable(good)
+    lone = homes.join(good.select("student_id").distinct(), "student_id", "left_anti").select(F.col("student_id").alias("key"), "lat", "lon")
+    far = nearest(lone, points.select(F.col("node").alias("target"), "lat", "lon")).select(F.col("key").alias("student_id"), F.col("target").alias("node"), F.col("metres").alias("walk_m"), F.lit(None).cast("boolean").alias("only_crossing"), F.lit(1).alias("rank"))
+    return good.unionByName(far)
+
+
 def reach_counters(reached: DataFrame) -> DataFrame:
     """(source, reached, by_crossing_only, farthest) of reachable_with_flag()'s rows."""
     return reached.groupBy("source").agg(F.count("*").alias("reached"), F.count_if("only_flagged").alias("by_crossing_only"), F.max("cost").alias("farthest"))

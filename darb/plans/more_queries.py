@@ -242,6 +242,62 @@ def q_incremental_matrix(spark, sf):
     return graph.pair_times(pairs, graph.extend_matrix(some, sources, targets, e, 60.0))
 
 
+@query(
+    _ROAD.replace("WITH", "WITH RECURSIVE", 1)
+    + """, e AS (SELECT u, v, ((u * 5 + v * 3) % 40 + 10)::DOUBLE AS c, ((u * 7 + v) % 50 + 100)::DOUBLE AS m FROM road),
+best(source, node, s) USING KEY (source, node) AS (
+  SELECT s_suppkey::BIGINT, s_suppkey::BIGINT, struct_pack(c := 0.0::DOUBLE, m := 0.0::DOUBLE) FROM supplier WHERE s_suppkey % 20 = 0
+  UNION SELECT p.source, e.v, min(struct_pack(c := p.s.c + e.c, m := p.s.m + e.m)) FROM best p JOIN e ON e.u = p.node LEFT JOIN recurring.best r ON r.source = p.source AND r.node = e.v
+    WHERE p.s.c + e.c <= 60 AND (r.s IS NULL OR struct_pack(c := p.s.c + e.c, m := p.s.m + e.m) < r.s) GROUP BY 1, 2)
+SELECT source AS src, node AS dst, s.c AS minutes, s.m AS metres FROM best WHERE node IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)"""
+)
+def q_travel_matrix(spark, sf):
+    """Minutes, and the metres along the quickest path."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("node"))
+    e = _streets(spark, sf).select("u", "v", F.col("cost").alias("minutes"), ((F.col("u") * 7 + F.col("v")) % 50 + 100).cast("double").alias("metres"))
+    return graph.travel_matrix(s.where("node % 20 = 0"), s.where("node % 3 = 0"), e, 60.0)
+
+
+@query(with_views("route_stops") + ", s AS (SELECT route_id, seq, node_id AS u, lead(node_id) OVER (PARTITION BY route_id ORDER BY seq) AS v FROM route_stops) SELECT route_id AS path_id, ((arg_max(u, seq) * 37 + arg_max(v, seq) * 11) % 360)::DOUBLE AS bearing FROM s WHERE v IS NOT NULL GROUP BY 1")
+def q_last_bearings(spark, sf):
+    s = views.route_stops(spark, sf).withColumn("v", F.lead("node_id").over(Window.partitionBy("route_id").orderBy("seq"))).where("v IS NOT NULL")
+    e = _road(spark, sf).select("u", "v", F.lit(1.0).alias("minutes"), ((F.col("u") * 37 + F.col("v") * 11) % 360).cast("double").alias("bearing"))
+    return graph.last_bearings(s.select(F.col("route_id").alias("path_id"), "seq", F.col("node_id").alias("u"), "v"), e)
+
+
+@query(
+    _ROAD.replace("WITH", "WITH RECURSIVE", 1)
+    + ", " + ", ".join(views.CTES[n] for n in ("students", "stops")) + _STREET
+    + f""", far AS (SELECT p.student_id, t.node_id, {HAVERSINE} AS m FROM students p, stops t),
+home AS (SELECT student_id, arg_min(node_id, (m, node_id)) AS node FROM far GROUP BY 1),
+pol(key, road_class) AS (VALUES ('HIGH', 'primary'), ('HIGH', 'tertiary'), ('MIDDLE', 'tertiary')),
+g AS (SELECT k.key, u, v, metres * 10 AS w, synthetic FROM e, (SELECT DISTINCT stage AS key FROM students) k WHERE NOT synthetic OR EXISTS (SELECT 1 FROM pol WHERE pol.key = k.key AND pol.road_class = e.road_class)),
+starts AS (SELECT DISTINCT stage AS key, node FROM students JOIN home USING (student_id)),
+walk(key, home, node, c) USING KEY (key, home, node) AS (
+  SELECT key, node, node, 0.0::DOUBLE FROM starts
+  UNION SELECT p.key, p.home, g.v, min(p.c + g.w) FROM walk p JOIN g ON g.key = p.key AND g.u = p.node LEFT JOIN recurring.walk r ON r.key = p.key AND r.home = p.home AND r.node = g.v WHERE p.c + g.w <= 300 AND (r.c IS NULL OR p.c + g.w < r.c) GROUP BY 1, 2, 3),
+plain(key, home, node, c) USING KEY (key, home, node) AS (
+  SELECT key, node, node, 0.0::DOUBLE FROM starts
+  UNION SELECT p.key, p.home, g.v, min(p.c + g.w) FROM plain p JOIN g ON g.key = p.key AND g.u = p.node AND NOT g.synthetic LEFT JOIN recurring.plain r ON r.key = p.key AND r.home = p.home AND r.node = g.v WHERE p.c + g.w <= 300 AND (r.c IS NULL OR p.c + g.w < r.c) GROUP BY 1, 2, 3),
+met AS (SELECT s.student_id, w.node, w.c, p.node IS NULL AS only_crossing, w.node % 3 AS points FROM students s JOIN home h USING (student_id) JOIN walk w ON w.key = s.stage AND w.home = h.node AND w.c <= s.radius LEFT JOIN plain p ON p.key = w.key AND p.home = w.home AND p.node = w.node WHERE w.node IN (SELECT node_id FROM stops WHERE node_id % 5 > 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY points DESC, c, node) AS n FROM met)
+SELECT student_id, node, round(c, 4) AS walk_m, only_crossing, n::INT AS rank FROM r WHERE n <= 5
+UNION ALL SELECT student_id, arg_min(node_id, (m, node_id)), round(min(m), 4), NULL, 1 FROM far WHERE node_id % 5 > 0 AND student_id NOT IN (SELECT student_id FROM met) GROUP BY 1"""
+)
+def q_candidate_search(spark, sf):
+    """Stops that each student can walk to over edges and crossings that its stage may use, else the nearest that a bus reaches."""
+    from darb.operators import spatial
+
+    s = views.students(spark, sf)
+    at = views.stops(spark, sf).select(F.col("node_id").cast("bigint").alias("target"), "lat", "lon")
+    home = spatial.nearest(s.withColumnRenamed("student_id", "key"), at).select(F.col("key").alias("student_id"), F.col("target").alias("node"))
+    homes = s.join(home, "student_id").select("student_id", "node", "lat", "lon", "radius", F.col("stage").alias("policy_key"))
+    policy = spark.createDataFrame([("HIGH", "primary"), ("HIGH", "tertiary"), ("MIDDLE", "tertiary")], "key string, road_class string")
+    points = at.where("target % 5 > 0").select(F.col("target").alias("node"), "lat", "lon", (F.col("target") % 3).alias("points"))
+    found = graph.candidate_stops(homes, _edges(spark, sf).withColumn("metres", F.col("metres") * 10), policy, points, 5)
+    return found.withColumn("walk_m", F.round("walk_m", 4))
+
+
 @query(with_views("route_stops") + ", s AS (SELECT route_id, node_id AS a, lead(node_id) OVER (PARTITION BY route_id ORDER BY seq) AS b FROM route_stops) SELECT DISTINCT route_id AS path_id, least(a, b) AS lo, greatest(a, b) AS hi FROM s WHERE b IS NOT NULL AND (a + b) % 3 = 0")
 def q_path_crossings(spark, sf):
     paths = views.route_stops(spark, sf).select(F.col("route_id").alias("path_id"), "seq", F.col("node_id").alias("node"))
