@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from darb.functions.geo import angle_difference, bearing_deg
+from darb.functions.geo import bearing_deg
 from darb.functions.scalars import road_class, speed_kph, travel_minutes, turn_penalty
 from darb.session import durable, small_side
 
@@ -237,35 +237,6 @@ def safest_by_shortest_edge(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.min_by("safe", F.struct("metres", "safe")).alias("safe"))
 
 
-def carriageway_crossings(edges: DataFrame, min_m: float = 6.0, max_m: float = 60.0, opposite: float = 150.0) -> DataFrame:
-    """(name, road_class, a, b, metres): one-to-one pairs of nodes of a road's opposite lanes, nearest first.
-
-    `edges`: (name, road_class, node, lat, lon, bearing). Lanes are opposite if bearings differ by at least
-    `opposite` degrees. Candidates come from an equi join on the road and on grid cells of the largest distance;
-    the greedy choice locks nodes, so a road's candidates (a road's own, filtered) are one grouped-map group.
-    """
-    from darb.functions.geo import haversine_m
-    from darb.operators.spatial import _cells
-
-    side = lambda p: edges.select("name", "road_class", *(F.col(c).alias(f"{c}_{p}") for c in ("node", "lat", "lon", "bearing")))
-    home = side("a").withColumn("cell", F.explode(_cells(F.col("lat_a"), F.col("lon_a"), max_m, 2 * max_m, False)))
-    probe = side("b").withColumn("cell", F.explode(_cells(F.col("lat_b"), F.col("lon_b"), max_m, 2 * max_m, True)))
-    metres = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
-    near = home.join(probe, ["name", "road_class", "cell"]).where("node_a < node_b").withColumn("metres", metres).where(F.col("metres").between(min_m, max_m) & (angle_difference("bearing_a", "bearing_b") >= opposite))
-    pairs = near.select("name", "road_class", F.col("node_a").alias("a"), F.col("node_b").alias("b"), "metres").distinct()
-
-    def lock(pdf):
-        used, keep = set(), []
-        for row in pdf.sort_values(["metres", "a", "b"]).itertuples(index=False):
-            fresh = row.a not in used and row.b not in used
-            keep.append(fresh)
-            if fresh:
-                used.update((row.a, row.b))
-        return pdf.sort_values(["metres", "a", "b"])[keep]
-
-    return pairs.groupBy("name", "road_class").applyInPandas(lock, pairs.schema)
-
-
 def with_bearings(edges: DataFrame) -> DataFrame:
     """Adds the planar bearing of edges with coordinates (lat1, lon1, lat2, lon2)."""
     return edges.withColumn("bearing", bearing_deg("lat1", "lon1", "lat2", "lon2"))

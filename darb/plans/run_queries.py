@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from darb.functions import scalars
-from darb.operators import graph, metrics, solver, spatial, stats
+from darb.operators import crossings, graph, metrics, solver, spatial, stats
 from darb.plans import views
 from darb.plans.route_queries import HAVERSINE, r6
 from darb.plans.views import with_views
@@ -367,10 +367,26 @@ def q_edge_enrichment(spark, sf):
     return graph.enrich_edges(e, types).select("u", "v", r6("minutes"), "safe")
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT (c_custkey % 40)::VARCHAR AS name, c_custkey AS node, 30.0::DOUBLE + ((c_custkey * 7919) % 2001 - 1000) / 10000.0::DOUBLE AS lat, 31.2::DOUBLE + ((c_custkey * 104729) % 2001 - 1000) / 10000.0::DOUBLE AS lon, c_custkey % 80 < 40 AS same FROM customer),
+s AS (SELECT p.*, same = (SELECT q.same FROM p q WHERE q.name = p.name ORDER BY node LIMIT 1) AS a_side FROM p),
+x AS (SELECT name, bool_or(a_side) AND bool_or(NOT a_side) AS two, any_value(CASE WHEN same THEN 300.0 ELSE 120.0 END) FILTER (a_side) AS axis FROM s GROUP BY 1),
+c AS (SELECT s.name, s.node AS a, t.node AS b, x.axis, (s.lat + t.lat) / 2 AS mla, (s.lon + t.lon) / 2 AS mlo,
+    2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(t.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - s.lon) / 2), 2)))) AS metres,
+    degrees(atan2(t.lon - s.lon, t.lat - s.lat)) + 360 AS g FROM s JOIN x ON x.name = s.name AND two JOIN s t ON t.name = s.name AND s.a_side AND NOT t.a_side),
+d AS (SELECT *, abs((axis - (g - 360 * floor(g / 360)) + 180) - 360 * floor((axis - (g - 360 * floor(g / 360)) + 180) / 360) - 180) AS delta FROM c),
+k AS (SELECT *, row_number() OVER (ORDER BY metres, a, b) AS i FROM d WHERE metres BETWEEN 6 AND 3000 AND abs(least(delta, 180 - delta) - 90) <= 30),
+bad AS (SELECT p.i, q.i AS j FROM k p JOIN k q ON p.i < q.i AND (p.a IN (q.a, q.b) OR p.b IN (q.a, q.b) OR (abs(p.mla - q.mla) < 0.01
+   AND 2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(q.mla - p.mla) / 2), 2) + cos(radians(p.mla)) * cos(radians(q.mla)) * pow(sin(radians(q.mlo - p.mlo) / 2), 2)))) < 100))),
+blocks AS (SELECT j AS i, list(i) AS before FROM bad GROUP BY 1),
+walk(i, taken) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL SELECT w.i + 1, CASE WHEN coalesce(list_has_any(w.taken, b.before), false) THEN w.taken ELSE list_append(w.taken, w.i + 1) END FROM walk w JOIN k ON k.i = w.i + 1 LEFT JOIN blocks b ON b.i = w.i + 1)
+SELECT name, 'secondary' AS road_class, a, b, round(metres, 4) AS metres FROM k WHERE i IN (SELECT unnest(taken) FROM walk WHERE i = (SELECT max(i) FROM walk))"""
+)
 def q_carriageway_crossings(spark, sf):
-    at = views.students(spark, sf).select((F.col("student_id") % 40).cast("string").alias("name"), F.lit("secondary").alias("road_class"), F.col("student_id").alias("node"), "lat", "lon", F.when(F.col("student_id") % 80 < 40, 10.0).otherwise(190.0).alias("bearing"))
-    return graph.carriageway_crossings(at, 6.0, 3000.0)
+    at = views.students(spark, sf).select((F.col("student_id") % 40).cast("string").alias("name"), F.lit("secondary").alias("road_class"), F.col("student_id").alias("node"), "lat", "lon", F.when(F.col("student_id") % 80 < 40, 300.0).otherwise(120.0).alias("bearing"))
+    return crossings.carriageway_crossings(at, 6.0, 3000.0).select("name", "road_class", "a", "b", F.round("metres", 4).alias("metres"))
 
 
 # ---------------------------------------------------------------- search and state

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from darb.functions import scalars
 from darb.functions.geo import angle_difference, bearing_deg, crossing_angle_ok, perpendicular_delta, segment_ratio, virtual_node_id
-from darb.operators import graph, metrics, routes, solver, stats
+from darb.operators import crossings, graph, metrics, routes, solver, stats
 
 
 def one(spark, *columns):
@@ -184,8 +184,10 @@ def test_snapping_splits_both_directions(spark):
 def test_greedy_crossings_lock_nodes(spark):
     rows = [("r", "secondary", n, 30.0, 31.0 + x, b) for n, x, b in [("a", 0.0, 0.0), ("b", 0.0001, 180.0), ("c", 0.00025, 0.0), ("d", 0.0004, 180.0)]] + [("q", "secondary", "z", 30.0, 31.0, 180.0)]
     df = spark.createDataFrame(rows, "name string, road_class string, node string, lat double, lon double, bearing double")
-    got = sorted((r.a, r.b) for r in graph.carriageway_crossings(df).collect())
+    # lanes go north and south, the ways across east; midpoints are 30 m apart, so the spacing takes the second pair
+    got = sorted((r.a, r.b) for r in crossings.carriageway_crossings(df, spacing_m=0.0).collect())
     assert got == [("a", "b"), ("c", "d")]
+    assert [(r.a, r.b) for r in crossings.carriageway_crossings(df).collect()] == [("a", "b")]
 
 
 def test_ranks_wilcoxon_and_holm(spark):
