@@ -208,13 +208,20 @@ def within(points: DataFrame, targets: DataFrame) -> DataFrame:
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:
     """(key, box) for points (key, x, y) in boxes (box, x1, y1, x2, y2), edges included: a range join by grid cells.
 
-    A box is put into every cell that it overlaps, a point has one cell, so a match comes out once. `cell` should be
-    about a box's size; it changes the work, not the result.
+    Cells come in levels, each twice as wide as the one before; a box is put into the few cells that it overlaps at the
+    level of its size, a point has one cell at each level that any box has, so a match comes out once and a huge box
+    is a few rows. `cell` should be about the usual box's size; it changes the work, not the result. Boxes that aren't
+    finite hold nothing.
     """
-    at = lambda v: F.floor(v / cell).cast("bigint")
-    ok = boxes.where("x1 <= x2 AND y1 <= y2").withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.col("x2"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2")))))
-    p = points.select("key", "x", "y", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy"))
-    return p.join(ok, ["cx", "cy"]).where("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2").select("key", "box")
+    finite = " AND ".join(f"abs({c}) < double('infinity')" for c in ("x1", "x2", "y1", "y2"))
+    level = F.greatest(F.lit(0), F.ceil(F.coalesce(F.log2(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / cell), F.lit(0.0)))).cast("int")
+    at = lambda v: F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))).cast("bigint")
+    ok = boxes.where(f"x1 <= x2 AND y1 <= y2 AND {finite}").withColumn("level", level)
+    levels = sorted(r[0] for r in ok.select("level").distinct().collect())  # as many as a double's exponents at most
+    ok = ok.withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.col("x2"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2")))))
+    every = F.explode(F.array(*map(F.lit, levels))) if levels else F.explode(F.array().cast("array<int>"))
+    p = points.select("key", "x", "y", every.alias("level")).select("key", "x", "y", "level", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy"))
+    return p.join(ok, ["level", "cx", "cy"]).where("x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2").select("key", "box")
 
 
 def nearest_edges(points: DataFrame, edges: DataFrame, reach_deg: float = 0.005) -> DataFrame:

@@ -69,6 +69,16 @@ def test_hot_cells_and_crowds_lose_and_repeat_nothing(spark, monkeypatch, cell_r
     assert spatial.near_classes(points(spark, rows).limit(0), 5.0).count() == 0
 
 
+def test_boxes_of_all_sizes(spark):
+    rng = random.Random(6)
+    boxes = [(k, x, y, x + w, y + h) for k in range(80) for x, y, w, h in [(rng.uniform(-5, 5), rng.uniform(-5, 5), 10 ** rng.uniform(-4, 1), 10 ** rng.uniform(-4, 1))]] + [(900, -1e6, -1e6, 1e6, 1e6), (901, 1.0, 1.0, 1.0, 1.0), (902, 2.0, 0.0, 1.0, 1.0), (903, 0.0, 0.0, float("inf"), 1.0), (904, None, 0.0, 1.0, 1.0)]
+    pts = [(k, rng.uniform(-6, 6), rng.uniform(-6, 6)) for k in range(200)] + [(500, 1.0, 1.0), (501, None, 0.0), (502, float("nan"), 0.0)]
+    got = [tuple(r) for r in points_in_boxes(spark.createDataFrame(pts, "key int, x double, y double"), spark.createDataFrame(boxes, "box int, x1 double, y1 double, x2 double, y2 double")).collect()]
+    want = {(k, b) for k, x, y in pts[:201] for b, x1, y1, x2, y2 in boxes[:82] if x1 <= x <= x2 and y1 <= y <= y2}
+    assert len(got) == len(set(got)) and set(got) == want and (500, 901) in want
+    assert points_in_boxes(spark.createDataFrame(pts, "key int, x double, y double"), spark.createDataFrame(boxes, "box int, x1 double, y1 double, x2 double, y2 double").limit(0)).count() == 0
+
+
 def test_strips_are_salted_by_their_points(spark, monkeypatch):
     monkeypatch.setattr(spatial, "BROADCAST_ROWS", 3)
     monkeypatch.setattr(spatial, "STRIP_ROWS", 5)
