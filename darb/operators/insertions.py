@@ -6,8 +6,8 @@ through Arrow batches, in which legs meet the block's nodes as arrays. A task ke
 costs for each node and gives them out once, so what is shuffled is tasks x nodes, never a position. What a position
 costs depends on the node, not on the student, so students take over the sums of their nodes by a join.
 
-Minutes between any two nodes come from a function of two arrays of nodes (infinite if unreachable). Where
-minutes exist as a table only, `routes.insertion_costs` joins it.
+Minutes between any two nodes come from a function of two arrays of nodes (infinite if unreachable). A ClassedPrice,
+whose minutes depend on classes of the nodes, is worked out by class instead of by node; see `classed`. Where minutes exist as a table only, `routes.insertion_costs` joins it.
 
 Who may be put where: a student rides at most its cap. With rule 'am' the morning ride counts, with 'either' the
 morning ride or the ride back on the route run backwards (the default), with 'both' the two of them. Riders who
@@ -21,12 +21,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from darb.operators.classed import ClassedPrice, best_by_class, cheapest_by_class, with_kinds
 from darb.session import durable, shuffle_partitions
 
 NODE_BLOCK, PRICES, CELLS, SLACK = 200_000, 2_000_000, 250_000, 1e-9
+#: By classes of nodes only with so many different caps at most, which are columns of a histogram.
+CLASSED_CAPS = 64
 Price = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -55,27 +60,33 @@ class _Legs:
     """The legs of a batch of routes as arrays, in order of routes and positions."""
 
     def __init__(self, batch: pa.RecordBatch):
-        columns = [batch.column(i).to_pylist() for i in range(7)]
-        order = sorted(range(batch.num_rows), key=columns[0].__getitem__)
-        n = len(order)
-        width = max((len(columns[2][k]) for k in order), default=0)
-        pad = lambda lists, size, fill: np.array([[fill if x is None else x for x in lists[k]] + [fill] * (size - len(lists[k])) for k in order], np.float64).reshape(n, size)
-        self.ids = [columns[0][k] for k in order]
-        lengths = np.array([len(columns[2][k]) for k in order], np.int64)
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
+        n = batch.num_rows
+        lengths = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        width = int(lengths.max(initial=0))
         live = np.arange(width) < lengths[:, None]
-        minutes, back = pad(columns[2], width, np.nan), pad(columns[3], width, np.nan)  # unknown legs are NaN, which no comparison passes
-        caps = pad(columns[4], width, np.inf)
-        nodes = np.array([columns[1][k] + [0] * (width + 1 - len(columns[1][k])) for k in order], np.int64).reshape(n, width + 1)
+
+        def pad(i: int, fill: float, at: np.ndarray = live) -> np.ndarray:
+            out = np.full(at.shape, fill)
+            out[at] = batch.column(i).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls are NaN
+            return out
+
+        self.ids = batch.column(0).to_pylist()
+        minutes, back = pad(2, np.nan), pad(3, np.nan)  # unknown legs are NaN, which no comparison passes
+        caps = pad(4, np.inf)
+        nodes = np.zeros((n, width + 1), np.int64)
+        nodes[np.arange(width + 1) < (lengths + (lengths > 0))[:, None]] = pc.fill_null(batch.column(1).flatten(), 0).to_numpy(zero_copy_only=False)
         suffix = lambda x: np.cumsum(np.where(live, x, 0.0)[:, ::-1], axis=1)[:, ::-1]
         self.morning, evening = suffix(minutes), suffix(back)
         after = lambda x: np.concatenate([x[:, 1:], np.zeros((n, 1))], axis=1)  # noqa: E731  the ride from the leg's end on
         self.route, self.position = np.nonzero(live & np.isfinite(minutes))
         pick = lambda x: x[self.route, self.position]
-        self.seq = pick(pad(columns[5], width, 0.0)).astype(np.int64)
+        self.seq = pick(pad(5, 0.0)).astype(np.int64)
         self.src, self.dst, self.uv = nodes[self.route, self.position], nodes[self.route, self.position + 1], pick(minutes)
         self.rest, self.rest_back = pick(after(self.morning)), pick(after(evening))
         self.back, self.caps = back, caps
-        self.most = np.array([columns[6][k] for k in order], np.float64)
+        self.most = batch.column(6).to_numpy(zero_copy_only=False).astype(np.float64)
 
     def riders(self, legs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(which of the legs, the minutes left of a rider's cap in the morning, and on the way back but for what lies between the leg's end and start).
@@ -88,9 +99,8 @@ class _Legs:
             if len(on):
                 cap = self.caps[route[on], stop]
                 # on the way back: from the leg's start to this stop, leg by leg
-                steps = np.arange(self.back.shape[1])
-                between = np.where((steps >= stop) & (steps < position[on][:, None]), self.back[route[on]], 0.0).sum(axis=1)
-                yield on, cap - self.morning[route[on], stop], cap - between
+                along = np.concatenate([np.zeros((len(self.back), 1)), np.cumsum(self.back[:, stop:], axis=1)], axis=1)
+                yield on, cap - self.morning[route[on], stop], cap - along[route[on], position[on] - stop]
 
 
 class _Prices:
@@ -236,6 +246,41 @@ def _in_blocks(items: DataFrame, columns: list[str], rows: DataFrame, make: Call
     return out
 
 
+def _named(items: DataFrame, price: ClassedPrice) -> tuple[DataFrame, np.ndarray] | None:
+    """`items` (node_id, ...) with the kind of each node, and the kinds there are; None if those are no fewer than a block."""
+    named = durable(items.mapInArrow(with_kinds(price, 0), StructType([*items.schema.fields, StructField("kind", LongType())])))
+    kinds = named.select("kind").distinct().limit(NODE_BLOCK + 1).toPandas()["kind"].to_numpy(np.int64)
+    return (named, np.sort(kinds)) if len(kinds) <= NODE_BLOCK else None
+
+
+def _few_tasks(rows: DataFrame) -> DataFrame:
+    """A task gives out a row for each kind, so there are only as many as keep all cores busy."""
+    return rows.coalesce(max(1, 2 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def _best_classed(rows: DataFrame, items: DataFrame, price: ClassedPrice, rule: str) -> DataFrame | None:
+    if (found := _named(items, price)) is None:
+        return None
+    named, kinds = found
+    caps = [r[0] for r in named.where("NOT isnan(cap_min)").select("cap_min").distinct().limit(CLASSED_CAPS + 1).collect()]
+    if len(caps) > CLASSED_CAPS:
+        return None
+    schema = "kind bigint, cap_min double, options bigint, delta double, route_id bigint, seq bigint"
+    each = _few_tasks(rows).mapInArrow(best_by_class(kinds, np.sort(np.array(caps, np.float64)), price, rule, _Legs, SLACK), schema)
+    best = each.groupBy("kind", "cap_min").agg(F.sum("options").alias("options"), F.min(F.struct("delta", "route_id", "seq")).alias("b"))
+    return named.join(best, ["kind", "cap_min"]).select("node_id", "cap_min", "options", "b.*")
+
+
+def _cheapest_classed(rows: DataFrame, nodes: DataFrame, price: ClassedPrice, k: int) -> DataFrame | None:
+    """(node_id, route_id, delta) of the k cheapest routes of each node."""
+    if (found := _named(nodes, price)) is None:
+        return None
+    named, kinds = found
+    each = _few_tasks(rows).mapInArrow(cheapest_by_class(kinds, price, k, _Legs), "kind bigint, route_id bigint, delta double")
+    first = each.withColumn("__n", F.row_number().over(Window.partitionBy("kind").orderBy("delta", "route_id"))).where(F.col("__n") <= k)
+    return named.join(first, "kind").select("node_id", "route_id", "delta")
+
+
 def best_positions(rows: DataFrame, items: DataFrame, price: Price, rule: str = "either") -> DataFrame:
     """(node_id, cap_min, options, delta, route_id, seq) of each (node_id, cap_min) of `items` that fits anywhere in route_rows.
 
@@ -245,6 +290,10 @@ def best_positions(rows: DataFrame, items: DataFrame, price: Price, rule: str =
     """
     schema = "node_id bigint, cap_min double, options bigint, delta double, route_id bigint, seq bigint"
     usable = items.where("node_id IS NOT NULL AND cap_min IS NOT NULL").select(F.col("node_id").cast("bigint").alias("node_id"), F.col("cap_min").cast("double").alias("cap_min")).distinct()
+    if isinstance(price, ClassedPrice):
+        classed = _best_classed(rows.where("route_id IS NOT NULL"), usable, price, rule)
+        if classed is not None:
+            return classed
     found = _in_blocks(usable, ["node_id", "cap_min"], rows.where("route_id IS NOT NULL"), lambda c: _best(c[0].astype(np.int64), c[1].astype(np.float64), price, rule), schema)
     best = F.min(F.struct("delta", "route_id", "seq")).alias("b")
     return found.groupBy("node_id", "cap_min").agg(F.sum("options").alias("options"), best).select("node_id", "cap_min", "options", "b.*")
@@ -261,5 +310,8 @@ def cheapest_routes(rows: DataFrame, candidates: DataFrame, price: Price, k: int
     Each node of a student keeps its k cheapest routes; the student's are among those.
     """
     nodes = candidates.where("node_id IS NOT NULL").select(F.col("node_id").cast("bigint").alias("node_id")).distinct()
-    found = _in_blocks(nodes, ["node_id"], rows.where("route_id IS NOT NULL"), lambda c: _cheapest_routes(c[0].astype(np.int64), price, k), "node_id bigint, route_id bigint, delta double")
+    rows = rows.where("route_id IS NOT NULL")
+    found = _cheapest_classed(rows, nodes, price, k) if isinstance(price, ClassedPrice) else None
+    if found is None:
+        found = _in_blocks(nodes, ["node_id"], rows, lambda c: _cheapest_routes(c[0].astype(np.int64), price, k), "node_id bigint, route_id bigint, delta double")
     return candidates.join(found, "node_id").select("student_id", "route_id", "delta")

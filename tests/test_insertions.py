@@ -6,8 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from darb.operators import classed, routes
 from darb.operators import insertions as ins
-from darb.operators import routes
 
 INF = math.inf
 
@@ -102,3 +102,55 @@ def test_rides_both_ways(spark, case):
         morning, evening = rides([n for n, _ in row])
         for k in range(1, len(row) - 1):
             assert got[r, k] == (pytest.approx(morning[k]), pytest.approx(evening[k]))
+
+
+class ByClassOnly(classed.ClassedPrice):
+    def __call__(self, src, dst):
+        raise AssertionError("priced node by node")
+
+
+def by_class():
+    a, g = np.arange(40), np.arange(11)
+    return ByClassOnly(lambda x: x % 40, lambda x: x % 11, (a[:, None] * 7 + a * 13) % 40 / 4 + 1.0, (g[:, None] * 5 + g * 3) % 11 == 0)
+
+
+@pytest.mark.parametrize("rule", ["free", "am", "either", "both"])
+@pytest.mark.parametrize("sizes", [None, (40, 10, 7, 4)])
+def test_positions_by_class(spark, case, monkeypatch, rule, sizes):
+    """A leg is priced once for all nodes of a class (more nodes than classes), with the results of pricing every node."""
+    from pyspark.sql import functions as F
+
+    everything, stops, od = case
+    rows = ins.route_rows(routes.legs_both_ways(stops, od, ("cap",)), F.col("cap"))
+    asked = [(n, c) for n in (*range(14), 40, 43, 87, 440, 443) for c in (5.0, 15.0, 22.5, 40.0, INF)]
+    for name, size in zip(("GATHER", "FIRST", "CHUNK", "SORTED"), sizes or ()):
+        monkeypatch.setattr(classed, name, size)
+    read = list(rows.toArrow().to_batches(max_chunksize=7))
+    nodes = np.array(sorted({n for n, _ in asked}))
+    price = by_class()
+    kinds, caps = np.unique(price.kinds(nodes)), np.array([5.0, 15.0, 22.5, 40.0, INF])
+    (out,) = classed.best_by_class(kinds, caps, price, rule, ins._Legs, ins.SLACK)(iter(read))
+    of_kind = {(r["kind"], r["cap_min"]): (r["options"], round(r["delta"], 6), r["route_id"], r["seq"]) for r in out.to_pylist()}
+    got = {(n, c): found for n, c in asked if (found := of_kind.get((price.kinds(np.array([n]))[0], c)))}
+    want = {(n, c): (b[0], round(b[1], 6), b[2], b[3]) for n, c in asked if (b := brute(everything, n, c, rule))}
+    assert got == want and len(want) > 30
+    if sizes is None:
+        found = ins.best_positions(rows, spark.createDataFrame(asked, "node_id bigint, cap_min double"), price, rule).collect()
+        assert {(r.node_id, r.cap_min): (r.options, round(r.delta, 6), r.route_id, r.seq) for r in found} == want
+
+
+@pytest.mark.parametrize("sizes", [None, (40, 10, 7, 4)])
+def test_cheapest_routes_by_class(spark, case, monkeypatch, sizes):
+    everything, stops, od = case
+    rows = ins.route_rows(routes.legs(stops, od))
+    for name, size in zip(("GATHER", "FIRST", "CHUNK", "SORTED"), sizes or ()):
+        monkeypatch.setattr(classed, name, size)
+    price, nodes = by_class(), np.array([0, 3, 7, 12, 40, 43, 87])
+    per = {n: sorted((round(x[1], 6), r) for r, s in everything.items() if (x := brute({r: s}, n, INF, "free")))[:3] for n in map(int, nodes)}
+    (out,) = classed.cheapest_by_class(np.unique(price.kinds(nodes)), price, 3, ins._Legs)(iter(rows.toArrow().to_batches(max_chunksize=7)))
+    for n in per:
+        kind = price.kinds(np.array([n]))[0]
+        assert sorted((round(r["delta"], 6), r["route_id"]) for r in out.to_pylist() if r["kind"] == kind) == per[n]
+    if sizes is None:
+        found = ins.cheapest_routes(rows, spark.createDataFrame([(f"s{n}", n) for n in per], "student_id string, node_id bigint"), price, 3).collect()
+        assert {n: sorted((round(r.delta, 6), r.route_id) for r in found if r.student_id == f"s{n}") for n in per} == per
