@@ -175,18 +175,22 @@ def nearest(points: DataFrame, targets: DataFrame, start_m: float = 250.0, by: s
     goal = usable(targets, "target").select("target", *group, F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     if by:
         rest = rest.join(goal.select(by).distinct(), by, "left_semi")
-    rest = durable(rest)
+    everyone = durable(rest)
+    # equal locations are searched once, and of equal targets the least counts
+    place = ["lat", "lon", *group]
+    rest = durable(everyone.select(*place).distinct())
+    goal = goal.groupBy(*group, "t_lat", "t_lon").agg(F.min("target").alias("target"))
     out, metres = None, start_m
     while True:
         home = goal.withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), metres, 2 * metres, False)))
         probe = rest.withColumn("cell", F.explode(_cells(F.col("lat"), F.col("lon"), metres, 2 * metres, True)))
         distance = haversine_m("lat", "lon", "t_lat", "t_lon")
         found = probe.join(home, ["cell", *group]).withColumn("metres", distance).where(F.col("metres") <= metres)
-        best = durable(found.groupBy("key").agg(F.min(F.struct("metres", "target")).alias("b")).select("key", "b.target", "b.metres"))
+        best = durable(found.groupBy(*place).agg(F.min(F.struct("metres", "target")).alias("b")).select(*place, "b.target", "b.metres"))
         out = best if out is None else out.unionByName(best)
-        rest = durable(rest.join(best, "key", "left_anti"))
+        rest = durable(rest.join(best, place, "left_anti"))
         if metres > math.pi * EARTH_M or rest.isEmpty():
-            return out
+            return everyone.join(small_side(out), place).groupBy("key").agg(F.min(F.struct("metres", "target")).alias("b")).select("key", "b.target", "b.metres")
         metres *= 4
 
 
@@ -199,10 +203,12 @@ def within(points: DataFrame, targets: DataFrame) -> DataFrame:
     at = usable(points, "key").where("radius >= 0").select("key", "lat", "lon", "radius")
     most = max(at.agg(F.max("radius")).first()[0] or 0.0, 1.0)
     goal = usable(targets, "target").select("target", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    home = goal.withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), most, 2 * most, False)))
-    probe = at.withColumn("cell", F.explode(_cells(F.col("lat"), F.col("lon"), most, 2 * most, True)))
+    # pairs of locations first, so that equal ones are compared once
+    home = goal.select("t_lat", "t_lon").distinct().withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), most, 2 * most, False)))
+    probe = at.select("lat", "lon", "radius").distinct().withColumn("cell", F.explode(_cells(F.col("lat"), F.col("lon"), most, 2 * most, True)))
     found = probe.join(home, "cell").withColumn("metres", haversine_m("lat", "lon", "t_lat", "t_lon"))
-    return found.where("metres <= radius").select("key", "target", "metres")
+    close = durable(found.where("metres <= radius").select("lat", "lon", "radius", "t_lat", "t_lon", "metres"))
+    return at.join(small_side(close), ["lat", "lon", "radius"]).join(goal, ["t_lat", "t_lon"]).select("key", "target", "metres")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:

@@ -207,3 +207,21 @@ def test_points_in_boxes(spark):
     b = spark.createDataFrame([(1, 0.0, 0.0, 0.2, 0.1), (2, -0.3, -0.3, 0.0, 0.0), (3, 1.0, 1.0, 0.0, 0.0)], "box int, x1 double, y1 double, x2 double, y2 double")
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.15, 0.1), (3, 0.5, 0.5), (4, None, 0.0)], "key int, x double, y double")
     assert sorted(map(tuple, points_in_boxes(p, b).collect())) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_equal_locations_are_compared_once(spark, monkeypatch):
+    """Many points and targets at few places: distances are worked out between places, ties go to the least target."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+    place = [(30.0 + k / 1000, 31.0) for k in range(5)]
+    points = spark.createDataFrame([(k, *place[k % 5], 150.0) for k in range(400)], "key bigint, lat double, lon double, radius double")
+    targets = spark.createDataFrame([(k, *place[k % 5]) for k in range(300)], "target bigint, lat double, lon double")
+    compared = F.udf(lambda x: seen.add(1) or x, "double").asNondeterministic()
+    real = spatial.haversine_m
+    monkeypatch.setattr(spatial, "haversine_m", lambda *a: compared(real(*a)))
+    near = spatial.nearest(points, targets).collect()
+    assert {(r.key, r.target, r.metres) for r in near} == {(k, k % 5, 0.0) for k in range(400)}
+    all_ = spatial.within(points, targets).collect()
+    assert {(r.key, r.target) for r in all_} == {(k, t) for k in range(400) for t in range(300) if abs(k % 5 - t % 5) <= 1}
+    assert len(all_) == len({(r.key, r.target) for r in all_}) and seen.value < 1000
