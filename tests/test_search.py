@@ -60,3 +60,40 @@ def test_turns_of_a_junction_are_no_table(spark, monkeypatch):
     turned = lambda k: abs((5 - k % 360 + 180) % 360 - 180)
     assert got == pytest.approx({5: 0.0, 0: 1.0} | {k + 1000: 2.0 if turned(k) <= 45 else 2.2 for k in range(1, 1001) if turned(k) <= 140})
     assert max(kept) <= 2000
+
+
+def no_rounds(monkeypatch, names):
+    def fails(*_):
+        raise AssertionError("rounds of joins")
+
+    for name in names:
+        monkeypatch.setattr(graph, name, fails)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def messy(spark, seed):
+    """Streets with parallel edges, costs of 0, loops and edges that don't exist."""
+    e, _ = streets(spark, 30, 120, seed)
+    e = e.selectExpr("u", "v", "CASE WHEN u % 7 = 0 THEN 0.0D ELSE minutes END AS cost", "metres")
+    return e.unionByName(spark.createDataFrame([(1, 2, None, 1.0), (1, 2, float("inf"), 1.0), (1, 3, float("nan"), 1.0)], e.schema))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_matrices_are_those_of_rounds(spark, monkeypatch, seed):
+    e = messy(spark, seed)
+    seeds = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.5, 3.0), (7, 7, 0.0, 0.0), (99, 99, 0.0, 0.0), (8, 8, 50.0, 0.0)], "source bigint, node bigint, cost double, metres double")
+    want = rows_of(graph._rounds_with_length(seeds, e, 5.0)), rows_of(graph._rounds(seeds, e, 5.0))
+    people = spark.createDataFrame([(1,), (7,), (99,)], "node bigint")
+    goals = spark.createDataFrame([(k,) for k in (1, 3, 6, 9, 12, 99, 99, 500)], "node bigint")
+    ways = e.withColumnRenamed("cost", "minutes")
+    start = people.selectExpr("node AS source", "node", "0.0D AS cost", "0.0D AS metres")
+    wanted = rows_of(graph._rounds_with_length(start, e, 5.0).join(goals, "node", "left_semi").select("source", "node", "cost", "metres"))
+    no_rounds(monkeypatch, ["_rounds", "_rounds_with_length"])
+    assert rows_of(graph.shortest_with_length(seeds, e, 5.0)) == want[0]
+    assert rows_of(graph.shortest_within(seeds.drop("metres"), e, 5.0)) == want[1]
+    assert rows_of(graph.travel_matrix(people, goals, ways, 5.0)) == wanted
+    assert rows_of(graph.shortest_within(seeds.limit(0), e, 5.0)) == []
+    assert rows_of(graph.shortest_within(seeds.where("source = 1").drop("metres"), e.limit(0), 5.0)) == [(1, 1, 0.0), (1, 2, 0.5)]
