@@ -212,8 +212,7 @@ SELECT b.source, b.node, min(p.node) AS before FROM best b LEFT JOIN (SELECT x.s
 )
 def q_shortest_path_steps(spark, sf):
     s = table(spark, sf, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").cast("bigint").alias("source"), F.col("s_suppkey").cast("bigint").alias("node"), F.lit(0.0).alias("cost"))
-    e = _streets(spark, sf)
-    return graph.shortest_paths(graph.shortest_within(s, e, 60.0), e)
+    return graph.shortest_steps(s, _streets(spark, sf), 60.0)
 
 
 @query("SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS elapsed FROM events")

@@ -97,3 +97,12 @@ def test_matrices_are_those_of_rounds(spark, monkeypatch, seed):
     assert rows_of(graph.travel_matrix(people, goals, ways, 5.0)) == wanted
     assert rows_of(graph.shortest_within(seeds.limit(0), e, 5.0)) == []
     assert rows_of(graph.shortest_within(seeds.where("source = 1").drop("metres"), e.limit(0), 5.0)) == [(1, 1, 0.0), (1, 2, 0.5)]
+
+
+def test_steps_are_those_of_rounds(spark, monkeypatch):
+    e = messy(spark, 5)
+    seeds = spark.createDataFrame([(1, 1, 0.0), (7, 7, 0.0), (99, 99, 0.0)], "source int, node int, cost double")
+    want = rows_of(graph.shortest_paths(graph._rounds(seeds, e, 5.0), e))
+    no_rounds(monkeypatch, ["_rounds", "shortest_paths"])
+    got = graph.shortest_steps(seeds, e, 5.0)
+    assert rows_of(got) == want and len({r[2] for r in want}) > 5
