@@ -12,6 +12,8 @@ order, with no task for a whole road; rounds are as many as the longest chain of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from darb.session import durable
 
 #: The distance of a crossing that nothing else gives, how near a node is the same, in metres.
 GUARANTEED_M, SAME_NODE_M = 6.0, 1.5
+#: Candidates whose conflicts are looked up together at first, and the conflicts that are aimed at then.
+BATCH, CONFLICTS = 10_000, 3_000_000
 
 
 def sides(nodes: DataFrame, opposite: float = 150.0) -> DataFrame:
@@ -36,19 +40,53 @@ def sides(nodes: DataFrame, opposite: float = 150.0) -> DataFrame:
     return sided.join(axes.drop("__b"), ["name", "road_class"])
 
 
+def _blocked(left: DataFrame, stand: DataFrame, nodes: list[str], spacing_m: float) -> DataFrame:
+    """`left` without the candidates that share a node with one of `stand` or have their midpoint within the spacing of it."""
+    ends = stand.select(F.explode(F.array(*nodes)).alias("__n")).distinct()
+    for n in nodes:
+        left = left.join(ends.withColumnRenamed("__n", n), n, "left_anti")
+    return _apart(left, stand, spacing_m)
+
+
+def _apart(left: DataFrame, taken: DataFrame, spacing_m: float) -> DataFrame:
+    """`left` without the candidates whose midpoint is within the spacing of one of `taken` (mid_lat, mid_lon)."""
+    if spacing_m <= 0:
+        return left
+    cell = lambda d, lat, lon, probe: d.withColumn("__c", F.explode(_cells(F.col(lat), F.col(lon), spacing_m, 2 * spacing_m, probe)))
+    old = cell(taken.select(F.col("mid_lat").alias("__la"), F.col("mid_lon").alias("__lo")).distinct(), "__la", "__lo", False)
+    close = cell(left.select("mid_lat", "mid_lon").distinct(), "mid_lat", "mid_lon", True).join(old, "__c").where(haversine_m("mid_lat", "mid_lon", "__la", "__lo") < spacing_m).select("mid_lat", "mid_lon").distinct()
+    return left.join(close, ["mid_lat", "mid_lon"], "left_anti")
+
+
 def greedy(candidates: DataFrame, order: list[Column], nodes: list[str], spacing_m: float, taken: DataFrame | None = None) -> DataFrame:
     """The candidates (..., mid_lat, mid_lon) that stand when all are gone through in `order`: none shares a node (the columns in `nodes`) or has its midpoint within `spacing_m` of one that stands.
 
     `order` must be total. `taken` (mid_lat, mid_lon) stand already. With a spacing of 0 only nodes count.
+
+    They are taken in stretches of the order, the first of BATCH: what a stretch leaves standing rules out most of those
+    behind it before their conflicts are looked up, so conflicts are pairs within a stretch, never all pairs. Stretches
+    grow or shrink with the conflicts met; where they end changes no result.
     """
-    rank = F.struct(*order)
-    left = candidates.withColumn("__o", rank).withColumn("__id", F.sha2(F.to_json(F.struct(F.col("__o"))), 256))
-    if taken is not None and spacing_m > 0:
-        cell = lambda d, lat, lon, probe: d.withColumn("__c", F.explode(_cells(F.col(lat), F.col(lon), spacing_m, 2 * spacing_m, probe)))
-        old = cell(taken.select(F.col("mid_lat").alias("__la"), F.col("mid_lon").alias("__lo")).distinct(), "__la", "__lo", False)
-        close = cell(left, "mid_lat", "mid_lon", True).join(old, "__c").where(haversine_m("mid_lat", "mid_lon", "__la", "__lo") < spacing_m).select("__id").distinct()
-        left = left.join(close, "__id", "left_anti")
-    left = durable(left)
+    columns = candidates.columns
+    left = candidates.withColumn("__o", F.struct(*order))
+    left = durable(_apart(left, taken, spacing_m) if taken is not None else left)
+    stand, size = None, BATCH
+    while True:
+        rest, now = left.count(), left
+        if rest > size:
+            now = durable(left.orderBy("__o").limit(size))
+            left = left.join(F.broadcast(now.agg(F.max("__o").alias("__last"))), F.col("__o") > F.col("__last")).drop("__last")
+        held, met = _settled(now, nodes, spacing_m)
+        stand = held if stand is None else durable(stand.unionByName(held))
+        if rest <= size:
+            return stand.select(*columns)
+        left = durable(_blocked(left, held, nodes, spacing_m))
+        size = max(BATCH, int(size * min(4.0, math.sqrt(CONFLICTS / max(1, met)))))
+
+
+def _settled(left: DataFrame, nodes: list[str], spacing_m: float) -> tuple[DataFrame, int]:
+    """greedy() of candidates with their order in __o, by rounds over all their conflicts, and how many those are."""
+    left = durable(durable(left).withColumn("__id", F.monotonically_increasing_id()))
     # conflicts, with the earlier one first
     ends = left.select("__id", "__o", F.explode(F.array(*nodes)).alias("__n"))
     shared = ends.alias("x").join(ends.alias("y"), "__n").where("x.__o < y.__o").select(F.col("x.__id").alias("a"), F.col("y.__id").alias("b"))
@@ -62,6 +100,7 @@ def greedy(candidates: DataFrame, order: list[Column], nodes: list[str], spacing
         near = both.unionByName(same, allowMissingColumns=True).select(F.when(first, F.col("__id_a")).otherwise(F.col("__id_b")).alias("a"), F.when(first, F.col("__id_b")).otherwise(F.col("__id_a")).alias("b"))
         shared = shared.unionByName(near)
     conflicts = durable(shared.distinct())
+    met = conflicts.count()
     open_ = durable(left.select("__id"))
     stand = None
     while not open_.isEmpty():
@@ -71,7 +110,7 @@ def greedy(candidates: DataFrame, order: list[Column], nodes: list[str], spacing
         open_ = durable(open_.join(now, "__id", "left_anti").join(falls, "__id", "left_anti"))
         live = open_.select("__id")
         conflicts = durable(conflicts.join(live.withColumnRenamed("__id", "a"), "a", "left_semi").join(live.withColumnRenamed("__id", "b"), "b", "left_semi").select("a", "b"))
-    return left.join(stand if stand is not None else open_, "__id", "left_semi").drop("__o", "__id")
+    return durable(left.join(stand if stand is not None else open_, "__id", "left_semi").drop("__id")), met
 
 
 def carriageway_crossings(nodes: DataFrame, min_m: float = 6.0, max_m: float = 60.0, opposite: float = 150.0, spacing_m: float = 100.0, off_right_angle: float = 30.0) -> DataFrame:

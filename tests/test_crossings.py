@@ -70,3 +70,17 @@ def test_nodes_left_over_get_a_projected_or_guaranteed_crossing(spark):
     tight = {r.a: r.kind for r in cr.fallback_crossings(nodes, segments, real, spacing_m=300.0).collect()}
     assert tight[3] == "projected_no_spacing" and set(tight) == {3, 4, 6}
     assert cr.fallback_crossings(nodes.limit(0), segments, real).count() == cr.carriageway_crossings(nodes.limit(0)).count() == 0
+
+
+def test_stretches_change_no_result_and_keep_conflicts_few(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"{k % 3}", "secondary", k, 30.0 + rng.randrange(30) * 1e-4, 31.0 + rng.randrange(30) * 1e-4, 0.0 if k % 2 else 180.0) for k in range(240)]
+    nodes = spark.createDataFrame(rows, NODES)
+    most, settled = [], cr._settled
+    monkeypatch.setattr(cr, "_settled", lambda *x: most.append((out := settled(*x))[1]) or out)
+    want = sorted((r.a, r.b) for r in cr.carriageway_crossings(nodes, spacing_m=40.0).collect())
+    at_once = most.pop()
+    monkeypatch.setattr(cr, "BATCH", 60)
+    monkeypatch.setattr(cr, "CONFLICTS", 500)
+    assert sorted((r.a, r.b) for r in cr.carriageway_crossings(nodes, spacing_m=40.0).collect()) == want and len(want) > 10
+    assert len(most) > 1 and 2 * sum(most) < at_once, (most, at_once)
