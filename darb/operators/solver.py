@@ -611,19 +611,22 @@ def solve_routes(students: DataFrame, stops: DataFrame, tasks: DataFrame, capaci
     return _solve(_zones(_units(students, stops, cap), capacity), tasks, capacity, iterations, metres_per_min, tail, routes=True)
 
 
-def solve_fleets(students: DataFrame, stops: DataFrame, seeds: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0, block: int = 3, tail: int = 0, cap: Column | None = None) -> DataFrame:
+def solve_fleets(students: DataFrame, stops: DataFrame, seeds: list[int], capacity: int, iterations: int, metres_per_min: float = 400.0, block: int = 3, tail: int = 0, cap: Column | None = None, enough_only: bool = False) -> DataFrame:
     """As solve_grid, with each zone's fleets from ceil(students / capacity) upwards to the first that serves everyone.
 
     Fleets below packing_bound() can't serve everyone, so the first round has all of them, and `block` from the bound
     on; then come rounds of `block` fleets. Zones whose students are all served drop out, and larger fleets than the
     first that serves all are left out, so `block` changes the work, not the result. A bus for each unit serves
     everyone whom a route of its own serves, so rounds end there; a zone without stops has the least fleet only.
+
+    With `enough_only` a zone that some fleet serves lacks the fleets below its bound, which smallest_fleet() has no use for.
     """
     zones = _zones(_units(students, stops, cap), capacity)
     most = F.aggregate("size", F.lit(0).cast("bigint"), lambda n, x: n + F.ceil(x / capacity))
     least, stopless = F.ceil(F.col("students") / capacity).cast("int"), F.size("node_id") == 0
     open_ = durable(zones.select("zone", least.alias("least"), F.when(stopless, least).otherwise(F.greatest(least, "bound")).alias("bound"), F.when(stopless, least).otherwise(F.greatest(least, most.cast("int"))).alias("most")))
-    rest, out = open_.select("zone", F.col("least").alias("begin"), F.least(F.col("bound") + block - 1, "most").alias("last"), "most"), None
+    first = F.col("bound" if enough_only else "least")
+    rest, out = open_.select("zone", first.alias("begin"), F.least(F.col("bound") + block - 1, "most").alias("last"), "most"), None
     seed = F.explode(F.array(*map(F.lit, seeds)))
     while not rest.isEmpty():
         tasks = rest.select("zone", F.explode(F.sequence("begin", "last")).alias("fleet")).select("zone", seed.alias("seed"), "fleet")
@@ -635,6 +638,11 @@ def solve_fleets(students: DataFrame, stops: DataFrame, seeds: list[int], capaci
         rest = durable(rest.join(short, "zone", "left_semi").withColumn("begin", F.col("last") + 1).withColumn("last", F.least(F.col("last") + block, "most")).where("begin <= most"))
     if out is None:
         return _solve(zones, open_.select("zone", F.lit(0).alias("seed"), F.col("least").alias("fleet")), capacity, iterations, metres_per_min)
+    if enough_only:
+        never = durable(open_.join(out.where("served = students").select("zone").distinct(), "zone", "left_anti").where("least < bound"))
+        if not never.isEmpty():
+            tasks = never.select("zone", F.explode(F.sequence(F.col("least"), F.col("bound") - 1)).alias("fleet")).select("zone", seed.alias("seed"), "fleet")
+            out = out.unionByName(durable(_solve(zones, tasks, capacity, iterations, metres_per_min, tail)))
     return out
 
 

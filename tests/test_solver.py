@@ -71,3 +71,14 @@ def test_fleets_in_rounds(spark):
     assert by[0] == by[1] == by[2] and [(r.fleet, r.seed, r.served) for r in by[0]] == [(f, s, min(f * 16, 80)) for f in (3, 4, 5) for s in (1, 2)]
     grid = solver.solve_grid(people, places, [1, 2], [3, 4, 5], 30, 5).orderBy("fleet", "seed").collect()
     assert grid == by[0]
+
+
+def test_fleets_below_the_bound_are_not_searched_for_the_smallest(spark):
+    people = spark.createDataFrame([(z, 100 * k + i, 30.0 + k / 100, 31.0) for z in (1, 2) for k in range(5) for i in range(16 if z == 1 else 15)], "zone int, student_id int, lat double, lon double")
+    places = spark.createDataFrame([(z, k, 30.0 + k / 100, 31.0) for z in (1, 2) for k in range(5)], "zone int, node_id int, lat double, lon double")
+    order = lambda d: d.orderBy("zone").collect()
+    every, few = (solver.solve_fleets(people, places, [1, 2], 30, 5, enough_only=e) for e in (False, True))
+    assert {(r.zone, r.fleet) for r in few.collect()} == {(1, 5), (2, 3)} and order(solver.smallest_fleet(few)) == order(solver.smallest_fleet(every))
+    # nobody can ride: no fleet is enough, so each counts
+    every, few = (solver.solve_fleets(people, places, [1], 30, 3, cap=F.lit(-1.0), enough_only=e) for e in (False, True))
+    assert {(r.zone, r.fleet) for r in few.collect()} == {(r.zone, r.fleet) for r in every.collect()} and order(solver.smallest_fleet(few)) == order(solver.smallest_fleet(every))
