@@ -199,16 +199,25 @@ def within(points: DataFrame, targets: DataFrame) -> DataFrame:
 
     The cells have the size of the largest radius.
     """
-    usable = lambda d, k: d.where(F.col(k).isNotNull() & F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0))
-    at = usable(points, "key").where("radius >= 0").select("key", "lat", "lon", "radius")
+    goal = _usable(targets, "target").select("target", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    return within_places(points, targets).join(goal, ["t_lat", "t_lon"]).select("key", "target", "metres")
+
+
+def _usable(d: DataFrame, key: str) -> DataFrame:
+    return d.where(F.col(key).isNotNull() & F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0))
+
+
+def within_places(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(key, t_lat, t_lon, metres): as within(), the targets' locations instead of the targets, each once however many are there."""
+    at = _usable(points, "key").where("radius >= 0").select("key", "lat", "lon", "radius")
     most = max(at.agg(F.max("radius")).first()[0] or 0.0, 1.0)
-    goal = usable(targets, "target").select("target", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     # pairs of locations first, so that equal ones are compared once
-    home = goal.select("t_lat", "t_lon").distinct().withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), most, 2 * most, False)))
+    goal = _usable(targets, "target").select(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).distinct()
+    home = goal.withColumn("cell", F.explode(_cells(F.col("t_lat"), F.col("t_lon"), most, 2 * most, False)))
     probe = at.select("lat", "lon", "radius").distinct().withColumn("cell", F.explode(_cells(F.col("lat"), F.col("lon"), most, 2 * most, True)))
     found = probe.join(home, "cell").withColumn("metres", haversine_m("lat", "lon", "t_lat", "t_lon"))
     close = durable(found.where("metres <= radius").select("lat", "lon", "radius", "t_lat", "t_lon", "metres"))
-    return at.join(small_side(close), ["lat", "lon", "radius"]).join(goal, ["t_lat", "t_lon"]).select("key", "target", "metres")
+    return at.join(small_side(close), ["lat", "lon", "radius"]).select("key", "t_lat", "t_lon", "metres")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darb.operators import insertions, metrics, routes, solver, spatial
-from darb.session import durable
+from darb.session import durable, shuffle_partitions, small_side
 from darb.sources import requests as request_documents
 
 
@@ -64,22 +64,69 @@ def change(asked: DataFrame, places: DataFrame, stops: DataFrame, od: DataFrame,
     within the day's budget less what is `used` (route_id, used_min). `places`: (target, lat, lon); `stops`, `od`: the
     plan's routes and matrix; `riders`: (route_id, seq, student_id, cap_min). Other change types count as permanent.
     """
-    own = durable(asked.select("key", "student_id", F.when(F.lower(F.trim("change_type")) == "temporary", "temporary").otherwise("permanent").alias("change_type"), "lat", "lon", "radius"))
-    near = spatial.nearest(own.select("key", "lat", "lon"), places).select("key", "target").unionByName(spatial.within(own.select("key", "lat", "lon", "radius"), places).select("key", "target")).distinct()
-    kind = F.when(F.col("change_type") == "temporary", float("inf")).otherwise(cap_min).alias("cap_min")
-    candidates = durable(own.join(near, "key").select(F.col("key").alias("student_id"), F.col("target").cast("bigint").alias("node_id"), "change_type", kind))
-    staying = riders.join(own.select("student_id").where("student_id IS NOT NULL").distinct(), "student_id", "left_anti")
+    own, moved = _asked(asked)
+    staying = riders.join(moved, "student_id", "left_anti")
     loads = stops.select("route_id").distinct().join(staying.groupBy("route_id").agg(F.count("*").alias("load")), "route_id", "left").select("route_id", F.coalesce("load", F.lit(0)).alias("load"), F.lit(capacity).alias("capacity"))
     caps = staying.groupBy("route_id", "seq").agg(F.min("cap_min").alias("cap"))
     legs = durable(routes.legs_both_ways(stops.select("route_id", "seq", "node_id").join(caps, ["route_id", "seq"], "left"), od, ("cap",)))
     spent = (used if used is not None else stops.select("route_id").distinct().withColumn("used_min", F.lit(0.0))).select("route_id", (F.lit(budget_min) - F.col("used_min")).alias("most"))
     budgets = stops.select("route_id").distinct().join(spent, "route_id", "left").select("route_id", F.coalesce("most", F.lit(budget_min)).alias("most"))
-    fixed, short = candidates.where("change_type = 'permanent'"), candidates.where("change_type = 'temporary'")
-    offer = lambda rows, c, rule: insertions.student_insertions(insertions.best_positions(rows, c, price, rule), c)
-    found = offer(insertions.route_rows(legs, F.col("cap"), loads), fixed, "either").unionByName(offer(insertions.route_rows(legs, None, None, budgets), short, "free"))
-    best = routes.cheapest(found).withColumnRenamed("student_id", "key")
+    return _offered(own, places, insertions.route_rows(legs, F.col("cap"), loads), insertions.route_rows(legs, None, None, budgets), price, cap_min)
+
+
+def change_lines(asked: DataFrame, places: DataFrame, lines: DataFrame, school: int, capacity: int, price: Callable[[np.ndarray, np.ndarray], np.ndarray], minutes: Callable[[Column, Column], Column], cap_min: float, budget_min: float = 5.0, used: Column | None = None) -> DataFrame:
+    """As change(), of a plan with a row per pickup: `lines` (route_id, place, node_id, student_id, cap_min), with the school at both ends of each route.
+
+    `place` orders a route's pickups, which are numbered from 1; pickups of equal place are to be equal in all but the
+    row. `minutes` is `price` as an expression, `used` the spent minutes of a route_id. A route is put together where its pickups meet: they are shuffled
+    once, for both kinds of requests, and no leg is looked up in a table.
+    """
+    own, moved = _asked(asked)
+    marked = lines.join(small_side(moved.withColumn("moved", F.lit(True))), "student_id", "left")
+    cap = F.when(F.col("moved").isNull(), F.col("cap_min").cast("double"))
+    pickup = F.struct("place", F.col("node_id").cast("bigint").alias("node"), cap.alias("cap"), F.col("moved").isNotNull().alias("moved"))
+    spread = marked.select("route_id", pickup.alias("p")).repartition(shuffle_partitions(lines.sparkSession), "route_id")
+    each = spread.groupBy("route_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    end = F.array(F.lit(school).cast("bigint"))
+    each = each.select("route_id", F.concat(end, F.col("p.node"), end).alias("nodes"), F.concat(F.array(F.lit(None).cast("double")), F.col("p.cap")).alias("caps"), F.size(F.filter("p", lambda x: ~x["moved"])).alias("load"))
+    # a leg's way back is from its end to its start, as a route ends where it begins
+    leg = F.sequence(F.lit(1), F.size("nodes") - 1)
+    node = lambda i: F.element_at("nodes", i)
+    there, back = F.transform(leg, lambda i: minutes(node(i), node(i + 1))), F.transform(leg, lambda i: minutes(node(i + 1), node(i)))
+    rows = lambda kept, most: kept.select("route_id", "nodes", there.alias("minutes"), back.alias("back"), "caps", F.transform(leg, lambda i: i - 1).alias("seqs"), most.cast("double").alias("most"))
+    left = F.coalesce(F.lit(budget_min) - used, F.lit(budget_min)) if used is not None else F.lit(budget_min)
+    return _offered(own, places, rows(each.where(F.col("load") < capacity), F.lit(float("inf"))), rows(each, left), price, cap_min)
+
+
+def _asked(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The requests, and the students who ask."""
+    own = durable(asked.select("key", "student_id", F.when(F.lower(F.trim("change_type")) == "temporary", "temporary").otherwise("permanent").alias("change_type"), "lat", "lon", "radius"))
+    return own, own.select("student_id").where("student_id IS NOT NULL").distinct()
+
+
+def _offered(own: DataFrame, places: DataFrame, seats: DataFrame, budgets: DataFrame, price: Callable[[np.ndarray, np.ndarray], np.ndarray], cap_min: float) -> DataFrame:
+    """The result of change() for the plan as route_rows(), of routes with a free seat and of all with their budgets.
+
+    A node's best position is the same for all requests of a type, and so is that of all the nodes at a location; a
+    request meets locations, never their nodes, of which there may be many.
+    """
+    kind = own.select("key", "change_type")
+    lone = durable(spatial.nearest(own.select("key", "lat", "lon"), places).select("key", F.col("target").cast("bigint").alias("node_id")).join(kind, "key"))
+    around = durable(spatial.within_places(own.select("key", "lat", "lon", "radius"), places).select("key", "t_lat", "t_lon").join(kind, "key"))
+    at = places.select(F.col("target").cast("bigint").alias("node_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).where("node_id IS NOT NULL").distinct()
+    there = durable(around.select("change_type", "t_lat", "t_lon").distinct().join(at, ["t_lat", "t_lon"]))
+    items = durable(there.select("change_type", "node_id").unionByName(lone.select("change_type", "node_id")).distinct())
+
+    def best(rows: DataFrame, change_type: str, cap: float, rule: str) -> DataFrame:
+        asked_for = items.where(F.col("change_type") == change_type).select("node_id", F.lit(cap).alias("cap_min"))
+        return insertions.best_positions(rows, asked_for, price, rule).select(F.lit(change_type).alias("change_type"), "node_id", F.struct("delta", "route_id", "seq", "node_id").alias("b"))
+
+    found = durable(best(seats, "permanent", cap_min, "either").unionByName(best(budgets, "temporary", float("inf"), "free")))
+    spots = durable(there.join(found, ["change_type", "node_id"]).groupBy("change_type", "t_lat", "t_lon").agg(F.min("b").alias("b")))
+    offers = around.join(small_side(spots), ["change_type", "t_lat", "t_lon"]).select("key", "b").unionByName(lone.join(small_side(found), ["change_type", "node_id"]).select("key", "b"))
+    first = offers.groupBy("key").agg(F.min("b").alias("b")).select("key", "b.*")
     reason = F.when(F.col("change_type") == "temporary", "no route within its budget").otherwise("no position keeps seats and caps")
-    return own.join(best, "key", "left").select("key", "change_type", F.when(F.col("route_id").isNull(), "failed").otherwise("success").alias("status"), "route_id", "seq", "node_id", "delta", F.when(F.col("route_id").isNull(), reason).alias("reason"))
+    return own.join(first, "key", "left").select("key", "change_type", F.when(F.col("route_id").isNull(), "failed").otherwise("success").alias("status"), "route_id", "seq", "node_id", "delta", F.when(F.col("route_id").isNull(), reason).alias("reason"))
 
 
 def compare(students: DataFrame, stops: DataFrame, fleets: DataFrame, capacity: int, iterations: int, modes: dict[str, Column | None], seed: int = 42, metres_per_min: float = 400.0) -> DataFrame:

@@ -118,3 +118,32 @@ def test_search_operators(spark):
     assert all(capped.keeps_caps(r) for r in found["routes"]) and sorted(solver.DESTROY) == ["random", "related", "route", "sequence", "worst"]
     few = solver.search(solver.Problem([3] * 4, minutes[:5, :5], 12, 3), 1, 200)
     assert few["stop_reason"] == "theoretical_optimum_polish" and len(few["routes"]) == 1
+
+
+def test_change_of_lines_is_that_of_legs(spark):
+    """Ten stops at one place, a student who asks and rides, equal places, a request far from all, both kinds; by route once."""
+    from darb.operators import spatial
+
+    price = lambda a, b: np.where((a * 13 + b * 7) % 11 == 0, np.inf, (a * 31 + b * 17) % 60 / 10.0 + 1.0)
+    minutes = lambda a, b: F.when((a * 13 + b * 7) % 11 == 0, float("inf")).otherwise((a * 31 + b * 17) % 60 / 10.0 + 1.0)
+    rng = random.Random(3)
+    pickups = [(r, k, rng.randint(1, 30), f"s{rng.randint(0, 60)}", float(rng.randint(8, 40))) for r in range(40) for k in range(1, rng.randint(2, 6))]
+    lines = spark.createDataFrame(pickups, "route_id bigint, place int, node_id bigint, student_id string, cap_min double")
+    rows = {}
+    for r, _, node, *_ in pickups:
+        rows.setdefault(r, [0]).append(node)
+    stops = spark.createDataFrame([(r, k, n) for r, nodes in rows.items() for k, n in enumerate([*nodes, 0])], "route_id bigint, seq int, node_id bigint")
+    nodes = spark.range(31).select(F.col("id").alias("src")).crossJoin(spark.range(31).select(F.col("id").alias("dst")))
+    od = nodes.withColumn("minutes", minutes(F.col("src"), F.col("dst"))).withColumn("metres", F.lit(1.0))
+    places = spark.createDataFrame([(n, 30.0 + max(0, n - 10) / 1000, 31.0) for n in range(1, 31)], "target bigint, lat double, lon double")
+    asked = [(k, f"s{k}", ("permanent", "Temporary", None)[k % 3], 30.0 + k / 1500, 31.0, 150.0 * (k % 4)) for k in range(40)] + [(99, None, "temporary", 40.0, 31.0, 5.0)]
+    df = spark.createDataFrame(asked, "key int, student_id string, change_type string, lat double, lon double, radius double")
+    riders = lines.select("route_id", F.col("place").alias("seq"), "student_id", "cap_min")
+    used = stops.select("route_id").distinct().withColumn("used_min", (F.col("route_id") % 4).cast("double"))
+    one = drivers.change(df, places, stops, od, riders, 4, price, 30.0, 5.0, used).orderBy("key").collect()
+    two = drivers.change_lines(df, places, lines, 0, 4, price, minutes, 30.0, 5.0, F.col("route_id") % 4).orderBy("key").collect()
+    assert one == two and len(one) == 41
+    assert spatial.within_places(df.where("key = 1"), places).count() == 1 and spatial.within(df.where("key = 1"), places).count() == 10
+    # each request's cheapest by hand, of every candidate node by itself
+    near = spatial.nearest(df.select("key", "lat", "lon"), places).select("key", "target").unionByName(spatial.within(df, places).select("key", "target")).distinct()
+    assert {(r.key, r.target) for r in near.collect()} >= {(r.key, r.node_id) for r in two if r.node_id is not None}
