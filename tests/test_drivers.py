@@ -143,7 +143,7 @@ def test_change_of_lines_is_that_of_legs(spark):
     one = drivers.change(df, places, stops, od, riders, 4, price, 30.0, 5.0, used).orderBy("key").collect()
     two = drivers.change_lines(df, places, lines, 0, 4, price, minutes, 30.0, 5.0, F.col("route_id") % 4).orderBy("key").collect()
     assert one == two and len(one) == 41
-    assert spatial.within_places(df.where("key = 1"), places).count() == 1 and spatial.within(df.where("key = 1"), places).count() == 10
+    assert spatial.within_places(df.where("key = 1"), places).count() == 3 and spatial.within(df.where("key = 1"), places).count() == 12
     # each request's cheapest by hand, of every candidate node by itself
     near = spatial.nearest(df.select("key", "lat", "lon"), places).select("key", "target").unionByName(spatial.within(df, places).select("key", "target")).distinct()
     assert {(r.key, r.target) for r in near.collect()} >= {(r.key, r.node_id) for r in two if r.node_id is not None}
