@@ -4,27 +4,37 @@ A road is a name and a class. Its nodes have two sides by the bearing of their l
 reference, that of its least node, or not); a road counts if it has both and their mean bearings are opposite.
 Candidates come from an equi join on the road and on grid cells of the largest distance.
 
+Nodes of one road and side at one place are a class: all pairs of two classes have one distance and one midpoint, so
+pairs of classes are made, not pairs of nodes, and a pair of classes stands for the least pair of its free nodes.
+
 Which candidates stand is a greedy choice, nearest first, with nodes used once over all roads and midpoints a spacing
-apart. It is made in rounds, each a join: a candidate that comes before all undecided ones it is in conflict with
-is taken, and what is in conflict with it falls. That gives the very result of going through all candidates in
-order, with no task for a whole road; rounds are as many as the longest chain of conflicts in falling order.
+apart. It goes through the order in stretches of a bounded number of rows. A stretch is gone through by one task, which
+moves a pair of classes on to its next nodes when one is taken; what it leaves standing then rules out most of the rows
+behind it, in joins over all of them. That gives the very result of going through all candidates in order.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from darb.functions.geo import angle_difference, bearing_deg, crossing_angle_ok, haversine_m, segment_ratio, virtual_node_id
-from darb.operators.spatial import _cells, near_locations
-from darb.session import durable
+from darb.functions.geo import EARTH_M, angle_difference, bearing_deg, crossing_angle_ok, haversine_m, segment_ratio, virtual_node_id
+from darb.operators.spatial import _cells
+from darb.session import durable, small_side
 
 #: The distance of a crossing that nothing else gives, how near a node is the same, in metres.
 GUARANTEED_M, SAME_NODE_M = 6.0, 1.5
-#: Candidates whose conflicts are looked up together at first, and the conflicts that are aimed at then.
-BATCH, CONFLICTS = 10_000, 3_000_000
+#: Rows of the first stretch of the order and of any, and how many of one that fall are aimed at.
+BATCH, MOST, CONFLICTS = 20_000, 400_000, 300_000
+#: Free nodes of a class that a stretch has at hand at first.
+DEEP = 16
 
 
 def sides(nodes: DataFrame, opposite: float = 150.0) -> DataFrame:
@@ -55,7 +65,7 @@ def _apart(left: DataFrame, taken: DataFrame, spacing_m: float) -> DataFrame:
     cell = lambda d, lat, lon, probe: d.withColumn("__c", F.explode(_cells(F.col(lat), F.col(lon), spacing_m, 2 * spacing_m, probe)))
     old = cell(taken.select(F.col("mid_lat").alias("__la"), F.col("mid_lon").alias("__lo")).distinct(), "__la", "__lo", False)
     close = cell(left.select("mid_lat", "mid_lon").distinct(), "mid_lat", "mid_lon", True).join(old, "__c").where(haversine_m("mid_lat", "mid_lon", "__la", "__lo") < spacing_m).select("mid_lat", "mid_lon").distinct()
-    return left.join(close, ["mid_lat", "mid_lon"], "left_anti")
+    return left.join(small_side(durable(close)), ["mid_lat", "mid_lon"], "left_anti")
 
 
 def greedy(candidates: DataFrame, order: list[Column], nodes: list[str], spacing_m: float, taken: DataFrame | None = None) -> DataFrame:
@@ -64,8 +74,7 @@ def greedy(candidates: DataFrame, order: list[Column], nodes: list[str], spacing
     `order` must be total. `taken` (mid_lat, mid_lon) stand already. With a spacing of 0 only nodes count.
 
     They are taken in stretches of the order, the first of BATCH: what a stretch leaves standing rules out most of those
-    behind it before their conflicts are looked up, so conflicts are pairs within a stretch, never all pairs. Stretches
-    grow or shrink with the conflicts met; where they end changes no result.
+    behind it. Stretches grow or shrink with what falls in them, up to MOST; where they end changes no result.
     """
     columns = candidates.columns
     left = candidates.withColumn("__o", F.struct(*order))
@@ -76,41 +85,168 @@ def greedy(candidates: DataFrame, order: list[Column], nodes: list[str], spacing
         if rest > size:
             now = durable(left.orderBy("__o").limit(size))
             left = left.join(F.broadcast(now.agg(F.max("__o").alias("__last"))), F.col("__o") > F.col("__last")).drop("__last")
-        held, met = _settled(now, nodes, spacing_m)
+        held, met, *_ = _settled(now, nodes, spacing_m, rest > size)
         stand = held if stand is None else durable(stand.unionByName(held))
         if rest <= size:
             return stand.select(*columns)
         left = durable(_blocked(left, held, nodes, spacing_m))
-        size = max(BATCH, int(size * min(4.0, math.sqrt(CONFLICTS / max(1, met)))))
-
-
-def _settled(left: DataFrame, nodes: list[str], spacing_m: float) -> tuple[DataFrame, int]:
-    """greedy() of candidates with their order in __o, by rounds over all their conflicts, and how many those are."""
-    left = durable(durable(left).withColumn("__id", F.monotonically_increasing_id()))
-    # conflicts, with the earlier one first
-    ends = left.select("__id", "__o", F.explode(F.array(*nodes)).alias("__n"))
-    shared = ends.alias("x").join(ends.alias("y"), "__n").where("x.__o < y.__o").select(F.col("x.__id").alias("a"), F.col("y.__id").alias("b"))
-    if spacing_m > 0:
-        spots = durable(left.groupBy(F.col("mid_lat").alias("lat"), F.col("mid_lon").alias("lon")).agg(F.min("__o").alias("__first")))
-        apart = near_locations(spots.select("lat", "lon"), spacing_m).where(haversine_m("lat_a", "lon_a", "lat_b", "lon_b") < spacing_m)
-        at = lambda s: left.select(F.col("mid_lat").alias(f"lat_{s}"), F.col("mid_lon").alias(f"lon_{s}"), F.col("__id").alias(f"__id_{s}"), F.col("__o").alias(f"__o_{s}"))
-        both = apart.join(at("a"), ["lat_a", "lon_a"]).join(at("b"), ["lat_b", "lon_b"])
-        same = at("a").join(at("b").withColumnsRenamed({"lat_b": "lat_a", "lon_b": "lon_a"}), ["lat_a", "lon_a"]).where("__o_a < __o_b")
-        first = F.col("__o_a") < F.col("__o_b")
-        near = both.unionByName(same, allowMissingColumns=True).select(F.when(first, F.col("__id_a")).otherwise(F.col("__id_b")).alias("a"), F.when(first, F.col("__id_b")).otherwise(F.col("__id_a")).alias("b"))
-        shared = shared.unionByName(near)
-    conflicts = durable(shared.distinct())
-    met = conflicts.count()
-    open_ = durable(left.select("__id"))
-    stand = None
-    while not open_.isEmpty():
-        now = durable(open_.join(conflicts.select(F.col("b").alias("__id")).distinct(), "__id", "left_anti"))
-        stand = now if stand is None else durable(stand.unionByName(now))
-        falls = conflicts.join(now.select(F.col("__id").alias("a")), "a", "left_semi").select(F.col("b").alias("__id")).distinct()
-        open_ = durable(open_.join(now, "__id", "left_anti").join(falls, "__id", "left_anti"))
-        live = open_.select("__id")
-        conflicts = durable(conflicts.join(live.withColumnRenamed("__id", "a"), "a", "left_semi").join(live.withColumnRenamed("__id", "b"), "b", "left_semi").select("a", "b"))
-    return durable(left.join(stand if stand is not None else open_, "__id", "left_semi").drop("__id")), met
+        size = _next_size(size, met)
+
+
+def _next_size(size: int, met: int) -> int:
+    return max(BATCH, min(MOST, int(size * min(4.0, CONFLICTS / max(1, met)))))
+
+
+def _greedy_classes(pairs: DataFrame, members: DataFrame, spacing_m: float) -> DataFrame:
+    """greedy() of all pairs of nodes of `pairs` of classes (class_a, class_b, metres, mid_lat, mid_lon), by metres, a, b: (a, b, class_a, class_b, metres, mid_lat, mid_lon).
+
+    `members`: (class, node). All pairs of a pair of classes have its distance, so what is nearer than the end of a
+    stretch is settled, and rows as far as the end stay for the next one. A pair counts with the least nodes of its
+    classes that are free; a class has `deep` of them at hand, and a stretch ends where these don't do.
+    """
+    columns = ["a", "b", *pairs.columns]
+    left, stand, size, deep = pairs, None, BATCH, DEEP
+    while True:
+        rest = left.count()
+        now, far = left, None
+        if rest > size:
+            far = left.select("metres").orderBy("metres").limit(size).agg(F.max("metres")).first()[0]
+            now = left.where(F.col("metres") <= far)
+        free = members
+        if stand is not None:
+            used = stand.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            free = members.join(small_side(used), "node", "left_anti")
+        # one more than the task gets tells whether there are more
+        ranked = free.withColumn("__r", F.row_number().over(Window.partitionBy("class").orderBy("node"))).where(F.col("__r") <= deep + 1)
+        heads = durable(ranked.groupBy("class").agg(F.min("node").alias("n"), F.sort_array(F.collect_list("node")).alias("all")))
+        for s in "ab":
+            now = now.join(heads.select(F.col("class").alias(f"class_{s}"), F.col("n").alias(s), F.slice("all", 1, deep).alias(f"__all_{s}"), (F.size("all") > deep).alias(f"__more_{s}")), f"class_{s}")
+        now = now.withColumn("__o", F.struct("metres", "a", "b"))
+        if rest > size:
+            now = now.orderBy("__o").limit(size)
+        held, met, end, short = _settled(now.select(*columns, "__o", "__all_a", "__all_b", "__more_a", "__more_b"), ["a", "b"], spacing_m, rest > size)
+        stand = held if stand is None else durable(stand.unionByName(held))
+        if end is None and far is None:
+            return stand
+        # without an end none of them has free nodes
+        left = durable(_apart(left.where(F.col("metres") > far if end is None else F.col("metres") >= end), held, spacing_m))
+        deep = deep * 4 if short else deep
+        size = max(1, min(_next_size(size, met), MOST * DEEP // deep))
+
+
+def _settled(left: DataFrame, nodes: list[str], spacing_m: float, cut: bool = False) -> tuple[DataFrame, int, float | None, bool]:
+    """greedy() of the rows of a stretch by their order in __o, in one task; how many fell; where it ended if not with the last row; whether that is for want of nodes at hand.
+
+    With __all_x and __more_x for each x of `nodes` a row stands for all pairs of its classes: __all_x are the first free
+    nodes of the class, __more_x tells whether there are others, and __o has metres, then the nodes. `cut`: rows that
+    aren't here come behind the last one, so nothing behind it is settled.
+    """
+    extra = {"__o", *(f"__{k}_{n}" for k in ("all", "more") for n in nodes)}
+    columns = [f for f in left.schema.fields if f.name not in extra]
+    # a last row without values, but for __met, tells the rest
+    said = T.StructType([T.StructField(f.name, f.dataType) for f in columns] + [T.StructField("__met", T.LongType()), T.StructField("__end", T.DoubleType()), T.StructField("__short", T.BooleanType())])
+    names = [f.name for f in columns]
+    done = durable(left.repartition(1).mapInArrow(lambda batches: _walk(batches, names, nodes, spacing_m, cut), said))
+    told = done.where("__met IS NOT NULL").select("__met", "__end", "__short").first() or (0, None, False)
+    return done.where("__met IS NULL").select(*names), *told
+
+
+def _walk(batches: Iterator[pa.RecordBatch], columns: list[str], nodes: list[str], spacing_m: float, cut: bool) -> Iterator[pa.RecordBatch]:
+    """The work of _settled()."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches).combine_chunks()
+    order = t.column("__o").combine_chunks()
+    keys = list(zip(*(x.to_pylist() for x in order.flatten()), strict=True))
+    classes = f"__all_{nodes[0]}" in t.column_names
+    # where a node is in the key; only a pair of classes has others to move on to
+    places = [order.type.get_field_index(n) for n in nodes] if classes else []
+    ends = None if classes else list(zip(*(t.column(n).to_pylist() for n in nodes), strict=True))
+    spots = list(zip(t.column("mid_lat").to_pylist(), t.column("mid_lon").to_pylist(), strict=True))
+    cells = _cubes(t, spacing_m) if spacing_m > 0 else None
+    near: dict[tuple, list] = {}  # midpoints that stand, in their cube and those around
+    shut, used, taken, met = set(), set(), [], 0
+    lists: dict[tuple, list] = {}
+
+    def blocked(row: int) -> bool:
+        if spots[row] in shut:
+            return True
+        lat, lon = spots[row]
+        if any(_metres(lat, lon, *m) < spacing_m for m in near.get(cells[row], ())):
+            shut.add(spots[row])
+            return True
+        return False
+
+    def at_hand(row: int, n: str) -> list:
+        if (row, n) not in lists:
+            lists[row, n] = t.column(f"__all_{n}")[row].as_py()
+        return lists[row, n]
+
+    rows = sorted(range(len(keys)), key=keys.__getitem__)
+    last = keys[rows[-1]] if cut else None
+    moved: list[tuple] = []
+    i, end, short = 0, None, False
+    while i < len(rows) or moved:
+        if i == len(rows) or moved and moved[0] < (keys[rows[i]], rows[i]):
+            key, row = heapq.heappop(moved)
+        else:
+            key, row = keys[rows[i]], rows[i]
+            i += 1
+        if last is not None and key > last:
+            break
+        if spacing_m > 0 and blocked(row):
+            met += 1
+            continue
+        now = [key[p] for p in places] if classes else ends[row]
+        if not any(n in used for n in now):
+            taken.append((row, now))
+            used.update(now)
+            if spacing_m > 0:
+                x, y, z = cells[row]
+                shut.add(spots[row])
+                for cube in ((x + a, y + b, z + c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)):
+                    near.setdefault(cube, []).append(spots[row])
+                continue
+        else:
+            met += 1
+        if not classes:
+            continue
+        key, gone = list(key), False
+        for p, n in zip(places, nodes, strict=True):
+            if key[p] in used:
+                key[p] = next((x for x in at_hand(row, n) if x not in used), None)
+                if key[p] is None:
+                    gone = True
+                    short |= t.column(f"__more_{n}")[row].as_py()
+        if short:
+            end = key[0]
+            break
+        if not gone:
+            heapq.heappush(moved, (tuple(key), row))
+    if end is None and last is not None:
+        end = last[0]
+    kept = t.take(pa.array([row for row, _ in taken], pa.int64()))
+    out = {c: kept.column(c) for c in columns}
+    if classes:
+        out |= {n: pa.chunked_array([pa.array([now[k] for _, now in taken], t.schema.field(n).type)]) for k, n in enumerate(nodes)}
+    told = {"__met": (met, pa.int64()), "__end": (float(end) if classes and end is not None else None, pa.float64()), "__short": (short, pa.bool_())}
+    out |= {c: pa.nulls(len(taken), kind) for c, (_, kind) in told.items()}
+    yield from pa.table(out).to_batches()
+    yield pa.RecordBatch.from_pydict({c: pa.nulls(1, t.schema.field(c).type) for c in columns} | {c: pa.array([v], kind) for c, (v, kind) in told.items()})
+
+
+def _cubes(t: pa.Table, metres: float) -> list[tuple]:
+    """The cube of each midpoint, of a width that takes points less than `metres` apart to the same cube or to ones that touch."""
+    lat, lon = (np.radians(t.column(c).to_numpy()) for c in ("mid_lat", "mid_lon"))
+    at = EARTH_M * np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+    return list(map(tuple, np.floor(at / (metres * (1 + 1e-6) + 1e-3)).astype(np.int64).tolist()))
+
+
+def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """haversine_m() of numbers."""
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(a)))
 
 
 def carriageway_crossings(nodes: DataFrame, min_m: float = 6.0, max_m: float = 60.0, opposite: float = 150.0, spacing_m: float = 100.0, off_right_angle: float = 30.0) -> DataFrame:
@@ -120,13 +256,28 @@ def carriageway_crossings(nodes: DataFrame, min_m: float = 6.0, max_m: float = 6
     angle to the road's axis; of equal distances the smaller nodes come first.
     """
     placed = durable(sides(nodes, opposite))
-    side = lambda s, n, probe: placed.where(F.col("side") == n).select("name", "road_class", *(["axis"] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "lat", "lon")), F.explode(_cells(F.col("lat"), F.col("lon"), max_m, 2 * max_m, probe)).alias("cell"))
+    # nodes of several roads are classes of their own
+    several = durable(placed.groupBy("node").count().where("count > 1").select("node", F.col("node").alias("own")))
+    placed = placed.join(small_side(several), "node", "left")
+    place = ["name", "road_class", "side", "lat", "lon", "own"]
+    classes = durable(placed.select(*place, "axis").distinct().withColumn("class", F.monotonically_increasing_id()))
+    keys = classes.select(*(F.col(c).alias(f"__{c}") for c in place), "class")
+    members = durable(placed.join(keys, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place]).select("class", "node"))
+    side = lambda s, n, probe: classes.where(F.col("side") == n).select("name", "road_class", *(["axis"] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in ("class", "own", "lat", "lon")), F.explode(_cells(F.col("lat"), F.col("lon"), max_m, 2 * max_m, probe)).alias("cell"))
     met = side("a", "A", False).join(side("b", "B", True), ["name", "road_class", "cell"]).withColumn("metres", haversine_m("lat_a", "lon_a", "lat_b", "lon_b"))
     fit = met.where(F.col("metres").between(min_m, max_m) & crossing_angle_ok("axis", bearing_deg("lat_a", "lon_a", "lat_b", "lon_b"), off_right_angle))
-    found = fit.select("name", "road_class", F.col("node_a").alias("a"), F.col("node_b").alias("b"), "metres", ((F.col("lat_a") + F.col("lat_b")) / 2).alias("mid_lat"), ((F.col("lon_a") + F.col("lon_b")) / 2).alias("mid_lon"))
-    # a pair of nodes may be on several roads; it is one candidate, of the first
-    best = found.groupBy("a", "b").agg(F.min(F.struct("name", "road_class", "metres", "mid_lat", "mid_lon")).alias("c")).select("c.name", "c.road_class", "a", "b", "c.metres", "c.mid_lat", "c.mid_lon")
-    return greedy(best, [F.col("metres"), F.col("a"), F.col("b")], ["a", "b"], spacing_m)
+    columns = ["class_a", "class_b", "metres", ((F.col("lat_a") + F.col("lat_b")) / 2).alias("mid_lat"), ((F.col("lon_a") + F.col("lon_b")) / 2).alias("mid_lon")]
+    if several.isEmpty():
+        pairs = durable(fit.select(*columns))
+    else:
+        # a pair of nodes may be on several roads; it is one candidate, of the first
+        found = durable(fit.select(*columns, "name", "road_class", "own_a", "own_b"))
+        twice = F.col("own_a").isNotNull() & F.col("own_b").isNotNull()
+        once = found.where(twice).groupBy("own_a", "own_b").agg(F.min(F.struct("name", "road_class", "metres", "mid_lat", "mid_lon", "class_a", "class_b")).alias("c")).select("c.*")
+        bare = ["class_a", "class_b", "metres", "mid_lat", "mid_lon"]
+        pairs = durable(found.where(~twice).select(*bare).unionByName(once.select(*bare)))
+    stand = _greedy_classes(pairs, members, spacing_m)
+    return stand.join(classes.select(F.col("class").alias("class_a"), "name", "road_class"), "class_a").select("name", "road_class", "a", "b", "metres", "mid_lat", "mid_lon")
 
 
 def fallback_crossings(nodes: DataFrame, segments: DataFrame, crossings: DataFrame, max_m: float = 60.0, opposite: float = 150.0, spacing_m: float = 100.0) -> DataFrame:

@@ -84,3 +84,51 @@ def test_stretches_change_no_result_and_keep_conflicts_few(spark, monkeypatch):
     monkeypatch.setattr(cr, "CONFLICTS", 500)
     assert sorted((r.a, r.b) for r in cr.carriageway_crossings(nodes, spacing_m=40.0).collect()) == want and len(want) > 10
     assert len(most) > 1 and 2 * sum(most) < at_once, (most, at_once)
+
+
+def pairs_by_loop(rows, spacing):
+    """Pairs of nodes that stand when all are gone through by distance, then nodes; a pair on several roads counts on the first."""
+    first = {}
+    for road in sorted({r[:2] for r in rows}):
+        own = sorted((r for r in rows if r[:2] == road), key=lambda r: r[2])
+        for a in (r for r in own if r[5] == own[0][5]):
+            for b in (r for r in own if r[5] != own[0][5]):
+                m = metres(a[3:5], b[3:5])
+                d = abs((own[0][5] - math.degrees(math.atan2(b[4] - a[4], b[3] - a[3])) + 180) % 360 - 180)
+                if 6 <= m <= 60 and abs(min(d, 180 - d) - 90) <= 30:
+                    first.setdefault((a[2], b[2]), (m, a[2], b[2], ((a[3] + b[3]) / 2, (a[4] + b[4]) / 2)))
+    out, used, mids = [], set(), []
+    for _, a, b, mid in sorted(first.values()):
+        if not {a, b} & used and not (spacing and any(metres(mid, x) < spacing for x in mids)):
+            out.append((a, b))
+            used |= {a, b}
+            mids.append(mid)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("spacing", [0.0, 25.0, 100.0])
+def test_nodes_that_share_places_pair_as_in_a_loop(spark, spacing, monkeypatch):
+    rng = random.Random(int(spacing) + 7)
+    # few places in lines with many ties, several nodes at each, some of them on both roads
+    rows = {}
+    for k in range(150):
+        node, back = rng.randrange(110), rng.random() < 0.5
+        rows.setdefault(("pq"[k % 2], node), ("pq"[k % 2], "secondary", node, 30.0 + rng.randrange(8) * 2e-4, 31.0 + (2e-4 if back else 0.0) + rng.randrange(2) * 4e-4, 180.0 if back else 0.0))
+    rows = list(rows.values())
+    want = pairs_by_loop(rows, spacing)
+    nodes = spark.createDataFrame(rows, NODES)
+    assert sorted((r.a, r.b) for r in cr.carriageway_crossings(nodes, spacing_m=spacing).collect()) == want and len(want) > 1
+    # where stretches end, also for want of nodes at hand, changes nothing
+    monkeypatch.setattr(cr, "BATCH", 20)
+    monkeypatch.setattr(cr, "MOST", 40, raising=False)
+    monkeypatch.setattr(cr, "DEEP", 1, raising=False)
+    assert sorted((r.a, r.b) for r in cr.carriageway_crossings(nodes, spacing_m=spacing).collect()) == want
+
+
+def test_many_nodes_at_few_places_are_few_candidates(spark, monkeypatch):
+    rows = [("p", "secondary", k, 30.0 + k // 2 % 3 * 0.002, 31.0 + k % 2 * 2e-4, k % 2 * 180.0) for k in range(240)]
+    seen, settled = [], cr._settled
+    monkeypatch.setattr(cr, "_settled", lambda left, *x: seen.append(left.count()) or settled(left, *x))
+    got = sorted((r.a, r.b) for r in cr.carriageway_crossings(spark.createDataFrame(rows, NODES)).collect())
+    assert got == pairs_by_loop(rows, 100.0) == [(0, 1), (2, 3), (4, 5)]
+    assert sum(seen) <= 9, seen  # pairs of places; of nodes there are 4,800 near enough
